@@ -84,3 +84,32 @@ def slices(batch: pa.RecordBatch, max_chars: int, text: str) -> Iterator[pa.Reco
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """Null counts as empty."""
     return [t or "" for t in batch[name].to_pylist()]
+
+
+def put(uri: str, data: bytes) -> None:
+    """Writes a file in any file system Arrow knows; it appears under its name only when whole.
+
+    A task that runs twice writes the same bytes under the same name.
+    """
+    from pyarrow.fs import FileSystem
+
+    fs, path = FileSystem.from_uri(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(part := f"{path}.{uuid.uuid4().hex[:8]}") as f:
+        f.write(data)
+    fs.move(part, path)
+
+
+def get(uri: str, ranges: list[tuple[int, int]] | None = None) -> list[bytes]:
+    """The (offset, length) ranges of a file, or its whole content."""
+    from pyarrow.fs import FileSystem
+
+    fs, path = FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        if ranges is None:
+            return [f.read()]
+        out = []
+        for at, n in ranges:
+            f.seek(at)
+            out.append(f.read(n))
+        return out

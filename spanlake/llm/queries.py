@@ -18,14 +18,30 @@ def vocabulary(name: str) -> str:
     return read_tokenizer(public_tokenizers.path(name))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.langid import held_out, identify, train
+
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, train(docs), keep=("doc_id",))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm.bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.wavelet import write_and_read
+
+    return write_and_read(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
     "op2_bpe": op2_bpe,
+    "op4_wavelet": op4_wavelet,
 }
 
 ORACLE: dict[str, str] = {}
