@@ -38,10 +38,25 @@ def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.warc import write_and_read
+
+    return write_and_read(spark, table(spark, sf_dir, "pages"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.simhash import hexadecimal, near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_bpe": op2_bpe,
     "op4_wavelet": op4_wavelet,
+    "op8_warc": op8_warc,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE: dict[str, str] = {}
