@@ -38,6 +38,19 @@ def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(spark, table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.mixing import mix
+
+    mixed, _ = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.license import scan
+
+    return scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm.warc import write_and_read
 
@@ -55,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_bpe": op2_bpe,
     "op4_wavelet": op4_wavelet,
+    "op6_mix": op6_mix,
+    "op7_license": op7_license,
     "op8_warc": op8_warc,
     "op9_simhash": op9_simhash,
 }
