@@ -19,17 +19,17 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import get, put, shared_dir, size_bytes, slices, texts_of, written
+from spanlake.llm.common import get, put, shared_dir, size_bytes, slices, written
 
 MAGIC = b"WVLTMTX1"
 BLOCK = 1 << 16  # bits
@@ -42,9 +42,9 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     for b in range(bits - 1, -1, -1):
         one = (x & x.dtype.type(1 << b)) != 0
         planes.append(np.packbits(one, bitorder="little"))
-        low = x[~one]
+        low = x[np.flatnonzero(~one)]
         zeros.append(len(low))
-        x = np.concatenate([low, x[one]])
+        x = np.concatenate([low, x[np.flatnonzero(one)]])
     return planes, zeros
 
 
@@ -171,84 +171,134 @@ class WaveletMatrix:
             packed = [self.block(k + p) for p in range(self.per_plane)]
             one = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(x)
-            up[~one] = x[: self.zeros[level]]
-            up[one] = x[self.zeros[level] :] | x.dtype.type(1 << self.bits - 1 - level)
+            up[np.flatnonzero(~one)] = x[: self.zeros[level]]
+            up[np.flatnonzero(one)] = x[self.zeros[level] :] | x.dtype.type(1 << self.bits - 1 - level)
             x = up
         return x
 
 
-#: A run of letters and then one of signs: their ids don't depend on each other, nor on the letters' case.
-LETTERS_SIGNS = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:#$%&*]*)")
+SIGNS = ".,!?;:#$%&*"
 
 
-class ChunkEncoder:
-    """Encodes whole texts with the tokenizers library, each distinct chunk once.
+def latin(word: str) -> bool:
+    """Letters that normalisation leaves alone but for their case."""
+    return word.isalpha() and (word.isascii() or max(word) <= "ÿ")
+
 
-    For a tokenizer that drops white space and never joins across it (checked by
-    comparing with the library in the tests), a text's ids are those of its
-    chunks between blanks.  Texts with a special token's opening go to the
-    library whole.
+class ChunkEncoder:
+    """Encodes whole texts with the tokenizers library, each distinct piece once while it is held.
+
+    For a tokenizer that lower-cases, drops white space and splits letters from
+    signs, a text's ids are those of its chunks between blanks, and those of a
+    chunk of Latin letters and trailing signs are the two parts'.  Latin letters
+    go to the same model by a shorter way, without normalisation and splitting;
+    every other chunk, and a whole text with a special token's opening, goes to
+    the library as it is.  The tests compare all ways with the library.
     """
 
-    def __init__(self, tokenizer_json: str, cache_words: int = 600_000):
+    def __init__(self, tokenizer_json: str, cache_words: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(tokenizer_json)
         self.library.no_truncation()
         self.library.no_padding()
-        special = json.loads(tokenizer_json)["added_tokens"][0]
-        self.stop, self.stop_id, self.opening = special["content"], special["id"], special["content"][:2]
+        spec = json.loads(tokenizer_json)
+        self.opening = spec["added_tokens"][0]["content"][:2]
         self.vocabulary = 1 + max(self.library.get_vocab().values())
+        spec |= {"normalizer": None, "added_tokens": [], "post_processor": None}
+        spec["pre_tokenizer"]["pretokenizers"][0].update(pattern={"String": "\n"}, invert=False)  # one piece a line
+        self.lines = Tokenizer.from_str(json.dumps(spec))
         self.cache_words = cache_words
         self.cache: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def pieces(self, fresh: list[str]) -> list[bytes]:
-        """The ids of pieces, many in one call, with a special token between them."""
+    def letters(self, pieces: list[str]) -> list[bytes]:
+        """The ids of lower-case Latin pieces, thousands in one call."""
         out: list[bytes] = []
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at : at + 4096]
-            ids = np.array(self.library.encode(self.stop.join(some), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == self.stop_id).tolist()
-            raw, low = ids.tobytes(), 0
-            for high in [*cut, len(ids)]:
-                out.append(raw[4 * low : 4 * high])
-                low = high + 1
+        for at in range(0, len(pieces), 4096):
+            got = self.lines.encode("\n".join(pieces[at : at + 4096]), add_special_tokens=False)
+            raw = np.array(got.ids, "<u4").tobytes()
+            cut = np.searchsorted(np.array(got.word_ids), np.arange(len(pieces[at : at + 4096]) + 1)) * 4
+            cut = cut.tolist()
+            out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def pieces(self, fresh: list[str]) -> list[bytes]:
+        """The ids of distinct pieces without blanks."""
         cache = self.cache
         if len(cache) > self.cache_words:
             cache.clear()
-        new: set[str] = set()
-        split: list[list[str] | None] = []
-        for text in texts:
-            if self.opening in text:
-                split.append(None)
-            else:
-                split.append(words := text.replace("\n", " ").split(" "))
-                new.update(words)
-        match, parts, need = LETTERS_SIGNS.fullmatch, {}, set()
-        for word in new.difference(cache):
-            if m := match(word):
-                parts[word] = both = (m[1].lower(), m[2])
-                need.update(both)
-            else:
-                need.add(word)
-        fresh = sorted(need.difference(cache))
-        cache.update(zip(fresh, self.pieces(fresh), strict=True))
-        cache.update({w: cache[a] + cache[b] for w, (a, b) in parts.items()})
-        out = [b"" if words is None else b"".join(map(cache.__getitem__, words)) for words in split]
-        for k, ids in zip([k for k, x in enumerate(split) if x is None], self.whole([t for t, x in zip(texts, split, strict=True) if x is None]), strict=True):
-            out[k] = ids
-        return out
-
-
-def write_shards(df: DataFrame, tokenizer_json: str, end_id: int, uri: str, text: str = "text", key: str = "doc_id", part_bytes: int = 32 << 20, shard_tokens: int = 4_000_000) -> DataFrame:
+        new = [w for w in fresh if w not in cache]
+        plain = [w for w in new if latin(w)]
+        cache.update(zip(plain, self.letters([w.lower() for w in plain]), strict=True))
+        other = [w for w in new if w not in cache]
+        cache.update(zip(other, self.whole(other), strict=True))
+        return [cache[w] for w in fresh]
+
+    def words(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks one after another, and where each begins (and the last ends).
+
+        A chunk of Latin letters and trailing signs is its two parts; any other is one part.
+        """
+        core = pc.utf8_rtrim(fresh, characters=SIGNS)
+        apart = pc.match_substring_regex(core, "^[a-zA-ZÀ-ÖØ-öø-ÿ]+$")
+        core = pc.if_else(apart, core, fresh)
+        # the rest of each chunk, cut from the bytes of all
+        size, whole = (pc.binary_length(x).to_numpy() for x in (core, fresh))
+        data = np.frombuffer(fresh.buffers()[2] or b"", np.uint8)
+        left = whole - size
+        end = np.cumsum(whole.astype(np.int64))
+        offsets = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
+        at = np.arange(int(offsets[-1])) + np.repeat(end - left - offsets[:-1], left)
+        tail = pa.StringArray.from_buffers(len(fresh), pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes()))
+        parts = []
+        for column in (core, tail):
+            coded = column.dictionary_encode()
+            ids = self.pieces(coded.dictionary.to_pylist())
+            parts.append((coded.indices.to_numpy(), ids))
+        (i, a), (j, b) = parts
+        ids = a + b
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        index = np.stack([i, j + len(a)], 1).ravel().astype(np.int64)
+        n = size[index]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return flat[np.arange(total[-1]) + np.repeat(begin[index] - total[:-1], n)], total[::2]
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (null: empty), one after another, each followed by ``end_id``, and their numbers."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring(texts, self.opening)
+        low = pc.ascii_lower(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " "))
+        chunks = pc.split_pattern(low, " ")
+        coded = chunks.flatten().dictionary_encode()
+        at = chunks.offsets.to_numpy()
+        at = at - at[0]
+        flat, begin = self.words(coded.dictionary)
+        size, begin = np.diff(begin), begin[:-1]
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        # one more word for each text: the end, after the library's ids where the text went there whole
+        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+        tails = [end, *(x + end for x in self.whole([texts[int(k)].as_py() for k in whole]))]
+        last = np.full(len(texts), len(size), np.int64)
+        last[whole] = len(size) + 1 + np.arange(len(whole))
+        more = np.array([len(x) // 4 for x in tails], np.int64)
+        begin = np.concatenate([begin, len(flat) + np.cumsum(more) - more])
+        size = np.concatenate([size, more])
+        flat = np.concatenate([flat, np.frombuffer(b"".join(tails), "<u4")])
+        index = np.insert(coded.indices.to_numpy().astype(np.int64), at[1:], last)
+        n = size[index]
+        total = np.concatenate([[0], np.cumsum(n)])
+        place = np.arange(total[-1]) + np.repeat(begin[index] - total[:-1], n)
+        per_text = total[at[1:] + np.arange(1, len(texts) + 1)] - total[at[:-1] + np.arange(len(texts))]
+        return flat[place], per_text
+
+
+def write_shards(df: DataFrame, tokenizer_json: str, end_id: int, uri: str, text: str = "text", key: str = "doc_id", part_bytes: int = 64 << 20, shard_tokens: int = 4_000_000) -> DataFrame:
     """Encodes every text and writes shard files below ``uri``, in ascending order of the integer key.
 
     Returns a manifest: path, part, seq, n_docs, n_tokens.  Running it writes the
@@ -263,23 +313,28 @@ def write_shards(df: DataFrame, tokenizer_json: str, end_id: int, uri: str, text
         part, seq = TaskContext.get().partitionId(), 0
         encoder = ChunkEncoder(tokenizer_json)
         bits = max(encoder.vocabulary - 1, end_id).bit_length()
-        end = np.uint32(end_id).astype("<u4").tobytes()
-        keys, found, held = [], [], 0
+        keys, sizes, found, held = [], [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(found), "<u4")
-            put(path := f"{uri}/{part:06d}-{seq:05d}.wm", pack(keys, [len(x) // 4 for x in found], ids, bits))
-            return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_docs": [len(keys)], "n_tokens": [len(ids)]}, schema=schema)
+            put(path := f"{uri}/{part:06d}-{seq:05d}.wm", pack(keys, sizes, np.concatenate(found), bits))
+            return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_docs": [len(keys)], "n_tokens": [held]}, schema=schema)
 
         for batch in batches:
-            for some in slices(batch, 4_000_000, "_text"):
-                for k, ids in zip(some["_key"].to_pylist(), encoder.encode(texts_of(some, "_text")), strict=True):
-                    keys.append(k)
-                    found.append(ids + end)
-                    held += len(ids) // 4 + 1
+            for some in slices(batch, 16_000_000, "_text"):
+                ids, size = encoder.encode(some["_text"], end_id)
+                end = np.cumsum(size)
+                names, low = some["_key"].to_pylist(), 0
+                while low < len(names):  # as many documents as fill the shard
+                    start = int(end[low - 1]) if low else 0
+                    high = min(len(names), 1 + int(np.searchsorted(end, start + shard_tokens - held)))
+                    keys += names[low:high]
+                    sizes += size[low:high].tolist()
+                    found.append(ids[start : int(end[high - 1])])
+                    held += len(found[-1])
+                    low = high
                     if held >= shard_tokens:
                         yield flush()
-                        keys, found, held, seq = [], [], 0, seq + 1
+                        keys, sizes, found, held, seq = [], [], [], 0, seq + 1
         if keys:
             yield flush()
 
