@@ -322,3 +322,19 @@ def identify(df: DataFrame, models: Models, text: str = "text", keep: tuple[str,
                 yield pa.RecordBatch.from_arrays([*(part[c].cast(schema.field(c).type) for c in keep), *(pa.array(x, schema.field(c).type) for c, x in zip(made, decided, strict=True))], schema=schema)
 
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, out)
+
+
+def known(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns unchanged, whose text isn't rejected."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(df.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(models)
+        for batch in batches:
+            for part in slices(batch, 6_000_000, text):
+                rejected = models.decide(*scorer.texts(texts_of(part, text)))[3]
+                yield pa.RecordBatch.from_arrays([part.column(k).cast(schema.field(k).type) for k in range(part.num_columns)], schema=schema).filter(pa.array(~rejected))
+
+    return df.mapInArrow(run, df.schema)

@@ -180,3 +180,15 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     taken = joined.groupBy("_id").agg(F.sum(words).cast("long").alias("taken"))
     out = placed.join(taken, "_id", "left").select(key, "_source_no", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     return out, plan
+
+
+def mixed(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``df``, all columns unchanged, as often as the mix takes them, to the nearest whole number.
+
+    Texts without words are in no mix.  Rows with the same key share what their
+    key takes.
+    """
+    parts, _ = mix(df, text, source, key, **options)
+    times = parts.groupBy(F.col(key).alias("__key")).agg(F.round(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1))).cast("int").alias("__times")).where("__times > 0")
+    rows = df.join(times, df[key].eqNullSafe(times["__key"])).drop("__key")
+    return rows.withColumn("__times", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times")

@@ -32,6 +32,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from spanlake.llm.pii import detect, train
+
+    docs = table(spark, sf_dir, "documents")
+    return detect(docs, train(docs))
+
+
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     from spanlake.llm.wavelet import write_and_read
 
@@ -81,6 +88,7 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_bpe": op2_bpe,
+    "op3_pii": op3_pii,
     "op4_wavelet": op4_wavelet,
     "op5_knn": op5_knn,
     "op6_mix": op6_mix,
@@ -110,8 +118,8 @@ ORACLE: dict[str, str] = {
         d as (select page_id, octet_length(b) as payload_bytes, sha1(b) as h, min(page_id) over (partition by b) as first_id from p)
         select page_id, payload_bytes,
                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                   1 + (((strpos('0123456789abcdef', substr(h, 1 + (5 * i) // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2 + (5 * i) // 4, 1)) - 1)
-                        >> (3 - (5 * i) % 4)) & 31, 1)), '') as payload_digest,
+                   1 + ((((strpos('0123456789abcdef', substr(h, 1 + (5 * i) // 4, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2 + (5 * i) // 4, 1)) - 1)
+                        >> (3 - (5 * i) % 4)) & 31), 1)), '') as payload_digest,
                case when page_id > first_id then 'revisit' else 'response' end as record_type,
                case when page_id > first_id then first_id end as refers_to
         from d

@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import slices, texts_of, written
@@ -184,3 +184,16 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", budg
 def hexadecimal(fp):
     """The fingerprint column as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def representatives(df: DataFrame, text: str = "text", key: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
+    """One row of each component, all columns unchanged: the one with the smallest key.
+
+    Of repeated rows with that key one stays.  In a component without any key,
+    one row of each text stays.
+    """
+    found = near_duplicates(df, text, key, budget, width)
+    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
+    rows = df.join(kept, df[key].eqNullSafe(kept["__kept"]), "left_semi")
+    same = Window.partitionBy(key, F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(0)).orderBy(text)
+    return rows.withColumn("__place", F.row_number().over(same)).where("__place = 1").drop("__place")
