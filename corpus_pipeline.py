@@ -4,17 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlake.llm.bpe import encode
+from pyspark.sql import functions as F
+
+from spanlake.llm import bpe, langid, mixing, pii, simhash
 from spanlake.llm.common import table, written
 from spanlake.llm.queries import vocabulary
 
 
-def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language the models reject; without labels only letterless ones go."""
+    return langid.known(docs, langid.train(docs))
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near-duplicates."""
+    return simhash.representatives(docs)
+
+
+def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data; n_chars follows the text."""
+    masked = pii.redact(docs, pii.train(docs))
+    return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources have their target weights."""
+    return mixing.mixed(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document that is left."""
-    return encode(docs, vocabulary("byte_bpe_50k.json"))
+    return bpe.encode(docs, vocabulary("byte_bpe_50k.json"), keep=("doc_id", "source"))
 
 
-STAGES = [("encode", encode_stage)]
+STAGES = [
+    ("language", language_stage),
+    ("near_duplicates", near_duplicates_stage),
+    ("personal_data", personal_data_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
 
 #: Learned models and graph components can't be stated in SQL.
 ORACLE_SQL = None
