@@ -35,6 +35,38 @@ MAGIC = b"WVLTMTX1"
 BLOCK = 1 << 16  # bits
 
 
+PART = 1 << 15  # symbols moved at a time, so that index arrays stay in the processor's cache
+
+
+def parted(x: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, int]:
+    """The symbols without the bit, then those with it, both in order; and the number of the former."""
+    out = np.empty_like(x)
+    zeros = len(x) - int(np.count_nonzero(one))
+    low, high = 0, zeros
+    for at in range(0, len(x), PART):
+        some, bit = x[at : at + PART], one[at : at + PART]
+        a, b = np.flatnonzero(~bit), np.flatnonzero(bit)
+        out[low : low + len(a)] = some[a]
+        out[high : high + len(b)] = some[b]
+        low += len(a)
+        high += len(b)
+    return out, zeros
+
+
+def joined(x: np.ndarray, one: np.ndarray, zeros: int, bit: int) -> np.ndarray:
+    """The inverse of ``parted``, with the bit set where ``one`` holds."""
+    out = np.empty_like(x)
+    low, high = 0, zeros
+    for at in range(0, len(x), PART):
+        some, mark = out[at : at + PART], one[at : at + PART]
+        a, b = np.flatnonzero(~mark), np.flatnonzero(mark)
+        some[a] = x[low : low + len(a)]
+        some[b] = x[high : high + len(b)] | x.dtype.type(bit)
+        low += len(a)
+        high += len(b)
+    return out
+
+
 def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     """The planes, as packed bytes, and the number of zeros in each."""
     x = ids.astype(np.uint16 if bits <= 16 else np.uint32)
@@ -42,9 +74,8 @@ def build(ids: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[int]]:
     for b in range(bits - 1, -1, -1):
         one = (x & x.dtype.type(1 << b)) != 0
         planes.append(np.packbits(one, bitorder="little"))
-        low = x[np.flatnonzero(~one)]
-        zeros.append(len(low))
-        x = np.concatenate([low, x[np.flatnonzero(one)]])
+        x, n = parted(x, one)
+        zeros.append(n)
     return planes, zeros
 
 
@@ -170,10 +201,7 @@ class WaveletMatrix:
             k = level * self.per_plane
             packed = [self.block(k + p) for p in range(self.per_plane)]
             one = np.unpackbits(np.concatenate(packed) if packed else np.zeros(0, np.uint8), count=self.n, bitorder="little").view(bool)
-            up = np.empty_like(x)
-            up[np.flatnonzero(~one)] = x[: self.zeros[level]]
-            up[np.flatnonzero(one)] = x[self.zeros[level] :] | x.dtype.type(1 << self.bits - 1 - level)
-            x = up
+            x = joined(x, one, self.zeros[level], 1 << self.bits - 1 - level)
         return x
 
 
@@ -196,7 +224,7 @@ class ChunkEncoder:
     the library as it is.  The tests compare all ways with the library.
     """
 
-    def __init__(self, tokenizer_json: str, cache_words: int = 1_000_000):
+    def __init__(self, tokenizer_json: str, cache_words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -320,7 +348,7 @@ def write_shards(df: DataFrame, tokenizer_json: str, end_id: int, uri: str, text
             return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_docs": [len(keys)], "n_tokens": [held]}, schema=schema)
 
         for batch in batches:
-            for some in slices(batch, 16_000_000, "_text"):
+            for some in slices(batch, 8_000_000, "_text"):
                 ids, size = encoder.encode(some["_text"], end_id)
                 end = np.cumsum(size)
                 names, low = some["_key"].to_pylist(), 0
