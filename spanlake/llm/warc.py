@@ -83,7 +83,7 @@ def parse(data: bytes) -> dict:
     return out
 
 
-def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def decided(pages: DataFrame, parts: int, min_bytes: int = 0) -> DataFrame:
     """page_id, url, _html, _sha and _first: the page whose payload is stored for this one, if another.
 
     The first of equal payloads comes from an aggregate that combines before the
@@ -94,7 +94,7 @@ def decided(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     large = rows.where(F.octet_length("_html") >= min_bytes).select("page_id", "_sha")
     first = large.groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
     later = large.join(first, "_sha").where("page_id > _first").select("page_id", "_sha", "_first").distinct()
-    return rows.join(later, ["page_id", "_sha"], "left")
+    return rows.repartition(parts, "page_id", "_sha").join(later, ["page_id", "_sha"], "left")
 
 
 def write_archives(pages: DataFrame, uri: str, min_bytes: int = 0, part_bytes: int = 16 << 20, archive_bytes: int = 64 << 20) -> DataFrame:
@@ -124,9 +124,8 @@ def write_archives(pages: DataFrame, uri: str, min_bytes: int = 0, part_bytes: i
         if members:
             yield flush()
 
-    rows = decided(pages, min_bytes)
     parts = max(8, -(-size_bytes(pages, "html") // part_bytes))
-    return rows.repartition(parts, "page_id", "_sha").mapInArrow(run, CAPTURE)
+    return decided(pages, parts, min_bytes).mapInArrow(run, CAPTURE)
 
 
 class IndexFile:
