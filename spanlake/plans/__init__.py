@@ -1,4 +1,4 @@
 """All registered queries of the reference's own operators."""
 
-from spanlake.plans import lookup, measure, pack, retrieve, scan  # noqa: F401
+from spanlake.plans import evaluate, lookup, measure, pack, retrieve, scan  # noqa: F401
 from spanlake.plans.registry import ORACLE, QUERIES  # noqa: F401
