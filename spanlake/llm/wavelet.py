@@ -238,7 +238,12 @@ class ChunkEncoder:
         spec["pre_tokenizer"]["pretokenizers"][0].update(pattern={"String": "\n"}, invert=False)  # one piece a line
         self.lines = Tokenizer.from_str(json.dumps(spec))
         self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all pieces: their texts, the number of ids of each and where these begin among all."""
+        self.known = pa.array([], pa.string())
+        self.size, self.begin, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
@@ -254,17 +259,29 @@ class ChunkEncoder:
             out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
         return out
 
-    def pieces(self, fresh: list[str]) -> list[bytes]:
-        """The ids of distinct pieces without blanks."""
-        cache = self.cache
-        if len(cache) > self.cache_words:
-            cache.clear()
-        new = [w for w in fresh if w not in cache]
-        plain = [w for w in new if latin(w)]
-        cache.update(zip(plain, self.letters([w.lower() for w in plain]), strict=True))
-        other = [w for w in new if w not in cache]
-        cache.update(zip(other, self.whole(other), strict=True))
-        return [cache[w] for w in fresh]
+    def pieces(self, distinct: pa.Array) -> np.ndarray:
+        """The number of each piece among those known; new ones are encoded first."""
+        at = pc.index_in(distinct, value_set=self.known)
+        new = distinct.filter(pc.is_null(at))
+        if len(new):
+            names = new.to_pylist()
+            plain = [k for k, w in enumerate(names) if latin(w)]
+            ids = self.letters([names[k].lower() for k in plain])
+            order = np.empty(len(names), np.int64)
+            order[plain] = np.arange(len(plain))
+            apart = np.ones(len(names), bool)
+            apart[plain] = False
+            other = np.flatnonzero(apart)
+            order[other] = len(plain) + np.arange(len(other))
+            ids += self.whole([names[k] for k in other.tolist()])
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            begin = len(self.flat) + np.cumsum(size) - size
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), "<u4")])
+            self.size, self.begin = np.concatenate([self.size, size[order]]), np.concatenate([self.begin, begin[order]])
+            fresh = len(self.known) + np.cumsum(pc.is_null(at).to_numpy(zero_copy_only=False)) - 1
+            self.known = pa.concat_arrays([self.known, new])
+            return np.where(pc.is_null(at).to_numpy(zero_copy_only=False), fresh, pc.fill_null(at, 0).to_numpy())
+        return at.to_numpy().astype(np.int64)
 
     def words(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct chunks one after another, and where each begins (and the last ends).
@@ -282,23 +299,19 @@ class ChunkEncoder:
         offsets = np.concatenate([[0], np.cumsum(left)]).astype(np.int32)
         at = np.arange(int(offsets[-1])) + np.repeat(end - left - offsets[:-1], left)
         tail = pa.StringArray.from_buffers(len(fresh), pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes()))
-        parts = []
-        for column in (core, tail):
+        index = np.empty((len(fresh), 2), np.int64)
+        for side, column in enumerate((core, tail)):
             coded = column.dictionary_encode()
-            ids = self.pieces(coded.dictionary.to_pylist())
-            parts.append((coded.indices.to_numpy(), ids))
-        (i, a), (j, b) = parts
-        ids = a + b
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begin = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        index = np.stack([i, j + len(a)], 1).ravel().astype(np.int64)
-        n = size[index]
+            index[:, side] = self.pieces(coded.dictionary)[coded.indices.to_numpy()]
+        index = index.ravel()
+        n = self.size[index]
         total = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.arange(total[-1]) + np.repeat(begin[index] - total[:-1], n)], total[::2]
+        return self.flat[np.arange(total[-1]) + np.repeat(self.begin[index] - total[:-1], n)], total[::2]
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (null: empty), one after another, each followed by ``end_id``, and their numbers."""
+        if len(self.known) > self.cache_words:
+            self.clear()
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring(texts, self.opening)
         low = pc.ascii_lower(pc.replace_substring(pc.if_else(odd, "", texts), "\n", " "))
