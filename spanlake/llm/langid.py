@@ -143,6 +143,8 @@ class Models:
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sum of log-probabilities under each language, and number of symbols, for each word."""
         s, word = symbols(words)
+        if not self.langs:
+            return np.zeros((len(words), 0)), np.bincount(word, minlength=len(words))
         total = np.zeros((len(word), len(self.langs)), np.float32)
         left = np.arange(len(word))
         for k in range(ORDER, 0, -1):
@@ -159,7 +161,7 @@ class Models:
             total[left[there]] += logs[at[there]]
         else:
             total[left] += self.rare
-        sums = np.stack([np.bincount(word, total[:, c], len(words)) for c in range(len(self.langs))], 1) if self.langs else np.zeros((len(words), 0))
+        sums = np.stack([np.bincount(word, total[:, c], len(words)) for c in range(len(self.langs))], 1)
         return sums, np.bincount(word, minlength=len(words))
 
     def tune(self, lang: np.ndarray, n: np.ndarray, entropy: np.ndarray) -> None:
