@@ -182,14 +182,14 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", keep: tuple[s
         bpe = ByteBPE(tokenizer_json)
 
         def fn(part):
-            ids = bpe.encode(texts_of(part, "_text"))
+            ids = bpe.encode(texts_of(part, "__spanlake_text"))
             flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             return {c: part[c] for c in keep} | {"ids": pa.ListArray.from_arrays(at, flat)}
 
-        yield from over_batches(fn, schema, text="_text")(batches)
+        yield from over_batches(fn, schema, text="__spanlake_text")(batches)
 
-    return df.select(*[F.col(c) for c in keep], F.col(text).alias("_text")).mapInArrow(run, out)
+    return df.select(*[F.col(c) for c in keep], F.col(text).alias("__spanlake_text")).mapInArrow(run, out)
 
 
 def decode(df: DataFrame, tokenizer_json: str, keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
@@ -226,7 +226,7 @@ def round_trip(df: DataFrame, tokenizer_json: str, text: str = "text", key: str
         bpe = ByteBPE(tokenizer_json)
 
         def fn(part):
-            ids = bpe.encode(texts_of(part, "_text"))
+            ids = bpe.encode(texts_of(part, "__spanlake_text"))
             return {
                 key: part[key],
                 "n_tokens": [len(x) // 4 for x in ids],
@@ -234,6 +234,6 @@ def round_trip(df: DataFrame, tokenizer_json: str, text: str = "text", key: str
                 "decoded_sha256": [digest(bpe.decode(x).encode()) for x in ids],
             }
 
-        yield from over_batches(fn, schema, text="_text")(batches)
+        yield from over_batches(fn, schema, text="__spanlake_text")(batches)
 
-    return df.select(key, F.col(text).alias("_text")).mapInArrow(run, out)
+    return df.select(key, F.col(text).alias("__spanlake_text")).mapInArrow(run, out)

@@ -261,8 +261,8 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     that makes about ``train_chars`` characters a language; the next share, of
     ``tune_chars``, is for the calibration.
     """
-    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(key).cast("string").alias("_key"))
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.sum(F.length("_text")).alias("n")).collect()}
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(text).alias("__spanlake_text"), F.col(lang).alias("_lang"), F.col(key).cast("string").alias("_key"))
+    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.sum(F.length("__spanlake_text")).alias("n")).collect()}
     sizes = {k: n for k, n in sizes.items() if n}
     if not sizes:
         return Models([])
@@ -276,12 +276,12 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
         for b in batches:
             found: dict[str, Counter] = {}
-            for t, name in zip(b["_text"].to_pylist(), b["_lang"].to_pylist(), strict=True):
+            for t, name in zip(b["__spanlake_text"].to_pylist(), b["_lang"].to_pylist(), strict=True):
                 found.setdefault(name, Counter()).update(t.split())
             for name, c in found.items():
                 yield pa.RecordBatch.from_pydict({"lang": [name] * len(c), "word": list(c), "n": list(c.values())})
 
-    got = sample.where("_part = 0").select("_text", "_lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    got = sample.where("_part = 0").select("__spanlake_text", "_lang").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
     counts = {}
     for name in sorted(set(got["lang"].to_pylist())):
         mine = got.filter(pa.compute.equal(got["lang"], name))
@@ -291,10 +291,10 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models)
         for b in batches:
-            n, h = scorer.texts(texts_of(b, "_text"))
+            n, h = scorer.texts(texts_of(b, "__spanlake_text"))
             yield pa.RecordBatch.from_pydict({"lang": b["_lang"], "n": n, "h": pa.array(h.tolist(), pa.list_(pa.float64()))})
 
-    tuning = sample.where("_part = 1").select("_text", "_lang").mapInArrow(measure, "lang string, n long, h array<double>").where("n > 0").toArrow()
+    tuning = sample.where("_part = 1").select("__spanlake_text", "_lang").mapInArrow(measure, "lang string, n long, h array<double>").where("n > 0").toArrow()
     own = [k for k, x in enumerate(tuning["lang"].to_pylist()) if x in models.langs]
     if own:
         models.tune(np.array(tuning["lang"].to_pylist())[own], tuning["n"].to_numpy()[own], np.array(tuning["h"].to_pylist())[own])
@@ -319,11 +319,11 @@ def identify(df: DataFrame, models: Models, text: str = "text", keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models)
         for batch in batches:
-            for part in slices(batch, 6_000_000, "_text"):
-                decided = models.decide(*scorer.texts(texts_of(part, "_text")))
+            for part in slices(batch, 6_000_000, "__spanlake_text"):
+                decided = models.decide(*scorer.texts(texts_of(part, "__spanlake_text")))
                 yield pa.RecordBatch.from_arrays([*(part[c].cast(schema.field(c).type) for c in keep), *(pa.array(x, schema.field(c).type) for c, x in zip(made, decided, strict=True))], schema=schema)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, out)
+    return df.select(*keep, F.col(text).alias("__spanlake_text")).mapInArrow(run, out)
 
 
 def known(df: DataFrame, models: Models, text: str = "text") -> DataFrame:

@@ -210,12 +210,12 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, base)
         for batch in batches:
-            for part in slices(batch, 8_000_000, "_text"):
+            for part in slices(batch, 8_000_000, "__spanlake_text"):
                 rows = []
-                for t in texts_of(part, "_text"):
+                for t in texts_of(part, "__spanlake_text"):
                     n, nb, first, last, bl, al, score, matches = scanner.scan(t)
                     rows.append((n, nb, first, last, ",".join(bl), ",".join(al), score, ",".join(f"{x}:{a}:{b}" for x, a, b in sorted(matches, key=lambda m: (m[1], m[0])))))
                 cols = list(zip(*rows, strict=True)) if rows else [[] for _ in made]
                 yield pa.RecordBatch.from_arrays([*(part[c].cast(schema.field(c).type) for c in keep), *(pa.array(x, schema.field(c).type) for (c, _), x in zip(made, cols, strict=True))], schema=schema)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, out)
+    return df.select(*keep, F.col(text).alias("__spanlake_text")).mapInArrow(run, out)

@@ -252,14 +252,14 @@ class Field:
 
 def train(df: DataFrame, text: str = "text", key: str = "doc_id", train_docs: int = 20_000) -> Field:
     """The field learned from about ``train_docs`` documents, taken by a hash of their key."""
-    rows = df.select(F.col(text).alias("_text"), F.col(key).cast("string").alias("_key")).where(F.col("_text").rlike("[0-9@]"))
+    rows = df.select(F.col(text).alias("__spanlake_text"), F.col(key).cast("string").alias("_key")).where(F.col("__spanlake_text").rlike("[0-9@]"))
     n = rows.count()
     place = F.pmod(F.xxhash64(F.coalesce("_key", F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c: Counter = Counter()
-            for t in b["_text"].to_pylist():
+            for t in b["__spanlake_text"].to_pylist():
                 found = nodes(t)
                 label = [max(x[2], 0) for x in found]
                 c.update(("shape", x[3], y) for x, y in zip(found, label, strict=True))
@@ -268,7 +268,7 @@ def train(df: DataFrame, text: str = "text", key: str = "doc_id", train_docs: in
                 c.update(("skip", label[i], label[j]) for i, j in skip if label[i] and label[j])
             yield pa.RecordBatch.from_pydict({"kind": [k[0] for k in c], "a": [k[1] for k in c], "b": [k[2] for k in c], "n": list(c.values())}, schema=pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
 
-    sample = rows.where(place < min(1.0, train_docs / max(n, 1))).select("_text")
+    sample = rows.where(place < min(1.0, train_docs / max(n, 1))).select("__spanlake_text")
     got = sample.mapInArrow(count, "kind string, a long, b long, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).collect()
     return Field.fit(Counter({(r["kind"], r["a"], r["b"]): r["n"] for r in got}))
 
@@ -290,14 +290,14 @@ def detect(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 8_000_000, "_text"):
-                found = field.find(texts_of(part, "_text"), certain)
+            for part in slices(batch, 8_000_000, "__spanlake_text"):
+                found = field.find(texts_of(part, "__spanlake_text"), certain)
                 cols = [part[c].cast(schema.field(c).type) for c in keep]
                 cols += [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
                 cols += [pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string()), pa.array([joined(base + more) for base, more in found], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, schema=schema)
 
-    return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, out)
+    return df.select(*keep, F.col(text).alias("__spanlake_text")).mapInArrow(run, out)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

@@ -62,11 +62,11 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 8_000_000, "_text"):
-                fp = np.array([fingerprint(t, width) for t in texts_of(part, "_text")], np.uint64).view(np.int64)
+            for part in slices(batch, 8_000_000, "__spanlake_text"):
+                fp = np.array([fingerprint(t, width) for t in texts_of(part, "__spanlake_text")], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part[key].cast(schema.field(key).type), pa.array(fp)], schema=schema)
 
-    return df.select(key, F.col(text).alias("_text")).mapInArrow(run, out)
+    return df.select(key, F.col(text).alias("__spanlake_text")).mapInArrow(run, out)
 
 
 def trie_links(fp: np.ndarray, fixed: np.ndarray, budget: int, order: list[int], leaf: int = 8, frontier: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:

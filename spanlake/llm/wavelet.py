@@ -361,8 +361,8 @@ def write_shards(df: DataFrame, tokenizer_json: str, end_id: int, uri: str, text
             return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_docs": [len(keys)], "n_tokens": [held]}, schema=schema)
 
         for batch in batches:
-            for some in slices(batch, 8_000_000, "_text"):
-                ids, size = encoder.encode(some["_text"], end_id)
+            for some in slices(batch, 8_000_000, "__spanlake_text"):
+                ids, size = encoder.encode(some["__spanlake_text"], end_id)
                 end = np.cumsum(size)
                 names, low = some["_key"].to_pylist(), 0
                 while low < len(names):  # as many documents as fill the shard
@@ -380,8 +380,8 @@ def write_shards(df: DataFrame, tokenizer_json: str, end_id: int, uri: str, text
             yield flush()
 
     schema = pa.schema([("path", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
-    rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    dealt = rows.repartitionByRange(parts, "_key").sortWithinPartitions("_key", "_text")
+    rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("__spanlake_text"))
+    dealt = rows.repartitionByRange(parts, "_key").sortWithinPartitions("_key", "__spanlake_text")
     return dealt.mapInArrow(run, "path string, part int, seq int, n_docs long, n_tokens long")
 
 
