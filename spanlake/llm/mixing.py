@@ -39,18 +39,16 @@ def word_count(text):
 
 def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
     """Shares of ``total`` by weight, none above ``most`` times its size; the excess goes to the others by weight."""
-    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(total)
-    while free:
-        unit = left / sum(weights[k] for k in free)
-        full = [k for k in free if unit * weights[k] > most * sizes[k]]
-        if not full:
-            for k in free:
-                out[k] = unit * weights[k]
+    # sources fill up in the order of their room for each unit of weight; the rest share what is left
+    order = sorted(range(len(sizes)), key=lambda k: most * sizes[k] / weights[k])
+    out, left, weight = [0.0] * len(sizes), float(total), sum(weights)
+    for place, k in enumerate(order):
+        if left / weight * weights[k] <= most * sizes[k]:
+            for j in order[place:]:
+                out[j] = left / weight * weights[j]
             break
-        for k in full:
-            out[k] = most * float(sizes[k])
-            left -= out[k]
-            free.discard(k)
+        out[k] = most * float(sizes[k])
+        left, weight = left - out[k], weight - weights[k]
     return out
 
 
@@ -111,8 +109,8 @@ def schedule(spark, goals: list[float], sizes: list[int], block: int) -> DataFra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for run in b["id"].to_pylist():
-                n = np.bincount(source_of(run)[1], minlength=len(length))
-                yield pa.RecordBatch.from_pydict({"run": np.full(len(n), run), "n": n, "source_no": np.arange(len(n), dtype=np.int32)})
+                source, n = np.unique(source_of(run)[1], return_counts=True)
+                yield pa.RecordBatch.from_pydict({"run": np.full(len(n), run), "n": n, "source_no": source.astype(np.int32)})
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -181,19 +181,20 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", budg
     return rows.join(of, "fp").select(key, "fp", "component_id")
 
 
-def hexadecimal(fp):
-    """The fingerprint column as 16 lowercase hex digits."""
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
 def representatives(df: DataFrame, text: str = "text", key: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
     """One row of each component, all columns unchanged: the one with the smallest key.
 
-    Of repeated rows with that key one stays.  In a component without any key,
-    one row of each text stays.
+    Of repeated rows with that key one stays.  Rows without a key can't be named
+    by a component; one of each text stays.  Texts are shuffled once: the join
+    and the choice among repeated rows share its partitioning.
     """
     found = near_duplicates(df, text, key, budget, width)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__kept")).distinct()
-    rows = df.join(kept, df[key].eqNullSafe(kept["__kept"]), "left_semi")
-    same = Window.partitionBy(key, F.when(F.col(key).isNull(), F.xxhash64(text)).otherwise(0)).orderBy(text)
-    return rows.withColumn("__place", F.row_number().over(same)).where("__place = 1").drop("__place")
+    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
+    first = lambda rows, by: rows.withColumn("__place", F.row_number().over(Window.partitionBy(by).orderBy(text))).where("__place = 1").drop("__place")
+    named = first(df.where(F.col(key).isNotNull()).join(kept, key, "left_semi").select(df.columns), key)
+    return named.unionByName(first(df.where(F.col(key).isNull()), F.xxhash64(text)))
+
+
+def hexadecimal(fp):
+    """The fingerprint column as 16 lowercase hex digits."""
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
