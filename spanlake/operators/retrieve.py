@@ -26,12 +26,12 @@ def bm25(docs: DataFrame, terms: DataFrame, k: int = 20, doc: str = "doc_id", bo
     """
     words = tokens if tokens is not None else T.terms(F.coalesce(F.col(body), F.lit("")))
     counted = docs.select(doc, words.alias("_w")).select(doc, "_w", F.size("_w").alias("_dl"))
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"))
+    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), F.lit(1).alias("_one"))
     wanted = terms.select("term").distinct()
     post = counted.select(doc, "_dl", F.explode("_w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", doc, "_dl").agg(F.count("*").alias("_tf"))
     df = post.groupBy("term").agg(F.count("*").alias("_df"))
     idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
-    weights = df.crossJoin(F.broadcast(stats)).select("term", "_avg", idf.alias("_idf"))  # stats is one row
+    weights = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one").select("term", "_avg", idf.alias("_idf"))  # stats is one row
     part = F.col("_idf") * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
     scored = post.join(weights, "term").select("term", doc, part.alias("_s")).join(terms, "term").groupBy(key, doc).agg(F.round(-F.sum("_s"), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("score", doc))).where(F.col("rank") <= k)
