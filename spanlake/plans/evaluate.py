@@ -9,7 +9,9 @@ from spanlake.operators import evaluate as E
 from spanlake.plans.registry import query
 from spanlake.sources.corpus import table
 
-k, c = F.col("o_orderkey"), F.col("o_custkey")
+def ids():
+    """The columns that the made-up cases are drawn from."""
+    return F.col("o_orderkey"), F.col("o_custkey")
 
 
 @query("""with t as (select p_brand || (p_partkey % 700) as id, p_partkey as "row", ['smoke', 'pilot', 'holdout', 'other'][1 + p_size % 4] as split, ['local_bug', 'cross_file', 'api_tests', 'configuration', 'misc'][1 + p_partkey % 5] as category,
@@ -31,6 +33,7 @@ def validate_tasks(spark, sf_dir):
     i as (select *, list_filter([case when not ap then 'M1' end, case when not (ap and ec) then 'M2' end, case when patch_bytes = 0 then 'M3' end, case when oos then 'M4' end, case when imm then 'M5' end, case when stopped then 'M6' end], lambda x: x is not null) as items from f)
     select attempt_id, failure_class, array_to_string(items, ',') as failed_items, case when len(items) = 0 then 'accepted' when failure_class = 'environmental' and len(list_filter(items, lambda x: x not in ('M1', 'M2'))) = 0 then 'undetermined' else 'rejected' end as verdict from i""")
 def mechanical_check(spark, sf_dir):
+    k, c = ids()
     states = F.array(*[F.lit(x) for x in ("passed", "patch_regression", "env_blocked", "apply_failed", None, "acceptance_error", "other")])
     a = table(spark, sf_dir, "orders").select(k.alias("attempt_id"), F.get(states, (k % 7).cast("int")).alias("state"), F.when(c % 4 != 0, c % 4 != 1).alias("applied"), F.when(c % 5 != 0, k % 3).alias("exit_code"), (c % 10 * 7).alias("patch_bytes"),
                                               (k % 11 == 0).cast("int").alias("out_of_scope"), (k % 13 == 0).cast("int").alias("immutable_touched"), (c % 6 == 0).alias("stopped"))
@@ -46,6 +49,7 @@ ADJ_SQL = f"""{ITEM_SQL}, adj as (select item_id, case when not scored then 'no_
 
 
 def items(spark, sf_dir):
+    k, c = ids()
     pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
     return table(spark, sf_dir, "orders").select(
         k.alias("item_id"), F.when(F.col("o_orderstatus") == "F", "rejected").otherwise("accepted").alias("mechanical"), (c % 17 != 0).alias("scored"), F.when(c % 3 == 0, "llm").otherwise("human").alias("first_kind"),
@@ -64,6 +68,7 @@ def adjudicate(spark, sf_dir):
     select id, case when reason = 'green' then 'accepted' when reason in ('public_empty', 'public_failed', 'private_failed') then 'rejected' else 'undetermined' end as final,
       case when reason = 'green' then null when reason in ('public_empty', 'public_failed', 'private_failed') then 'patch_fault' else 'environmental' end as failure_class, reason from r""")
 def gate_merge(spark, sf_dir):
+    k, c = ids()
     pick = lambda names, at: F.get(F.array(*[F.lit(n) for n in names]), at.cast("int"))
     g = table(spark, sf_dir, "orders").select(
         k.alias("id"), (c % 10 == 0).alias("public_empty"), (c % 11 == 0).alias("public_timeout"), F.when(c % 12 == 0, "boom").alias("public_error"), pick([0, 0, 3, 1, None], k % 5).alias("public_exit_code"),
@@ -78,6 +83,7 @@ def gate_merge(spark, sf_dir):
     select condition, attempts, accepted, tasks, tasks_solved, round(accepted / attempts, 6) as rate_attempt, round(tasks_solved / tasks, 6) as rate_task, states, case when f = 0 and accepted > 0 then round(c::double / accepted, 4) end as cost_per_success,
       case when f > 0 then 'cost_unknown' when accepted = 0 then 'no_success' end as cost_reason from t join s using (condition)""")
 def success_table(spark, sf_dir):
+    _, c = ids()
     a = table(spark, sf_dir, "orders").select(
         F.col("o_orderpriority").alias("condition"), c.alias("task"), (F.col("o_orderstatus") == "O").alias("accepted"), F.col("o_orderstatus").alias("state"), F.when(~(F.col("o_orderpriority").startswith("1") & (c % 7 == 0)), F.col("o_totalprice")).alias("cost")
     )
@@ -87,6 +93,7 @@ def success_table(spark, sf_dir):
 @query("""with g as (select left(o_orderpriority, 1) as condition, case when o_custkey % 4 <> 0 then (1 + o_orderkey % 5)::varchar end as guess from orders)
     select count(*) as guesses, count(*) filter (guess = condition) as correct, round(count(*) filter (guess = condition) / nullif(count(*), 0), 6) as accuracy, round(1.0 / 5, 6)::double as base_rate from g where guess is not null""")
 def blinding(spark, sf_dir):
+    k, c = ids()
     g = table(spark, sf_dir, "orders").select(F.left("o_orderpriority", F.lit(1)).alias("condition"), F.when(c % 4 != 0, (1 + k % 5).cast("string")).alias("guess"))
     return E.blinding(g, 5)
 
@@ -95,6 +102,7 @@ def blinding(spark, sf_dir):
     from orders join ad on ad.item_id = o_orderkey""")
 def unblind(spark, sf_dir):
     """Opaque ids, a key that lacks some of them and scores that lack others."""
+    k, c = ids()
     o = table(spark, sf_dir, "orders").withColumn("item_id", T.opaque_id("n2", k))
     scores = E.adjudicate(items(spark, sf_dir).where("item_id % 23 <> 0")).withColumn("item_id", T.opaque_id("n2", F.col("item_id"))).select("item_id", "state")
     return E.unblind(o.select("item_id"), o.where(c % 19 != 0).select("item_id", F.col("o_orderpriority").alias("condition"), c.alias("task")), scores)

@@ -23,3 +23,12 @@ def test_entry(spark):
     df = e.entry(spark)
     assert df.columns == ["item_id", "doc_id", "score", "rank"] and df.count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert len(e.queries()) > 100"], cwd=root, check=True)
