@@ -163,6 +163,7 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     weights = [cycle[k % len(cycle)] for k in range(len(by))]
     goal = targets(sizes, weights, total_share * sum(sizes), most)
     names = spark.createDataFrame([(k, s, n, float(t)) for k, ((s, n), t) in enumerate(zip(by, goal, strict=True))], "_source_no int, _name string, source_size long, target double")
+    # a row for each source, as many as the driver has just listed
     docs = docs.join(F.broadcast(names), F.col("_source").eqNullSafe(F.col("_name"))).drop("_source", "_name")
     if not sum(sizes):
         return docs.select(key, "_source_no", F.col("_size").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("taken")), None

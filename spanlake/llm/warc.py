@@ -103,11 +103,12 @@ def write_archives(pages: DataFrame, uri: str, min_bytes: int = 0, part_bytes: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, seq = TaskContext.get().partitionId(), 0
+        # rows may come in another order to a task that runs again, so each attempt has files of its own
+        task, seq = f"part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}", 0
         members, captures, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            put(f"{uri}/part-{part:06d}-{seq:04d}.warc.gz", b"".join(members))
+            put(f"{uri}/{task}-{seq:04d}.warc.gz", b"".join(members))
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*captures, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "page_id", "digest", "archive", "offset", "length"])
 
         for b in batches:
@@ -115,7 +116,7 @@ def write_archives(pages: DataFrame, uri: str, min_bytes: int = 0, part_bytes: i
                 payload, digest = html.encode(), digest_name(sha)
                 pack = zlib.compressobj(1, zlib.DEFLATED, 31)
                 member = pack.compress(record(page_id, url, payload, len(payload), digest, first)) + pack.flush()
-                captures.append((url_key(url), page_id, digest, f"part-{part:06d}-{seq:04d}.warc.gz", held, len(member)))
+                captures.append((url_key(url), page_id, digest, f"{task}-{seq:04d}.warc.gz", held, len(member)))
                 members.append(member)
                 held += len(member)
                 if held >= archive_bytes:
@@ -184,7 +185,7 @@ def write_index(captures: DataFrame, uri: str, per_file: int = 50_000) -> DataFr
         seq = 0
 
         def flush() -> pa.RecordBatch:
-            put(path := f"{uri}/part-{TaskContext.get().partitionId():06d}-{seq:04d}.idx", IndexFile.pack(held))
+            put(path := f"{uri}/part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}-{seq:04d}.idx", IndexFile.pack(held))
             return pa.RecordBatch.from_pydict({"path": [path], "key": [held[0][0]], "page_id": [held[0][1]]})
 
         for b in batches:

@@ -357,7 +357,7 @@ def write_shards(df: DataFrame, tokenizer_json: str, end_id: int, uri: str, text
         keys, sizes, found, held = [], [], [], 0
 
         def flush():
-            put(path := f"{uri}/{part:06d}-{seq:05d}.wm", pack(keys, sizes, np.concatenate(found), bits))
+            put(path := f"{uri}/{part:06d}-{TaskContext.get().taskAttemptId()}-{seq:05d}.wm", pack(keys, sizes, np.concatenate(found), bits))
             return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "seq": [seq], "n_docs": [len(keys)], "n_tokens": [held]}, schema=schema)
 
         for batch in batches:
