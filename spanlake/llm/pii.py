@@ -6,7 +6,8 @@ an ``@`` or with digits and letters.  Each node has a potential from its shape,
 neighbouring nodes share one, and so do distant nodes whose digits or names are
 alike (skip links, from each to the next one alike, so their number is linear).
 Loopy sum-product message passing makes labels of a document agree; a candidate
-becomes a span when the belief in a label reaches ``certain``.
+becomes a span when the belief in a label reaches ``certain`` and it is alike to
+a base span of its document.
 
 The shape potential is a multinomial logistic regression and the two pair
 potentials are smoothed log-ratios (piecewise training), learned from a sample of
@@ -245,8 +246,10 @@ class Field:
             owner += [k] * len(found)
         if held:
             belief = self.beliefs(np.array([x[3] for x in held], np.int64), np.array([x[2] for x in held]), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
+            alike = {(k, x[4]) for k, x in zip(owner, held, strict=True) if x[2] >= 0 and x[4] is not None}
             for i in np.flatnonzero((belief[:, 1:].max(1) >= certain) & (np.array([x[2] for x in held]) < 0)).tolist():
-                out[owner[i]][1].append((LABELS[1 + int(belief[i, 1:].argmax())], held[i][0], held[i][1]))
+                if (owner[i], held[i][4]) in alike:  # shape alone adds nothing
+                    out[owner[i]][1].append((LABELS[1 + int(belief[i, 1:].argmax())], held[i][0], held[i][1]))
         return out
 
 
