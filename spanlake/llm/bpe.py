@@ -42,7 +42,7 @@ class Special(str):
 class ByteBPE:
     """Encoder and decoder for the JSON text of a byte-level BPE tokenizer file."""
 
-    def __init__(self, tokenizer_json: str, cache_words: int = 600_000):
+    def __init__(self, tokenizer_json: str, cache_words: int = 400_000):
         import regex
 
         spec = json.loads(tokenizer_json)

@@ -50,7 +50,7 @@ def size_bytes(df: DataFrame, text: str) -> int:
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def over_batches(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, max_chars: int = 8_000_000, text: str = "text") -> Callable:
+def over_batches(fn: Callable[[pa.RecordBatch], dict], schema: pa.Schema, max_chars: int = 4_000_000, text: str = "text") -> Callable:
     """A mapInArrow function that calls ``fn`` on slices holding about ``max_chars`` bytes of text each.
 
     ``fn`` returns a column for each field of ``schema``.  A slice has one row at

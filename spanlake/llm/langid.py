@@ -215,7 +215,7 @@ class Models:
 class Scorer:
     """Cross-entropies of whole texts; each distinct word is scored once while it is held."""
 
-    def __init__(self, models: Models, hold: int = 500_000):
+    def __init__(self, models: Models, hold: int = 300_000):
         self.models, self.hold = models, hold
         self.clear()
 
@@ -319,7 +319,7 @@ def identify(df: DataFrame, models: Models, text: str = "text", keep: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models)
         for batch in batches:
-            for part in slices(batch, 6_000_000, "__spanlake_text"):
+            for part in slices(batch, 4_000_000, "__spanlake_text"):
                 decided = models.decide(*scorer.texts(texts_of(part, "__spanlake_text")))
                 yield pa.RecordBatch.from_arrays([*(part[c].cast(schema.field(c).type) for c in keep), *(pa.array(x, schema.field(c).type) for c, x in zip(made, decided, strict=True))], schema=schema)
 
@@ -335,7 +335,7 @@ def known(df: DataFrame, models: Models, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(models)
         for batch in batches:
-            for part in slices(batch, 6_000_000, text):
+            for part in slices(batch, 4_000_000, text):
                 rejected = models.decide(*scorer.texts(texts_of(part, text)))[3]
                 yield pa.RecordBatch.from_arrays([part.column(k).cast(schema.field(k).type) for k in range(part.num_columns)], schema=schema).filter(pa.array(~rejected))
 

@@ -210,7 +210,7 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, base)
         for batch in batches:
-            for part in slices(batch, 8_000_000, "__spanlake_text"):
+            for part in slices(batch, 4_000_000, "__spanlake_text"):
                 rows = []
                 for t in texts_of(part, "__spanlake_text"):
                     n, nb, first, last, bl, al, score, matches = scanner.scan(t)

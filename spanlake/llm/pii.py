@@ -293,7 +293,7 @@ def detect(df: DataFrame, field: Field, text: str = "text", keep: tuple[str, ...
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 8_000_000, "__spanlake_text"):
+            for part in slices(batch, 4_000_000, "__spanlake_text"):
                 found = field.find(texts_of(part, "__spanlake_text"), certain)
                 cols = [part[c].cast(schema.field(c).type) for c in keep]
                 cols += [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in KINDS]
@@ -324,7 +324,7 @@ def redact(df: DataFrame, field: Field, text: str = "text", certain: float = 0.9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 8_000_000, text):
+            for part in slices(batch, 4_000_000, text):
                 raw = part[text].to_pylist()
                 found = field.find([t or "" for t in raw], certain)
                 new = [t if t is None or not (base or more) else masked(t, base + more) for t, (base, more) in zip(raw, found, strict=True)]

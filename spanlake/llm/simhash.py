@@ -62,7 +62,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 8_000_000, "__spanlake_text"):
+            for part in slices(batch, 4_000_000, "__spanlake_text"):
                 fp = np.array([fingerprint(t, width) for t in texts_of(part, "__spanlake_text")], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part[key].cast(schema.field(key).type), pa.array(fp)], schema=schema)
 
