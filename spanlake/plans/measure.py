@@ -85,14 +85,14 @@ def page_includes(spark, sf_dir):
     return h.join(u, "target", "left").select("page_id", "target", "n", F.col("_r").isNotNull().alias("resolved"), F.when(F.col("_r"), 1.0).otherwise(0.5).alias("confidence"))
 
 
-TIME_SQL = "t as (select o_orderkey as run, (case when o_orderkey % 9 = 0 then '?' else round(o_totalprice / 1000, 2)::varchar end) || ' ' || (case when o_custkey % 7 = 0 then 'N/A' else o_custkey::varchar end) || ' ' || length(o_orderpriority) as line from orders)"
+TIME_SQL = "t as (select o_orderkey as run, (case when o_orderkey % 9 = 0 then '?' else floor(o_totalprice)::bigint::varchar end) || ' ' || (case when o_custkey % 7 = 0 then 'N/A' else o_custkey::varchar end) || ' ' || length(o_orderpriority) as line from orders)"
 
 
 @query(f"with {TIME_SQL} select run, try_cast(split_part(line, ' ', 1) as double) as wall_s, try_cast(split_part(line, ' ', 2) as double) as max_rss, try_cast(split_part(line, ' ', 3) as double) as faults from t")
 def parse_time_line(spark, sf_dir):
     """Timing lines made from orders; ``?`` and ``N/A`` are null."""
     o = table(spark, sf_dir, "orders")
-    wall = F.when(F.col("o_orderkey") % 9 == 0, "?").otherwise(F.round(F.col("o_totalprice") / 1000, 2).cast("string"))
+    wall = F.when(F.col("o_orderkey") % 9 == 0, "?").otherwise(F.floor("o_totalprice").cast("string"))
     rss = F.when(F.col("o_custkey") % 7 == 0, "N/A").otherwise(F.col("o_custkey").cast("string"))
     line = F.concat_ws(" ", wall, rss, F.length("o_orderpriority").cast("string"))
     part = lambda k: F.expr(f"try_cast(split_part(line, ' ', {k}) as double)")
@@ -138,10 +138,10 @@ def paired_ratio(spark, sf_dir):
     return M.paired_ratio(li, ["l_returnflag", "l_suppkey"], "l_linestatus", ("F", "O"), "l_extendedprice")
 
 
-@query("""select l_linestatus as impl, count(*) as runs, median(round(l_extendedprice / nullif(l_quantity, 0), 6)) as ratio_p50, max(round(l_extendedprice / nullif(l_quantity, 0), 6)) as ratio_max, count(*) filter (l_quantity > 45) as over_limit from lineitem group by 1""")
+@query("""select l_linestatus as impl, count(*) as runs, median(floor(l_extendedprice / nullif(l_quantity, 0) * 10000) / 10000) as ratio_p50, max(floor(l_extendedprice / nullif(l_quantity, 0) * 10000) / 10000) as ratio_max, count(*) filter (l_quantity > 45) as over_limit from lineitem group by 1""")
 def budget_fidelity(spark, sf_dir):
     """The ratio is taken run by run and then summarised."""
-    r = F.round(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0)), 6)
+    r = F.floor(F.col("l_extendedprice") / F.nullif(F.col("l_quantity"), F.lit(0)) * 10000) / 10000
     li = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("impl"), r.alias("r"), "l_quantity")
     return li.groupBy("impl").agg(F.count("*").alias("runs"), F.median("r").alias("ratio_p50"), F.max("r").alias("ratio_max"), F.count_if(F.col("l_quantity") > 45).alias("over_limit"))
 
