@@ -91,14 +91,11 @@ class Models:
     @classmethod
     def fit(cls, counts: dict[str, tuple[list[str], np.ndarray]]) -> Models:
         out = cls(sorted(counts))
-        seen = {}
-        for lang, (words, times) in counts.items():
-            s, word = symbols(words)
-            seen[lang] = (s, times[word].astype(np.float64))
         # the distinct n-grams of each order and language, with counts (highest order) or numbers of symbols before them
         tables: list[dict[str, tuple]] = [{} for _ in range(ORDER + 1)]
-        for lang, (s, weight) in seen.items():
-            grams, value = s, weight
+        for lang, (words, times) in counts.items():
+            grams, word = symbols(words)
+            value = times[word].astype(np.float64)
             for k in range(ORDER, 0, -1):
                 key = keyed(grams[:k][::-1])
                 hashes, first, at = np.unique(key, return_index=True, return_inverse=True)
@@ -254,7 +251,7 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_chars: int = 4_000_000, tune_chars: int = 1_000_000) -> Models:
+def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_chars: int = 2_000_000, tune_chars: int = 1_000_000) -> Models:
     """Models from a bounded sample of the labelled rows that aren't held out.
 
     Whole texts are taken while a hash of their key is below a share of its range
