@@ -98,6 +98,14 @@ def test_chunks_equal_library(libraries, texts):
 test_chunks_equal_library.encoder = wavelet.ChunkEncoder(vocabulary("word_bpe_49k.json"), cache_words=50)
 
 
+def test_encoders_equal_libraries_over_code_points(byte_bpe, libraries):
+    texts = [f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1{chr(c)}  A{chr(c)}. É.{chr(c)}" for c in range(1, 0x3100)]
+    assert byte_bpe.encode(texts) == ids_of(libraries["byte_bpe_50k.json"], texts)
+    ids, size = test_chunks_equal_library.encoder.encode(pa.array(texts))
+    end = np.cumsum(size)
+    assert [ids[b - n : b].tobytes() for b, n in zip(end, size, strict=True)] == ids_of(libraries["word_bpe_49k.json"], texts)
+
+
 def test_token_files(spark, odd, empty, libraries):
     got = [tuple(r) for r in wavelet.write_and_read(spark, odd, vocabulary("word_bpe_49k.json"), 2).orderBy("start").collect()]
     docs = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
