@@ -4,15 +4,17 @@ Base spans come from fixed patterns and are certain.  The field's nodes are a
 document's base spans and its other candidates: runs of digits, and tokens with
 an ``@`` or with digits and letters.  Each node has a potential from its shape,
 neighbouring nodes share one, and so do distant nodes whose digits or names are
-alike (skip links, from each to the next one alike, so their number is linear).
-Loopy sum-product message passing makes labels of a document agree; a candidate
-becomes a span when the belief in a label reaches ``certain`` and it is alike to
-a base span of its document.
+alike (skip links: from each candidate to the first base span of each kind it is
+alike to, or, without any, to the first alike; so their number is linear and a
+repeat's evidence does not depend on how many there are).  Loopy sum-product
+message passing, run until no message changes, makes labels of a document agree;
+a candidate becomes a span when the belief in a label reaches ``certain`` and it
+is alike to a base span of its document.
 
 The shape potential is a multinomial logistic regression and the two pair
 potentials are smoothed log-ratios (piecewise training), learned from a sample of
 about ``train_docs`` documents with digits or ``@`` whose base spans serve as
-labels.  Detection covers all rows and whole texts; every scan is linear.
+labels; candidates alike to one have no label and are not counted.  Detection covers all rows and whole texts; every scan is linear.
 
 Results for odd input: null and empty texts have no spans; spans of different
 kinds may overlap; repeated rows give repeated results; an empty table gives no
@@ -150,17 +152,39 @@ def nodes(text: str) -> list[tuple[int, int, int, int, str | None]]:
 
 
 def links(found: list[tuple[int, int, int, int, str | None]], near: int = 3) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Neighbours (up to ``near`` characters apart) and next ones alike, as index pairs."""
+    """Neighbours (up to ``near`` characters apart) and ones alike, as index pairs.
+
+    Of those alike each base span is linked to the one before, and each candidate
+    to the first base span of each kind or, without any, to the first candidate.
+    """
     chain = [(k, k + 1) for k in range(len(found) - 1) if 0 <= found[k + 1][0] - found[k][1] <= near]
-    skip, last = [], {}
+    hubs: dict[str, dict[int, int]] = {}
+    last: dict[str, int] = {}
+    skip = []
     for k, x in enumerate(found):
-        if x[4] is not None:
+        if x[4] is not None and x[2] >= 0:
+            hubs.setdefault(x[4], {}).setdefault(x[2], k)
             if x[4] in last:
                 skip.append((last[x[4]], k))
             last[x[4]] = k
+    for k, x in enumerate(found):
+        if x[4] is not None and x[2] < 0:
+            skip += [(hub, k) for hub in hubs.setdefault(x[4], {-1: k}).values() if hub != k]
     return chain, skip
 
 
+def tally(text: str) -> Counter:
+    """Counts for ``Field.fit``; candidates alike to a base span are hidden, the others are labelled 'other'."""
+    found = nodes(text)
+    alike = {x[4] for x in found if x[2] >= 0 and x[4] is not None}
+    label = [x[2] if x[2] >= 0 else -1 if x[4] in alike else 0 for x in found]
+    c = Counter(("shape", x[3], y) for x, y in zip(found, label, strict=True) if y >= 0)
+    chain, skip = links(found)
+    c.update(("chain", label[i], label[j]) for i, j in chain if label[i] >= 0 and label[j] >= 0)
+    c.update(("skip", label[i], label[j]) for i, j in skip if label[i] > 0 and label[j] > 0)
+    return c
+
+
 class Field:
     """Potentials of the field; ``fit`` learns them from counts."""
 
@@ -202,8 +226,14 @@ class Field:
             pairs.append(np.log(table / (own[:, None] * own)))
         return cls(weights, *pairs)
 
-    def beliefs(self, shapes: np.ndarray, given: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 30) -> np.ndarray:
-        """The belief in each label for each node; ``given`` labels (not -1) are certain.  Links are index pairs."""
+    def beliefs(self, shapes: np.ndarray, given: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int | None = None, close: float = 1e-4) -> np.ndarray:
+        """The belief in each label for each node; ``given`` labels (not -1) are certain.  Links are index pairs.
+
+        A message is sent again while what comes into its node changes, so a
+        forest of any depth gets its exact beliefs.  Rounds end, without a given
+        number, when no log-message is off by ``close``; a graph with loops whose
+        messages swing is damped more and more.
+        """
         z = self.design(shapes) @ self.weights
         unary = z - np.logaddexp.reduce(z, axis=1, keepdims=True)
         known = given >= 0
@@ -212,22 +242,31 @@ class Field:
         edges = np.concatenate([chain.reshape(-1, 2), skip.reshape(-1, 2)])
         if not len(edges):
             return np.exp(unary)
-        table = np.concatenate([np.repeat(self.chain[None], len(chain), 0), np.repeat(self.skip[None], len(skip), 0)])
+        pair = np.stack([self.chain, self.skip, self.chain.T, self.skip.T])
+        table = np.repeat(np.arange(4), [len(chain.reshape(-1, 2)), len(skip.reshape(-1, 2))] * 2)
         a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
-        table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))])
-        message = np.zeros((len(a), len(LABELS)))
-        for _ in range(rounds):
-            total = unary.copy()
-            np.add.at(total, b, message)
-            out = np.logaddexp.reduce((total[a] - message[back])[:, :, None] + table, axis=1)
+        leaving = np.argsort(a, kind="stable")
+        first = np.searchsorted(a[leaving], np.arange(len(unary) + 1))
+        message, total = np.zeros((len(a), len(LABELS))), unary.copy()
+        wait, at, step = np.arange(len(a)), 0, 1.0
+        while len(wait) and (rounds is None or at < rounds):
+            out = np.logaddexp.reduce((total[a[wait]] - message[back[wait]])[:, :, None] + pair[table[wait]], axis=1)
             out -= np.logaddexp.reduce(out, axis=1, keepdims=True)
-            change = np.abs(np.exp(out) - np.exp(message)).max()
-            message = 0.5 * message + 0.5 * out
-            if change < 1e-4:
+            off = out - message[wait]
+            far = np.abs(off).max(1) >= close
+            wait, off = wait[far], off[far]
+            at += 1
+            step = 1.0 if at <= 20 else 0.5 if at <= len(unary) + 100 else 0.99 * step
+            message[wait] += step * off
+            np.add.at(total, b[wait], step * off)
+            # next: messages not yet at their value, and those leaving a node that got news
+            news = np.unique(b[wait])
+            size = first[news + 1] - first[news]
+            more = leaving[np.arange(int(size.sum())) + np.repeat(first[news] - np.cumsum(size) + size, size)]
+            wait = np.union1d(wait[step * np.abs(off).max(1) >= close] if step < 1 else wait[:0], more)
+            if step < close:
                 break
-        total = unary.copy()
-        np.add.at(total, b, message)
         return np.exp(total - np.logaddexp.reduce(total, axis=1, keepdims=True))
 
     def find(self, texts: list[str], certain: float = 0.9) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
@@ -263,12 +302,7 @@ def train(df: DataFrame, text: str = "text", key: str = "doc_id", train_docs: in
         for b in batches:
             c: Counter = Counter()
             for t in b["__spanlake_text"].to_pylist():
-                found = nodes(t)
-                label = [max(x[2], 0) for x in found]
-                c.update(("shape", x[3], y) for x, y in zip(found, label, strict=True))
-                chain, skip = links(found)
-                c.update(("chain", label[i], label[j]) for i, j in chain)
-                c.update(("skip", label[i], label[j]) for i, j in skip if label[i] and label[j])
+                c.update(tally(t))
             yield pa.RecordBatch.from_pydict({"kind": [k[0] for k in c], "a": [k[1] for k in c], "b": [k[2] for k in c], "n": list(c.values())}, schema=pa.schema([("kind", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
 
     sample = rows.where(place < min(1.0, train_docs / max(n, 1))).select("__spanlake_text")

@@ -206,6 +206,29 @@ def test_skip_chain_adds_repeats_only():
     assert f.find(["in 1999 we had 12 of 736-555-9999", ""]) == [([], []), ([], [])]
 
 
+def test_any_number_of_bare_repeats_is_found(spark):
+    def text(n, phone):
+        return f"Call +1 ({phone[:3]}) {phone[3:6]}-{phone[6:]}. " + f"word {phone[:3]}-{phone[3:6]}-{phone[6:]} then " * n
+
+    learn = [text(5, str(7365550000 + 37 * k)) + "card 4041894974608795, mail bo.42@mail8.example.com, host 10.20.30.40, in 1999 we had 12 of 4500 at 30" for k in range(40)]
+    f = pii.train(spark.createDataFrame(list(enumerate(learn)), "doc_id long, text string"))
+    for n in (1, 5, 100):
+        t = text(n, "2125552678")
+        base, more = f.find([t])[0]
+        assert len(base) == 1 and [t[a:b] for _, a, b in more] == ["212-555-2678"] * n and {k for k, _, _ in more} == {"phone"}
+
+
+def test_message_passing_reaches_the_end_of_a_chain():
+    pair = np.where(np.eye(5) > 0, 0.0, -6.0)
+    f = pii.Field(np.zeros((pii.N_FEATURES + 1, 5)), pair, pair)
+    n = 60
+    links = np.stack([np.arange(n - 1), np.arange(1, n)], 1)
+    got = f.beliefs(np.zeros(n, np.int64), np.array([4] + [-1] * (n - 1)), links, links[:0])
+    keep = 1 / (1 + 4 * np.exp(-6))  # each hop keeps a label with this probability, exactly
+    move = np.full((5, 5), (1 - keep) / 4) + (keep - (1 - keep) / 4) * np.eye(5)
+    assert np.allclose(got[-1], np.linalg.matrix_power(move, n - 1)[4], atol=1e-3)
+
+
 def test_message_passing_equals_enumeration():
     rng = np.random.default_rng(3)
     f = pii.Field(rng.normal(size=(pii.N_FEATURES + 1, 5)), rng.normal(size=(5, 5)), rng.normal(size=(5, 5)))
