@@ -3,10 +3,17 @@
 Vectors of a label are dealt to shards; each shard's task builds a graph, and every
 vector of the label queries every shard of it.  Searches run in batches with a
 beam; from a beam that is full of links a query goes on through linked nodes.  Before
-its queries a shard audits itself: a sample of its vectors is compared with all of
-the shard, and the beam is widened until the links found reach ``audit`` of those
-that exist.  Candidates count only if their cosine in double precision reaches the
-threshold.  A task returns the number of links of each query and a spanning
+its queries a shard audits itself: sampled vectors are compared with all of the
+shard until enough with few links are known, and the beam is widened until the
+mean recall of a linked vector reaches ``audit`` for small groups and large ones
+alike.  Where no beam does, or too few vectors have links to tell, the shard is
+compared exactly, by blocks.  Candidates count only if their cosine in double
+precision reaches the threshold.
+
+A pair found from either end counts for both.  Pairs of one shard meet in a bit
+matrix of its task; pairs of two shards are returned as such where a query has up
+to ``PAIRS`` of them in a shard.  Beyond that (a large group over several shards)
+its own search gives their number.  Else a task returns numbers and a spanning
 forest of the links, not all pairs.
 
 Equal vectors of a label are one entry with a number of copies.
@@ -31,6 +38,10 @@ from spanlake.llm.components import Forest, components
 from spanlake.llm.vectors import cosines, directions, matrix, usable
 
 
+#: Links of one query into another shard that are returned pair by pair.
+PAIRS = 64
+
+
 class Graph:
     """The graph of unit vectors; layer 0 holds all nodes, each layer above about a fraction 1/m."""
 
@@ -176,6 +187,11 @@ class Graph:
         rows, nodes = [], []
         for low in range(0, len(q), batch):
             part = q[low : low + batch]
+            if beam >= len(self.x):  # as wide as the shard: compared with all of it
+                r, node = np.nonzero(part @ self.x.T >= limit)
+                rows.append(low + r)
+                nodes.append(node)
+                continue
             ids, sims = self.search(part, min(beam, len(self.x)))
             r, c = np.nonzero(sims >= limit)
             r, node = r.astype(np.int64), ids[r, c]
@@ -212,28 +228,85 @@ class Graph:
             out_n.append(node)
         return np.concatenate(out_r), np.concatenate(out_n)
 
-    def audited_beam(self, limit: float, audit: float, beam: int, sample: int = 512) -> int:
-        """The smallest of beam, 2 beam, ... with which a sample of the nodes finds the share ``audit`` of its links."""
-        pick = np.unique(np.linspace(0, len(self.x) - 1, min(sample, len(self.x))).astype(np.int64))
-        there = 0
-        for low in range(0, len(pick), 64):
-            there += int((self.x[pick[low : low + 64]] @ self.x.T >= limit).sum())
-        there -= len(pick)
-        while beam < len(self.x):
-            r, c = self.within(self.x[pick], limit, beam)
-            if ((pick[r] != c).sum()) >= audit * there:
+    def audited_beam(self, limit: float, audit: float, beam: int, sample: int = 512, least: int = 64) -> int:
+        """The smallest of beam, 2 beam, ... with which linked nodes find the share ``audit`` of their links, or all nodes.
+
+        Nodes are compared with all others, in random order, until ``sample`` with
+        less than ``beam`` links are known.  Each size of group (by powers of two)
+        must reach the share, as the mean over its nodes; with fewer than ``least``
+        linked nodes, or from a beam of a quarter of the nodes on, it's exact.
+        """
+        n, few = len(self.x), 0
+        order = np.random.default_rng(11).permutation(n)
+        pick, there = [], []
+        for low in range(0, n, 64):
+            part = order[low : low + 64]
+            near = self.x[part] @ self.x.T >= limit
+            near[np.arange(len(part)), part] = False
+            count = near.sum(1)
+            pick.append(part[count > 0])
+            there.append(count[count > 0])
+            few += int(((count > 0) & (count < beam)).sum())
+            if few >= sample:
                 break
+        pick, there = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pick, there))
+        if len(pick) < least:
+            return n
+        size = np.log2(there).astype(np.int64)
+        some = np.sort(np.concatenate([np.flatnonzero(size == k)[:sample] for k in np.unique(size)]))
+        pick, there, size = pick[some], there[some], size[some]
+        while 4 * beam < n:
+            got = np.zeros(len(pick))
+            for low in range(0, len(pick), 256):
+                r, c = self.within(self.x[pick[low : low + 256]], limit, beam)
+                got += np.bincount(low + r[pick[low + r] != c], minlength=len(pick))
+            share = np.bincount(size, np.minimum(got / there, 1)) / np.maximum(np.bincount(size), 1)
+            if (share[np.unique(size)] >= audit).all():
+                return beam
             beam *= 2
-        return beam
+        return n
+
+
+class Pairs:
+    """The pairs of a shard's nodes found from either end, as bits."""
+
+    def __init__(self, n: int):
+        self.bits = np.zeros((n, -(-n // 8)), np.uint8)
+
+    def add(self, r: np.ndarray, node: np.ndarray) -> None:
+        rows, at = np.unique(r, return_inverse=True)
+        for low in range(0, len(rows), 256):
+            mine = (at >= low) & (at < low + 256)
+            dense = np.zeros((min(256, len(rows) - low), len(self.bits)), bool)
+            dense[at[mine] - low, node[mine]] = True
+            self.bits[rows[low : low + 256]] |= np.packbits(dense, axis=1)
+
+    def counts(self, copies: np.ndarray) -> np.ndarray:
+        """For each node the copies of all nodes it is paired with."""
+        n, out = len(self.bits), []
+        for low in range(0, n, 256):
+            own = np.unpackbits(self.bits[low : low + 256], axis=1, count=n)
+            back = np.unpackbits(self.bits[:, low // 8 : low // 8 + 32], axis=1)[:, : len(own)].T
+            out.append((own | back) @ copies)
+        return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
 def shard_links(rows: DataFrame, threshold: float, audit: float, beam: int, m: int) -> DataFrame:
-    """(node, n_links) and (node, other) rows from shards; ``rows`` has _label, _shard, _kind, _cid, _copies, _v.
+    """Rows from shards; ``rows`` has _label, _dim, _shard, _home, _kind, _cid, _copies, _v.
+
+    (node, other) is a link of the forest; with n_links and ``there``, that number
+    of links of the node into the shard ``there``; with n_links, back and ``there``,
+    one pair of nodes of different shards: n_links are the copies of other, which
+    is in ``there``, and back those of node, which is in ``home``.
 
     A partition holds whole shards; of each the indexed vectors (kind 0) come
     before the queries (kind 1), which stream past the graph in batches.
     """
-    schema = pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("other", pa.int64())])
+    schema = pa.schema([(c, pa.int64()) for c in ("node", "other", "n_links", "there", "back", "home")])
+
+    def out(**cols):
+        size = len(cols["node"])
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(cols[f.name], size), pa.int64()) if f.name in cols else pa.nulls(size, pa.int64()) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, held, graph = None, [], None
@@ -242,12 +315,44 @@ def shard_links(rows: DataFrame, threshold: float, audit: float, beam: int, m: i
             t = pa.Table.from_batches(held)
             v = matrix(t["_v"])
             g = Graph(directions(v), m)
-            return g, v, t["_cid"].to_numpy(), t["_copies"].to_numpy(), Forest(len(v)), g.audited_beam(threshold - 1e-4, audit, beam)
+            return g, v, t["_cid"].to_numpy(), t["_copies"].to_numpy(), Forest(len(v)), g.audited_beam(threshold - 1e-4, audit, beam), Pairs(len(v))
 
         def close():
             if graph is not None:
-                u, v = graph[4].edges()
-                yield pa.RecordBatch.from_arrays([pa.array(graph[2][u]), pa.nulls(len(u), pa.int64()), pa.array(graph[2][v])], schema=schema)
+                _, _, cid, copies, forest, _, pairs = graph
+                u, v = forest.edges()
+                yield out(node=cid[u], other=cid[v])
+                total = pairs.counts(copies)
+                some = np.flatnonzero(total)
+                yield out(node=cid[some], n_links=total[some], there=place[2])
+
+        def ask(own: np.ndarray, v: np.ndarray, home: np.ndarray, number: np.ndarray):
+            g, stored, cid, copies, forest, width, pairs = graph
+            r, node = g.within(directions(v), threshold - 1e-4, width)
+            other = cid[node] != own[r]
+            r, node = r[other], node[other]
+            near = [cosines(v[r[k : k + 100_000]], stored[node[k : k + 100_000]]) >= threshold for k in range(0, len(r), 100_000)]
+            if not near:
+                return
+            near = np.concatenate(near)
+            r, node = r[near], node[near]
+            if not len(r):
+                return
+            order = np.argsort(r, kind="stable")
+            r, node = r[order], node[order]
+            first = np.concatenate([[True], r[1:] != r[:-1]])
+            forest.link(node, node[np.flatnonzero(first)[np.cumsum(first) - 1]])
+            yield out(node=own[r[first]], other=cid[node[first]])
+            mine = home[r] == place[2]
+            if mine.any():
+                pairs.add(np.searchsorted(cid, own[r[mine]]), node[mine])
+            size = np.bincount(r, minlength=len(own))
+            few = ~mine & (size[r] <= PAIRS)
+            if few.any():
+                yield out(node=own[r[few]], other=cid[node[few]], n_links=copies[node[few]], there=place[2], back=number[r[few]], home=home[r[few]])
+            many = first & ~mine & (size[r] > PAIRS)
+            if many.any():
+                yield out(node=own[r[many]], n_links=np.bincount(r, copies[node], len(own)).astype(np.int64)[r[many]], there=place[2])
 
         for b in batches:
             names = list(zip(b["_label"].to_pylist(), b["_dim"].to_pylist(), b["_shard"].to_pylist(), strict=True))
@@ -263,25 +368,23 @@ def shard_links(rows: DataFrame, threshold: float, audit: float, beam: int, m: i
                     continue
                 if graph is None:
                     graph, held = index(), []
-                g, stored, cid, copies, forest, width = graph
-                own, v = part["_cid"].to_numpy(), matrix(part["_v"])
-                r, node = g.within(directions(v), threshold - 1e-4, width)
-                other = cid[node] != own[r]
-                r, node = r[other], node[other]
-                near = cosines(v[r], stored[node]) >= threshold if len(r) else np.zeros(0, bool)
-                r, node = r[near], node[near]
-                if len(r):
-                    order = np.argsort(r, kind="stable")
-                    r, node = r[order], node[order]
-                    first = np.concatenate([[True], r[1:] != r[:-1]])
-                    anchor = node[np.flatnonzero(first)[np.cumsum(first) - 1]]
-                    forest.link(node, anchor)
-                    total = np.bincount(r, copies[node], len(own)).astype(np.int64)
-                    linked = r[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(total[linked]), pa.array(cid[node[first]])], schema=schema)
+                own, v, home, number = part["_cid"].to_numpy(), matrix(part["_v"]), part["_home"].to_numpy(), part["_copies"].to_numpy()
+                for at in range(0, len(own), 256):
+                    yield from ask(*(x[at : at + 256] for x in (own, v, home, number)))
         yield from close()
 
-    return rows.select("_label", "_dim", "_shard", "_kind", "_cid", "_copies", "_v").mapInArrow(run, "node long, n_links long, other long")
+    return rows.select("_label", "_dim", "_shard", "_home", "_kind", "_cid", "_copies", "_v").mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+
+
+def link_counts(found: DataFrame) -> DataFrame:
+    """(node, _n) from the rows of ``shard_links``: each pair counts for both ends, once."""
+    sure = found.where("n_links is not null and back is null").select("node", "there", "n_links")
+    pairs = found.where("back is not null")
+    turned = pairs.select(F.col("other").alias("node"), F.col("node").alias("other"), F.col("back").alias("n_links"), F.col("home").alias("there"))
+    # a number that a node's own search gives for a shard holds the pairs found from there
+    turned = turned.join(sure.select("node", "there"), ["node", "there"], "left_anti").select("node", "other", "n_links")
+    each = pairs.select("node", "other", "n_links").unionByName(turned).distinct().select("node", "n_links")
+    return sure.select("node", "n_links").unionByName(each).groupBy("node").agg(F.sum("n_links").alias("_n"))
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label", shard_rows: int = 16384, audit: float = 0.98, beam: int = 48, m: int = 16) -> DataFrame:
@@ -292,13 +395,13 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     entries = written(entries.withColumn("_cid", F.monotonically_increasing_id()), "entries")
     shards = entries.groupBy("_label", "_dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("_shards"))
     entries = entries.join(shards, ["_label", "_dim"])
-    stored = entries.select("*", F.pmod(F.xxhash64("_cid"), "_shards").cast("int").alias("_shard"), F.lit(0).alias("_kind"))
-    asking = entries.select("*", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"), F.lit(1).alias("_kind"))
+    stored = entries.select("*", F.pmod(F.xxhash64("_cid"), "_shards").cast("int").alias("_shard"), F.lit(0).alias("_kind")).withColumn("_home", F.col("_shard"))
+    asking = entries.select("*", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"), F.lit(1).alias("_kind"), F.pmod(F.xxhash64("_cid"), "_shards").cast("int").alias("_home"))
     total = max(1, shards.agg(F.sum("_shards")).first()[0] or 1)
     dealt = stored.unionByName(asking).repartition(min(4096, 4 * total), "_label", "_dim", "_shard").sortWithinPartitions("_label", "_dim", "_shard", "_kind", "_cid")
     found = written(shard_links(dealt, threshold, audit, beam, m), "links")
-    counts = found.where("n_links is not null").groupBy("node").agg(F.sum("n_links").alias("_n"))
-    member = components(found.select(F.col("node").alias("u"), F.col("other").alias("v")))
+    counts = link_counts(found)
+    member = components(found.where("other is not null and n_links is null").select(F.col("node").alias("u"), F.col("other").alias("v")))
     named = entries.select("_cid", "_label", "_v", "_low", "_copies").join(counts, F.col("_cid") == counts["node"], "left").drop("node").join(member, F.col("_cid") == member["node"], "left")
     named = written(named.select("_label", "_v", "_low", (F.coalesce("_n", F.lit(0)) + F.col("_copies") - 1).alias("n_links"), F.coalesce("root", "_cid").alias("_root")), "named")
     least = named.groupBy("_root").agg(F.min("_low").alias("component_id"))

@@ -194,6 +194,45 @@ def test_graph_recall_and_wide_clusters():
     assert true[r, c].all() and len(set(zip(r.tolist(), c.tolist(), strict=True))) == len(r) >= 0.98 * true.sum()
 
 
+@pytest.mark.parametrize("groups", [0, 1, 60])
+def test_audit_sees_small_groups_beside_a_cluster(groups):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 32))
+    if groups != 1:
+        x[:900] = x[0] + 0.05 * rng.normal(size=(900, 32))
+    pairs = np.arange(1000, 1000 + 2 * groups)
+    x[pairs[1::2]] = x[pairs[::2]] + 0.01 * rng.normal(size=(groups, 32))
+    g = hnsw.Graph(x := hnsw.directions(x))
+    for table in g.links:  # the graph has lost the pairs
+        table[np.isin(table, pairs)] = -1
+        table[pairs] = -1
+    r, c = g.within(x, 0.93, g.audited_beam(0.93, 0.98, 48))
+    true = x @ x.T >= 0.93
+    recall = np.bincount(r, minlength=len(x)) / true.sum(1)
+    assert recall[true.sum(1) > 1].min(initial=1) > 0.9 and (not groups or (recall[pairs] == 1).all())
+
+
+@pytest.mark.parametrize("shard_rows", [16384, 40])
+def test_pairs_found_from_one_end_count_for_both(spark, monkeypatch, shard_rows):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 16))
+    x[60:] = x[:60] + 0.01 * rng.normal(size=(60, 16))
+    x[1] = x[0] * 2  # not equal, but alike
+    within = hnsw.Graph.within
+
+    def one_way(self, q, limit, beam, batch=256):
+        r, c = within(self, q, limit, beam, batch)
+        keep = q[r, 0] <= self.x[c, 0]
+        return r[keep], c[keep]
+
+    df = spark.createDataFrame([(k, "a", v.tolist()) for k, v in enumerate(x)], "vec_id long, label string, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((u @ u.T) >= 0.93).sum(1) - 1
+    monkeypatch.setattr(hnsw.Graph, "within", one_way)
+    got = {r.vec_id: r.n_links for r in hnsw.near_duplicates(df, shard_rows=shard_rows).collect()}
+    assert [got[k] for k in range(len(x))] == want.tolist()
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(k, k + 1) for k in range(1000, 1060)] + [(5000, k) for k in range(4000, 4100)] + [(7, 7)]
