@@ -11,9 +11,10 @@ The language with the lowest cross-entropy per symbol wins.  A text is rejected
 when that cross-entropy is above what labelled texts of its length have shown
 (calibration), or when it has no letters.
 
-Training is a bounded sample of labelled rows, whole texts chosen by a hash of
-the key: about ``train_chars`` characters a language for the counts and
-``tune_chars`` for the calibration, at any size of input.  Prediction covers all
+Training is a bounded sample of labelled rows, whole texts in the order of a hash:
+for each language one at least and about ``train_chars`` characters (up to 80 % of
+them) for the counts, and those that follow, ``tune_chars``, for the calibration,
+at any size of input.  Prediction covers all
 rows and whole texts.
 
 Results for odd input: null, empty or letterless text gives ``und``, score 0 and
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.llm.common import slices, texts_of
@@ -254,18 +255,31 @@ def held_out(key: str):
 def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_chars: int = 2_000_000, tune_chars: int = 1_000_000) -> Models:
     """Models from a bounded sample of the labelled rows that aren't held out.
 
-    Whole texts are taken while a hash of their key is below a share of its range
-    that makes about ``train_chars`` characters a language; the next share, of
-    ``tune_chars``, is for the calibration.
+    Of each language whole texts are taken in the order of a hash of key and text:
+    the first and those up to ``train_chars`` characters or 80 % of the language's
+    for training, the following up to ``tune_chars`` for the calibration.
     """
     rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(key)).select(F.col(text).alias("__spanlake_text"), F.col(lang).alias("_lang"), F.col(key).cast("string").alias("_key"))
-    sizes = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.sum(F.length("__spanlake_text")).alias("n")).collect()}
-    sizes = {k: n for k, n in sizes.items() if n}
+    rows = rows.where("__spanlake_text <> ''").withColumn("_at", F.shiftrightunsigned(F.xxhash64("_key", "__spanlake_text"), 1)).drop("_key")
+    # characters by the hash's number of bits: which power of two holds enough of a language, also if training ends with its longest text
+    bits = F.length(F.bin("_at"))
+    sizes: dict[str, dict[int, tuple[int, int]]] = {}
+    for r in rows.groupBy("_lang", bits.alias("bits")).agg(F.sum(F.length("__spanlake_text")).alias("n"), F.max(F.length("__spanlake_text")).alias("most")).collect():
+        sizes.setdefault(r["_lang"], {})[r["bits"]] = (r["n"], r["most"])
     if not sizes:
         return Models([])
-    place = F.pmod(F.xxhash64("_key"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 1.0 / n)])[F.col("_lang")]
-    part = F.when(place < F.least(train_chars * share, F.lit(0.8)), 0).when(place < F.least(train_chars * share, F.lit(0.8)) + F.least(tune_chars * share, F.lit(0.2)), 1)
+    of = lambda x: F.create_map(*[F.lit(v) for item in x.items() for v in item])[F.col("_lang")]
+    held = lambda by, w: sum(n for b, (n, _) in by.items() if b <= w) - max((x for b, (_, x) in by.items() if b <= w), default=0)
+    enough = {k: next((w for w in range(64) if held(by, w) >= train_chars + tune_chars), 64) for k, by in sizes.items()}
+    light = rows.where(bits <= of(enough)).groupBy("_lang", "_at").agg(F.sum(F.length("__spanlake_text")).alias("n"))
+    order = Window.partitionBy("_lang").orderBy("_at")
+    light = light.withColumn("_end", F.sum("n").over(order)).withColumn("_start", F.col("_end") - F.col("n"))
+    most = of({k: 0.8 * sum(n for n, _ in by.values()) for k, by in sizes.items()})
+    light = light.withColumn("_train", (F.col("_start") == 0) | (F.col("_start") < train_chars) & (F.col("_end") <= most))
+    light = light.withColumn("_used", F.sum(F.when(F.col("_train"), F.col("n"))).over(order))
+    tuned = ~F.col("_train") & (F.col("_start") - F.col("_used") < tune_chars)
+    cuts = light.groupBy("_lang").agg(F.max(F.when(F.col("_train"), F.col("_at"))).alias("a"), F.max(F.when(F.col("_train") | tuned, F.col("_at"))).alias("b")).collect()
+    part = F.when(F.col("_at") <= of({r["_lang"]: r["a"] for r in cuts}), 0).when(F.col("_at") <= of({r["_lang"]: r["b"] for r in cuts}), 1)
     sample = rows.withColumn("_part", part).where("_part is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

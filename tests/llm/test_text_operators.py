@@ -173,6 +173,17 @@ def test_language_odd_input(spark, odd, empty, data):
     assert langid.known(junk, m).count() == 0
 
 
+def test_every_labelled_language_is_learned(spark):
+    words = {"en": "the cat and a dog ran over the hill ", "de": "der hund und die katze liefen weit ", "fr": "le chien et le chat dans les bois "}
+    rows = [(k, words["en"] * 3, "en") for k in range(200)]
+    few = [(f"{name}{k}", words[name] * (3 if name == "fr" else 300), name) for name, n in (("de", 3), ("fr", 1)) for k in range(40) if zlib.crc32(f"{name}{k}".encode()) % 4 != 2]
+    for seed in range(12):  # whichever documents a language has
+        of = lambda name, n: [x for x in few if x[2] == name][seed : seed + n]
+        docs = spark.createDataFrame([(str(k), t, x) for k, t, x in rows + of("de", 3) + of("fr", 1)], "doc_id string, text string, lang string")
+        m = langid.train(docs, train_chars=2000, tune_chars=1000)
+        assert m.langs == ["de", "en", "fr"] and set(m.limits) == {"de", "en"}
+
+
 # -- personal data
 
 
