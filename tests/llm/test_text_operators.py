@@ -184,6 +184,20 @@ def test_every_labelled_language_is_learned(spark):
         assert m.langs == ["de", "en", "fr"] and set(m.limits) == {"de", "en"}
 
 
+def test_limits_are_each_language_s_own():
+    rng = np.random.default_rng(9)
+    words = {"en": ["the", "cat", "and", "dog", "ran", "over", "hill", "quick", "brown", "fox"], "zh": ["".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, 3)) for _ in range(2000)]}
+    m = langid.Models.fit({k: (w, np.full(len(w), 20)) for k, w in words.items()})
+    scorer = langid.Scorer(m)
+    texts = [(k, " ".join(rng.choice(w, 60))) for k, w in words.items() for _ in range(400)] + [("zh", "qqx zzv " * 30)]  # one odd labelled text
+    m.tune(np.array([k for k, _ in texts]), *scorer.texts([t for _, t in texts]))
+    junk = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 300))
+    name, _, entropy, rejected = m.decide(*scorer.texts([junk, "the quick brown fox ran over the hill and the dog"]))
+    assert rejected.tolist() == [True, False] and name[1] == "en"
+    low = m.decide(np.array([300]), np.array([[3.6, 9.0]]))  # worse than a uniform choice of a-z
+    assert low[3].tolist() == [True]
+
+
 # -- personal data
 
 
