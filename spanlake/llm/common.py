@@ -16,14 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh folder below the one that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, a temporary folder of this machine is taken.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    session on one machine (as in local tests) takes a temporary folder of it; on a
+    cluster that is an error.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir()
     if base is not None and not isinstance(base, str):
         base = base.get() if base.isDefined() else None
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="spanlake-")
@@ -43,6 +46,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the files of a table that ``written`` made, once nothing reads it any more."""
+    sc = df.sparkSession.sparkContext
+    for uri in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def size_bytes(df: DataFrame, text: str) -> int:
     """Bytes of a text column, for choosing a number of partitions."""
     from pyspark.sql import functions as F

@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds: each joins a node's neighbours to
 the smallest of them, until nothing changes.  Every round is written to the
-shared folder, so a lost executor costs at most one round.
+shared folder, so a lost executor costs at most one round; the round before it is
+then removed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import written
+from spanlake.llm.common import forget, written
 
 
 def components(links: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
@@ -32,7 +33,9 @@ def components(links: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 6
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        done = links
         links = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        forget(done)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

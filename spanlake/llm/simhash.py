@@ -7,13 +7,15 @@ them, so for every choice of that many blocks the fingerprints are dealt by thos
 blocks' bits, which stand on top of the trie and allow no difference.  Each task
 walks its tries level by level: a frontier of node pairs (ranges of the sorted
 fingerprints), where a pair that takes different branches gains a differing bit
-and is dropped beyond the budget.  A task returns a spanning forest of the links
-it found, not all pairs; the forests of all tasks are joined into components.
+and is dropped beyond the budget.  A root with more than ``per_task`` fingerprints (a large group of near copies) is
+cut in slices, and every pair of slices is a trie of its own.  A task returns a
+spanning forest of the links it found, not all pairs; the forests of all tasks are
+joined into components.
 
 Results for odd input: a text without words has fingerprint zero and is linked
 like any other; a null text is an empty one; repeated rows and equal texts share
-a component; an empty table gives no rows; a null key never becomes a component's
-id while another key is in it.
+a component; an empty table gives no rows and one of a single text no links; a
+null key never becomes a component's id while another key is in it.
 """
 
 from __future__ import annotations
@@ -52,21 +54,21 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * count > len(h), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", width: int = 4) -> DataFrame:
-    """The key and ``fp``, the fingerprint as a signed 64-bit integer."""
+def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), width: int = 4) -> DataFrame:
+    """The ``keep`` columns and ``fp``, the fingerprint as a signed 64-bit integer."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import LongType, StructType
 
-    out = StructType([df.schema[key]]).add("fp", LongType())
+    out = StructType([df.schema[c] for c in keep]).add("fp", LongType())
     schema = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 4_000_000, "__spanlake_text"):
                 fp = np.array([fingerprint(t, width) for t in texts_of(part, "__spanlake_text")], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part[key].cast(schema.field(key).type), pa.array(fp)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(part[c].cast(schema.field(c).type) for c in keep), pa.array(fp)], schema=schema)
 
-    return df.select(key, F.col(text).alias("__spanlake_text")).mapInArrow(run, out)
+    return df.select(*keep, F.col(text).alias("__spanlake_text")).mapInArrow(run, out)
 
 
 def trie_links(fp: np.ndarray, fixed: np.ndarray, budget: int, order: list[int], leaf: int = 8, frontier: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -135,7 +137,7 @@ def block_plan(n: int, budget: int, per_root: int = 2048) -> tuple[list[list[int
     return bits, list(combinations(range(blocks), agree))
 
 
-def near_links(distinct: DataFrame, budget: int = 4, fp: str = "fp") -> DataFrame:
+def near_links(distinct: DataFrame, budget: int = 4, fp: str = "fp", per_task: int = 8192) -> DataFrame:
     """Links (u, v) between distinct fingerprints that hold all of them together: a spanning forest for each task."""
     n = distinct.count()
     bits, choices = block_plan(n, budget)
@@ -144,12 +146,14 @@ def near_links(distinct: DataFrame, budget: int = 4, fp: str = "fp") -> DataFram
     roots = F.posexplode(F.array(*[F.col(fp).bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("choice", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = list(batches)
+        if not held:
             return
-        choice, all_fp = rows["choice"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
-        for c in np.unique(choice).tolist():
-            x = all_fp[choice == c]
+        rows = pa.Table.from_batches(held)
+        group, all_fp = rows["choice"].to_numpy().astype(np.int64) << 32 | rows["trie"].to_numpy(), rows["fp"].to_numpy().view(np.uint64)
+        for g in np.unique(group).tolist():
+            c = g >> 32
+            x = all_fp[group == g]
             top = [b for part in choices[c] for b in bits[part]]
             below = [b for b in range(BITS) if not masks[c] >> b & 1]
             turned = np.zeros(len(x), np.uint64)
@@ -165,34 +169,45 @@ def near_links(distinct: DataFrame, budget: int = 4, fp: str = "fp") -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(x[u].view(np.int64)), pa.array(x[v].view(np.int64))], ["u", "v"])
 
     dealt = distinct.select(F.col(fp).alias("fp"), roots)
+    # few rows: one for each root that holds more than per_task fingerprints
+    hot = dealt.groupBy("choice", "root").agg(F.count("*").alias("size")).where(F.col("size") > per_task).select("choice", "root", F.ceil(F.col("size") / per_task).cast("int").alias("slices"))
+    dealt = dealt.join(hot, ["choice", "root"], "left").withColumn("slice", F.pmod(F.xxhash64("fp"), F.coalesce("slices", F.lit(1))).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("other")
+    dealt = dealt.select("choice", "root", "fp", "slice", other).withColumn("trie", F.greatest("slice", "other") * 32768 + F.least("slice", "other"))
     parts = max(8, n * len(choices) // 200_000)
-    return dealt.repartition(parts, "choice", "root").select("choice", "fp").mapInArrow(run, "u long, v long")
+    return dealt.repartition(parts, "choice", "root", "trie").select("choice", F.col("trie").cast("long").alias("trie"), "fp").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
-    """Key, ``fp`` and ``component_id``, the smallest key that links of ``budget`` or fewer bits reach, for every row."""
-    rows = written(fingerprints(df, text, key, width), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min(key).alias("low"))
+def classes(rows: DataFrame, budget: int, name) -> DataFrame:
+    """(fp, root, least): the component of each distinct ``fp`` and the smallest ``name`` (a column) in it."""
+    distinct = rows.groupBy("fp").agg(F.min(name).alias("low"))
     member = components(near_links(distinct.select("fp"), budget))
     named = distinct.join(member, distinct["fp"] == member["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = written(named, "named")
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(key, "fp", "component_id")
+    return named.select("fp", "root").join(named.groupBy("root").agg(F.min("low").alias("least")), "root")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
+    """Key, ``fp`` and ``component_id``, the smallest key that links of ``budget`` or fewer bits reach, for every row."""
+    rows = written(fingerprints(df, text, (key,), width), "fingerprints")
+    return rows.join(classes(rows, budget, F.col(key)).select("fp", F.col("least").alias("component_id")), "fp").select(key, "fp", "component_id")
 
 
 def representatives(df: DataFrame, text: str = "text", key: str = "doc_id", budget: int = 4, width: int = 4) -> DataFrame:
-    """One row of each component, all columns unchanged: the one with the smallest key.
+    """One row of each component, all columns unchanged: that with the smallest key, rows without a key last.
 
-    Of repeated rows with that key one stays.  Rows without a key can't be named
-    by a component; one of each text stays.  Texts are shuffled once: the join
-    and the choice among repeated rows share its partitioning.
+    A row is told by its key and text together (a digest of both), so rows that
+    repeat a key with other texts are documents of their own, and rows without a
+    key are compared like all others.  Of equal keys the smallest digest stays, of
+    rows with equal key and text one.  Texts are shuffled once: the join and the
+    choice among repeated rows share its partitioning.
     """
-    found = near_duplicates(df, text, key, budget, width)
-    kept = found.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    first = lambda rows, by: rows.withColumn("__place", F.row_number().over(Window.partitionBy(by).orderBy(text))).where("__place = 1").drop("__place")
-    named = first(df.where(F.col(key).isNotNull()).join(kept, key, "left_semi").select(df.columns), key)
-    return named.unionByName(first(df.where(F.col(key).isNull()), F.xxhash64(text)))
+    name = F.sha2(F.concat(F.coalesce(F.sha2(F.col(key).cast("string"), 256), F.lit("")), F.coalesce(F.sha2(F.col(text), 256), F.lit(""))), 256)
+    rows = written(fingerprints(df.select(F.col(key).alias("key"), F.col(text).alias("text"), name.alias("name")), "text", ("key", "name"), width), "fingerprints")
+    chosen = classes(rows, budget, F.struct(F.col("key").isNull().alias("last"), "key", "name")).select(F.col("least.name").alias("__name")).distinct()
+    found = df.withColumn("__name", name).join(chosen, "__name", "left_semi")
+    order = Window.partitionBy("__name").orderBy(F.xxhash64(*[F.col(c) for c in df.columns]))
+    return found.withColumn("__place", F.row_number().over(order)).where("__place = 1").select(df.columns)
 
 
 def hexadecimal(fp):
