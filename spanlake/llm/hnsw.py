@@ -1,7 +1,9 @@
 """Embedding near-duplicates with a hierarchical navigable small-world graph per shard.
 
 Vectors of a label are dealt to shards; each shard's task builds a graph, and every
-vector of the label queries every shard of it.  Searches run in batches with a
+vector of the label queries every shard of it.  The queries of a shard are dealt in
+slices, those at home in ``SLICE`` shards each, so no task has all of a label; each
+slice builds the same graph.  Searches run in batches with a
 beam; from a beam that is full of links a query goes on through linked nodes.  Before
 its queries a shard audits itself: sampled vectors are compared with all of the
 shard until enough with few links are known, and the beam is widened until the
@@ -40,6 +42,8 @@ from spanlake.llm.vectors import cosines, directions, matrix, usable
 
 #: Links of one query into another shard that are returned pair by pair.
 PAIRS = 64
+#: Shards whose vectors query another shard in one task.
+SLICE = 16
 
 
 class Graph:
@@ -292,15 +296,16 @@ class Pairs:
 
 
 def shard_links(rows: DataFrame, threshold: float, audit: float, beam: int, m: int) -> DataFrame:
-    """Rows from shards; ``rows`` has _label, _dim, _shard, _home, _kind, _cid, _copies, _v.
+    """Rows from shards; ``rows`` has _label, _dim, _shard, _slice, _home, _kind, _cid, _copies, _v.
 
     (node, other) is a link of the forest; with n_links and ``there``, that number
     of links of the node into the shard ``there``; with n_links, back and ``there``,
     one pair of nodes of different shards: n_links are the copies of other, which
     is in ``there``, and back those of node, which is in ``home``.
 
-    A partition holds whole shards; of each the indexed vectors (kind 0) come
-    before the queries (kind 1), which stream past the graph in batches.
+    A partition holds whole slices of a shard's queries; of each the indexed
+    vectors (kind 0) come before the queries (kind 1), which stream past the graph
+    in batches.
     """
     schema = pa.schema([(c, pa.int64()) for c in ("node", "other", "n_links", "there", "back", "home")])
 
@@ -355,7 +360,7 @@ def shard_links(rows: DataFrame, threshold: float, audit: float, beam: int, m: i
                 yield out(node=own[r[many]], n_links=np.bincount(r, copies[node], len(own)).astype(np.int64)[r[many]], there=place[2])
 
         for b in batches:
-            names = list(zip(b["_label"].to_pylist(), b["_dim"].to_pylist(), b["_shard"].to_pylist(), strict=True))
+            names = list(zip(b["_label"].to_pylist(), b["_dim"].to_pylist(), b["_shard"].to_pylist(), b["_slice"].to_pylist(), strict=True))
             kind = b["_kind"].to_numpy()
             cut = [k for k in range(len(names)) if not k or names[k] != names[k - 1] or kind[k] != kind[k - 1]] + [len(names)]
             for low, high in zip(cut, cut[1:], strict=False):
@@ -373,7 +378,7 @@ def shard_links(rows: DataFrame, threshold: float, audit: float, beam: int, m: i
                     yield from ask(*(x[at : at + 256] for x in (own, v, home, number)))
         yield from close()
 
-    return rows.select("_label", "_dim", "_shard", "_home", "_kind", "_cid", "_copies", "_v").mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
+    return rows.select("_label", "_dim", "_shard", "_slice", "_home", "_kind", "_cid", "_copies", "_v").mapInArrow(run, ", ".join(f"{f.name} long" for f in schema))
 
 
 def link_counts(found: DataFrame) -> DataFrame:
@@ -395,10 +400,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, key: str = "vec_id",
     entries = written(entries.withColumn("_cid", F.monotonically_increasing_id()), "entries")
     shards = entries.groupBy("_label", "_dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("_shards"))
     entries = entries.join(shards, ["_label", "_dim"])
-    stored = entries.select("*", F.pmod(F.xxhash64("_cid"), "_shards").cast("int").alias("_shard"), F.lit(0).alias("_kind")).withColumn("_home", F.col("_shard"))
-    asking = entries.select("*", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"), F.lit(1).alias("_kind"), F.pmod(F.xxhash64("_cid"), "_shards").cast("int").alias("_home"))
-    total = max(1, shards.agg(F.sum("_shards")).first()[0] or 1)
-    dealt = stored.unionByName(asking).repartition(min(4096, 4 * total), "_label", "_dim", "_shard").sortWithinPartitions("_label", "_dim", "_shard", "_kind", "_cid")
+    entries = entries.withColumn("_home", F.pmod(F.xxhash64("_cid"), "_shards").cast("int"))
+    last = F.expr(f"(_shards - 1) div {SLICE}").cast("int")
+    stored = entries.select("*", F.col("_home").alias("_shard"), F.explode(F.sequence(F.lit(0), last)).alias("_slice"), F.lit(0).alias("_kind"))
+    asking = entries.select("*", F.explode(F.sequence(F.lit(0), F.col("_shards") - 1)).alias("_shard"), F.expr(f"_home div {SLICE}").cast("int").alias("_slice"), F.lit(1).alias("_kind"))
+    total = max(1, shards.agg(F.sum(F.col("_shards") * (last + 1))).first()[0] or 1)
+    dealt = stored.unionByName(asking).repartition(min(1 << 16, 4 * total), "_label", "_dim", "_shard", "_slice").sortWithinPartitions("_label", "_dim", "_shard", "_slice", "_kind", "_cid")
     found = written(shard_links(dealt, threshold, audit, beam, m), "links")
     counts = link_counts(found)
     member = components(found.where("other is not null and n_links is null").select(F.col("node").alias("u"), F.col("other").alias("v")))
