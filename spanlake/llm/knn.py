@@ -9,7 +9,8 @@ of a query in a tile; the tiles' lists are merged by rank.  The result is exact.
 Results for odd input: vectors that are null, zero or hold null or non-finite
 components take no part, nor do rows without an id; vectors of different lengths
 are not compared; rows that repeat an id are candidates of their own, but a row
-with the query's id is never its candidate; ties go to the smaller id; fewer
+with the query's id is never its candidate, and of query rows that repeat an id the
+one with the shortest, then smallest vector asks; ties go to the smaller id; fewer
 candidates than k give fewer rows.
 """
 
@@ -64,7 +65,8 @@ def nearest(df: DataFrame, is_query, k: int = 5, key: str = "vec_id", vector: st
     deal = lambda n, salt: F.pmod(F.xxhash64("_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = rows.select("_id", "_v", "_dim", deal(across, "rows").alias("_x"), every(down).alias("_y"))
-    left = rows.where("_q").select("_id", "_v", "_dim", deal(down, "queries").alias("_y"), every(across).alias("_x"))
+    asking = rows.where("_q").groupBy("_id").agg(F.min(F.struct("_dim", "_v")).alias("_least")).select("_id", "_least.*")
+    left = asking.select("_id", "_v", "_dim", deal(down, "queries").alias("_y"), every(across).alias("_x"))
     schema = pa.schema([("query_id", pa.int64()), (key, pa.int64()), ("score", pa.float64())])
 
     def tile(q: pa.Table, c: pa.Table) -> pa.Table:
