@@ -1,7 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models.
 
-A text is a sequence of words (runs of letters, lower-cased); each word's letters
-and its end are predicted from up to three symbols before them.  The models of
+A text is a sequence of words (runs of letters and of marks after a letter,
+lower-cased); each word's symbols and its end are predicted from up to three
+symbols before them.  The models of
 all languages share sorted arrays of n-gram hashes; a row holds the interpolated
 log-probability of the n-gram under each language, so one binary search serves
 every language.  An n-gram that no language has falls back to the next shorter
@@ -14,10 +15,10 @@ when that cross-entropy is above what labelled texts of its length have shown
 Training is a bounded sample of labelled rows, whole texts in the order of a hash:
 for each language one at least and about ``train_chars`` characters (up to 80 % of
 them) for the counts, and those that follow, ``tune_chars``, for the calibration,
-at any size of input.  Prediction covers all
-rows and whole texts.
+at any size of input.  Rows that repeat key (or have none) and text are one row of
+the sample.  Prediction covers all rows and whole texts.
 
-Results for odd input: null, empty or letterless text gives ``und``, score 0 and
+Results for odd input: null, empty or letterless text (marks alone too) gives ``und``, score 0 and
 is rejected; without any labelled row every text gives ``und`` and only
 letterless ones are rejected.  Ties between languages go to the first by name.
 """
@@ -47,7 +48,10 @@ def symbols(words: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         return [np.zeros(0, np.uint64)] * ORDER, np.zeros(0, np.int64)
     code = np.frombuffer(("\n" + "\n".join(words) + "\n").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     kinds, at = np.unique(code, return_inverse=True)
-    letter = np.array([unicodedata.category(chr(c))[0] in "LM" if c < 0x110000 else False for c in kinds.tolist()], bool)[at]
+    kind = np.array([unicodedata.category(chr(c))[0] if c < 0x110000 else "C" for c in kinds.tolist()])[at]
+    place = np.arange(len(code))
+    broken = np.maximum.accumulate(np.where((kind == "L") | (kind == "M"), -1, place))
+    letter = (kind == "L") | (kind == "M") & (np.maximum.accumulate(np.where(kind == "L", place, -1)) > broken)
     word = np.cumsum(code == 10) - 1
     s = np.where(letter, code, 0).astype(np.uint64)
     told = np.zeros(len(s), bool)
@@ -270,7 +274,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     of = lambda x: F.create_map(*[F.lit(v) for item in x.items() for v in item])[F.col("_lang")]
     held = lambda by, w: sum(n for b, (n, _) in by.items() if b <= w) - max((x for b, (_, x) in by.items() if b <= w), default=0)
     enough = {k: next((w for w in range(64) if held(by, w) >= train_chars + tune_chars), 64) for k, by in sizes.items()}
-    light = rows.where(bits <= of(enough)).groupBy("_lang", "_at").agg(F.sum(F.length("__spanlake_text")).alias("n"))
+    light = rows.where(bits <= of(enough)).groupBy("_lang", "_at").agg(F.max(F.length("__spanlake_text")).alias("n"))
     order = Window.partitionBy("_lang").orderBy("_at")
     light = light.withColumn("_end", F.sum("n").over(order)).withColumn("_start", F.col("_end") - F.col("n"))
     most = of({k: 0.8 * sum(n for n, _ in by.values()) for k, by in sizes.items()})
@@ -279,7 +283,7 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     tuned = ~F.col("_train") & (F.col("_start") - F.col("_used") < tune_chars)
     cuts = light.groupBy("_lang").agg(F.max(F.when(F.col("_train"), F.col("_at"))).alias("a"), F.max(F.when(F.col("_train") | tuned, F.col("_at"))).alias("b")).collect()
     part = F.when(F.col("_at") <= of({r["_lang"]: r["a"] for r in cuts}), 0).when(F.col("_at") <= of({r["_lang"]: r["b"] for r in cuts}), 1)
-    sample = rows.withColumn("_part", part).where("_part is not null")
+    sample = rows.withColumn("_part", part).where("_part is not null").dropDuplicates(["_lang", "_at"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
