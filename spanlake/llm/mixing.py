@@ -9,11 +9,15 @@ the words of its blocks over all slots that take them.
 
 Positions on the tapes and ranks of slots are prefix sums in two levels (within
 buckets of hashes or runs of slots, and over their totals), so a source that
-holds a third of all rows is never in one task.
+holds a third of all rows is never in one task.  Rows that are equal in key, source
+and text are one entry of the tape, as often as there are copies; what it takes is
+dealt evenly among them.  The driver has one entry for each source, ``MOST_SOURCES``
+at most; a table with more is refused (mix by a coarser column).
 
 Results for odd input: a null text has size 0 and is never taken; a null source
 is a source of its own, after all others; a source without words has target 0;
-an empty table gives no rows; repeated rows are documents of their own.
+an empty table gives no rows; rows without a key, or with the same key and another
+text, are documents of their own.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from spanlake.llm.common import written
 GOLDEN = (5**0.5 - 1) / 2
 RUN = 1 << 16  # slots of a run
 CYCLE = (5.0, 2.0, 1.0)
+#: Sources the driver and each task hold a number for, and those whose table is broadcast.
+MOST_SOURCES, FEW_SOURCES = 1_000_000, 50_000
 
 
 def word_count(text):
@@ -54,22 +60,26 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
 
 def sizes_by_source(docs: DataFrame) -> list[tuple[str | None, int]]:
     """(source, words) in code point order, null last; one entry for each source."""
-    rows = docs.groupBy("_source").agg(F.sum("_size").alias("n")).collect()
+    by = docs.groupBy("_source").agg(F.sum(F.col("_size") * F.col("_copies")).alias("n"))
+    rows = by.limit(MOST_SOURCES + 1).collect()
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: mix by a coarser column")
     return sorted(((r["_source"], int(r["n"] or 0)) for r in rows), key=lambda x: (x[0] is None, x[0] or ""))
 
 
 def tape(docs: DataFrame, buckets: int) -> DataFrame:
     """Adds ``_from``, the words of the same source before the document on its tape.
 
-    ``docs`` has _source_no, _size, _order (a hash), _tie.  Buckets split the
-    range of the hash; their totals are few rows for each source.
+    ``docs`` has _source_no, _size, _copies, _order (a hash), _tie.  Buckets split
+    the range of the hash; their totals are few rows for each source.
     """
+    words = F.sum(F.col("_size") * F.col("_copies"))
     rows = docs.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(buckets)))
-    total = rows.groupBy("_source_no", "_bucket").agg(F.sum("_size").alias("_n"))
+    total = rows.groupBy("_source_no", "_bucket").agg(words.alias("_n"))
     before = Window.partitionBy("_source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     total = total.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     within = Window.partitionBy("_source_no", "_bucket").orderBy("_order", "_tie").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
+    rows = rows.withColumn("_before", F.coalesce(words.over(within), F.lit(0)))
     return rows.join(total, ["_source_no", "_bucket"]).withColumn("_from", F.col("_base") + F.col("_before")).drop("_base", "_before")
 
 
@@ -156,29 +166,34 @@ def mix(df: DataFrame, text: str = "text", source: str = "source", key: str = "d
     ``total_share`` of all words, none more than ``most`` times its size.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(key), F.col(source).cast("string").alias("_source"), word_count(F.col(text)).alias("_size"), F.xxhash64(F.col(key).cast("string"), F.lit("mix")).alias("_order"), F.xxhash64(F.col(text).cast("string")).alias("_tie"))
-    docs = written(docs, "sizes")
+    tie = F.xxhash64(F.col(text).cast("string"))
+    docs = df.select(F.col(key), F.col(source).cast("string").alias("_source"), word_count(F.col(text)).alias("_size"), F.xxhash64(F.col(key).cast("string"), tie, F.lit("mix")).alias("_order"), tie.alias("_tie"))
+    docs = written(docs.groupBy(*docs.columns).agg(F.count("*").alias("_copies")), "sizes")
     by = sizes_by_source(docs)
     sizes = [n for _, n in by]
     weights = [cycle[k % len(cycle)] for k in range(len(by))]
     goal = targets(sizes, weights, total_share * sum(sizes), most)
     names = spark.createDataFrame([(k, s, n, float(t)) for k, ((s, n), t) in enumerate(zip(by, goal, strict=True))], "_source_no int, _name string, source_size long, target double")
-    # a row for each source, as many as the driver has just listed
-    docs = docs.join(F.broadcast(names), F.col("_source").eqNullSafe(F.col("_name"))).drop("_source", "_name")
+    if len(by) <= FEW_SOURCES and sum(len(s or "") for s, _ in by) <= 1 << 22:
+        names = F.broadcast(names)
+    docs = docs.join(names, F.col("_source").eqNullSafe(F.col("_name"))).drop("_source", "_name")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy")
     if not sum(sizes):
-        return docs.select(key, "_source_no", F.col("_size").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("taken")), None
+        none = docs.select(key, "_source_no", F.col("_size").alias("size"), "source_size", "target", F.lit(0).cast("long").alias("taken"), each)
+        return none.drop("_copy"), None
     buckets = max(8, docs.count() // per_bucket)
     placed = written(tape(docs, buckets).withColumn("_id", F.monotonically_increasing_id()), "tape")
     plan = schedule(spark, goal, sizes, block)
-    pieces = placed.where("_size > 0").select(
-        "_id", F.col("_source_no").alias("source_no"), "_from", "_size", F.explode(F.sequence(F.expr(f"_from div {block}"), F.expr(f"(_from + _size - 1) div {block}"))).alias("block")
-    )
-    end = F.least(F.col("_from") + F.col("_size"), F.col("block") * block + F.col("words"))
+    pieces = placed.where("_size > 0").withColumn("_words", F.col("_size") * F.col("_copies"))
+    pieces = pieces.select("_id", F.col("_source_no").alias("source_no"), "_from", "_words", F.explode(F.sequence(F.expr(f"_from div {block}"), F.expr(f"(_from + _words - 1) div {block}"))).alias("block"))
+    end = F.least(F.col("_from") + F.col("_words"), F.col("block") * block + F.col("words"))
     words = F.greatest(end - F.greatest("_from", F.col("block") * block), F.lit(0))
     joined = pieces.join(plan.select("source_no", "block", "words"), ["source_no", "block"])
-    taken = joined.groupBy("_id").agg(F.sum(words).cast("long").alias("taken"))
-    out = placed.join(taken, "_id", "left").select(key, "_source_no", F.col("_size").alias("size"), "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
-    return out, plan
+    taken = joined.groupBy("_id").agg(F.sum(words).cast("long").alias("_taken"))
+    out = placed.join(taken, "_id", "left").withColumn("_taken", F.coalesce("_taken", F.lit(0).cast("long")))
+    out = out.select(key, "_source_no", F.col("_size").alias("size"), "source_size", "target", "_taken", "_copies", each)
+    share = F.expr("_taken div _copies") + (F.col("_copy") < F.col("_taken") % F.col("_copies")).cast("long")
+    return out.select(key, "_source_no", "size", "source_size", "target", share.alias("taken")), plan
 
 
 def mixed(df: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
