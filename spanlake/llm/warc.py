@@ -12,7 +12,7 @@ directory and the capture by binary search in the block, and then reads the
 record's range of the archive.
 
 Results for odd input: a null html is an empty payload; a null URL has the empty
-key; rows with an equal page id and payload are all of the same type and each has
+key; a row without a page id is a ``response``, whatever its payload; rows with an equal page id and payload are all of the same type and each has
 its record; rows with an equal page id and different payloads are kept apart by
 their digest; an empty table gives no files and no rows.
 """
