@@ -3,18 +3,24 @@
 Base spans come from fixed patterns and are certain.  The field's nodes are a
 document's base spans and its other candidates: runs of digits, and tokens with
 an ``@`` or with digits and letters.  Each node has a potential from its shape,
-neighbouring nodes share one, and so do distant nodes whose digits or names are
-alike (skip links: from each candidate to the first base span of each kind it is
-alike to, or, without any, to the first alike; so their number is linear and a
-repeat's evidence does not depend on how many there are).  Loopy sum-product
-message passing, run until no message changes, makes labels of a document agree;
-a candidate becomes a span when the belief in a label reaches ``certain`` and it
-is alike to a base span of its document.
-
-The shape potential is a multinomial logistic regression and the two pair
-potentials are smoothed log-ratios (piecewise training), learned from a sample of
-about ``train_docs`` documents with digits or ``@`` whose base spans serve as
-labels; candidates alike to one have no label and are not counted.  Detection covers all rows and whole texts; every scan is linear.
+neighbouring nodes share one, and so do distant nodes that repeat or resemble each
+other (skip links): numbers with equal last 7 digits, last 9 that differ in one
+digit, or (long ones) equal first 9, addresses of four equal numbers, equal names before an ``@``.  Skip links go
+from each candidate to the first base span of each kind it is alike to, or, without
+any, to the first alike; so their number is linear and a repeat's evidence does
+not depend on how many there are.  Loopy sum-product message passing within the
+document, run until no message changes, makes labels agree; a candidate becomes a
+span when the belief in a label reaches ``certain``.
+
+All potentials are learned from a sample of about ``train_docs`` documents with
+digits or ``@`` whose base spans serve as labels (piecewise training).  The shape
+potential is a multinomial logistic regression.  A base span is always written as
+its pattern wants, so for each one the ways to write it otherwise (``bare``) count
+as its kind and, once, as 'other': shape alone then never speaks for a kind, and
+speaks against one as often as other numbers are written so.  The pair potentials
+are log-ratios of smoothed counts; for the skip links each node counts as a repeat
+of itself, beside the real repeats.  Candidates alike to a base span have no label
+and are not counted.  Detection covers all rows and whole texts; every scan is linear.
 
 Results for odd input: null and empty texts have no spans; spans of different
 kinds may overlap; repeated rows give repeated results; an empty table gives no
@@ -99,27 +105,64 @@ def shape(text: str, low: int, high: int) -> int:
     letters = sum(c.isalpha() for c in t)
     parts = t.split(".")
     quad = len(parts) == 4 and all(p.isdigit() for p in parts)
+    groups = re.findall("[0-9]+", t)
     bits = [
         digits == 0, 1 <= digits <= 3, 4 <= digits <= 6, 7 <= digits <= 8, 9 <= digits <= 11, 12 <= digits <= 15, digits == 16, digits > 16,
         letters > 0, "@" in t, quad, quad and all(len(p) <= 3 and int(p) <= 255 for p in parts), 12 <= digits <= 19 and luhn("".join(c for c in t if c.isdigit() and c.isascii())),
         low > 0 and text[low - 1] == "+" or t[0] == "+", "(" in t, "-" in t, " " in t, "." in t[:-1], "/" in t, high < len(text) and text[high] == "%",
+        len(groups) == 4 and all(len(p) <= 3 for p in groups),
     ]
     return sum(1 << k for k, b in enumerate(bits) if b)
 
 
-N_FEATURES = 20
+N_FEATURES = 21
 
 
-def likeness(kind: str | None, t: str) -> str | None:
-    """What nodes must share to be linked: the last digits of a long number, or the name before an ``@``."""
-    digits = "".join(c for c in t if c.isdigit() and c.isascii())
+def likeness(kind: str | None, t: str) -> tuple[str, ...]:
+    """Nodes that share one of these are linked; the surest comes first."""
+    out = []
+    parts = re.findall("[0-9]+", t)
+    if kind == "ip" or kind is None and len(parts) == 4 and all(len(p.lstrip("0")) <= 3 for p in parts):
+        out.append("i:" + ".".join(p.lstrip("0") or "0" for p in parts))
+    if kind == "ip":
+        return tuple(out)
     if kind == "email" or kind is None and any(c.isalpha() for c in t):
-        name = t.split("@")[0].strip(".,;:!?()[]{}<>\"'").lower()
-        return "n:" + name if len(name) >= 5 else None
-    return "d:" + (digits[-9:] if kind != "ip" else t) if len(digits) >= 7 else None
-
-
-def nodes(text: str) -> list[tuple[int, int, int, int, str | None]]:
+        name, at, domain = t.strip(".,;:!?()[]{}<>\"'").lower().partition("@")
+        if len(name) >= 4 + name.isalpha():
+            out.append("n:" + name)
+        if name and at and domain:
+            out.append(f"a:{name}@{domain.split('.')[0]}")
+        return tuple(out)
+    digits = "".join(parts)
+    if len(digits) >= 7:
+        out.append("d:" + digits[-7:])
+    if len(digits) >= 9:
+        last = digits[-9:]
+        out += [f"{k}:{last[:k]}{last[k + 1:]}" for k in range(9)]
+    if len(digits) >= 12 or kind is None and len(digits) == 11:
+        out.append("f:" + digits[:9])
+    return tuple(out)
+
+
+def bare(kind: str, t: str) -> list[str]:
+    """Ways to write a base span that its pattern doesn't find."""
+    if kind == "email":
+        name, _, domain = t.partition("@")
+        return [name + "@", f"{name}@{domain.split('.')[0]}", f"{name}1"]
+    digits = "".join(c for c in t if c.isdigit())
+    if kind == "ip":
+        return ["-".join(t.split(".")), " ".join(t.split("."))]
+    cut = [4, 8, 12] if kind == "card" else [len(digits) - 7, len(digits) - 4]
+    ways = [mark.join(digits[a:b] for a, b in zip([0, *cut], [*cut, len(digits)], strict=True)) for mark in (".", "/", "-")]
+    if kind == "phone":
+        local = digits[-10:]
+        ways += [digits, local, digits[-7:], f"{local[:-7]}-{local[-7:-4]}-{local[-4:]}", f"({local[:-7]}) {local[-7:-4]}-{local[-4:]}", f"{local[-7:-4]}-{local[-4:]}"]
+    else:
+        ways += [digits[:-1], digits[1:], digits[:-1] + str((int(digits[-1]) + 1) % 10)]
+    return ways
+
+
+def nodes(text: str) -> list[tuple[int, int, int, int, tuple[str, ...]]]:
     """(start, end, label or -1, shape, likeness) of base spans and other candidates, by start."""
     spans = base_spans(text)
     out = [(a, b, LABELS.index(k), shape(text, a, b), likeness(k, text[a:b])) for k, a, b in spans]
@@ -151,7 +194,7 @@ def nodes(text: str) -> list[tuple[int, int, int, int, str | None]]:
     return sorted(out)
 
 
-def links(found: list[tuple[int, int, int, int, str | None]], near: int = 3) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+def links(found: list[tuple[int, int, int, int, tuple[str, ...]]], near: int = 3) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Neighbours (up to ``near`` characters apart) and ones alike, as index pairs.
 
     Of those alike each base span is linked to the one before, and each candidate
@@ -160,28 +203,45 @@ def links(found: list[tuple[int, int, int, int, str | None]], near: int = 3) ->
     chain = [(k, k + 1) for k in range(len(found) - 1) if 0 <= found[k + 1][0] - found[k][1] <= near]
     hubs: dict[str, dict[int, int]] = {}
     last: dict[str, int] = {}
-    skip = []
+    skip: dict[tuple[int, int], None] = {}
     for k, x in enumerate(found):
-        if x[4] is not None and x[2] >= 0:
-            hubs.setdefault(x[4], {}).setdefault(x[2], k)
-            if x[4] in last:
-                skip.append((last[x[4]], k))
-            last[x[4]] = k
+        if x[2] >= 0:
+            for name in x[4]:
+                hubs.setdefault(name, {}).setdefault(x[2], k)
+            for name in x[4][:1]:
+                if name in last:
+                    skip[last[name], k] = None
+                last[name] = k
     for k, x in enumerate(found):
-        if x[4] is not None and x[2] < 0:
-            skip += [(hub, k) for hub in hubs.setdefault(x[4], {-1: k}).values() if hub != k]
-    return chain, skip
+        if x[2] < 0:
+            base = {hub: None for name in x[4] for hub in hubs.get(name, {}).values()}
+            skip.update(((hub, k), None) for hub in base)
+            if not base and x[4]:
+                hub = last.setdefault(x[4][0], k)
+                if hub != k:
+                    skip[hub, k] = None
+    return chain, list(skip)
 
 
 def tally(text: str) -> Counter:
     """Counts for ``Field.fit``; candidates alike to a base span are hidden, the others are labelled 'other'."""
     found = nodes(text)
-    alike = {x[4] for x in found if x[2] >= 0 and x[4] is not None}
-    label = [x[2] if x[2] >= 0 else -1 if x[4] in alike else 0 for x in found]
-    c = Counter(("shape", x[3], y) for x, y in zip(found, label, strict=True) if y >= 0)
+    alike = {name for x in found if x[2] >= 0 for name in x[4]}
+    label = [x[2] if x[2] >= 0 else -1 if alike.intersection(x[4]) else 0 for x in found]
+    c: Counter = Counter()
+    for x, y in zip(found, label, strict=True):
+        if y >= 0:
+            c["shape", x[3], y] += 1
+            c["skip", y, y] += 1
+        if y > 0:
+            for t in bare(LABELS[y], text[x[0] : x[1]]):
+                for z in nodes(f" {t} "):
+                    if z[2] < 0:
+                        c["shape", z[3], y] += 1
+                        c["shape", z[3], 0] += 1
     chain, skip = links(found)
     c.update(("chain", label[i], label[j]) for i, j in chain if label[i] >= 0 and label[j] >= 0)
-    c.update(("skip", label[i], label[j]) for i, j in skip if label[i] > 0 and label[j] > 0)
+    c.update(("skip", label[i], label[j]) for i, j in skip if label[i] >= 0 and label[j] >= 0)
     return c
 
 
@@ -214,9 +274,8 @@ class Field:
                 speed = 0.9 * speed - rate * (x.T @ ((p - truth) * share[:, None]) + decay * weights)
                 weights = weights + speed
         pairs = []
-        # pseudo-counts: few examples don't turn a potential round, and alike nodes agree unless counts say otherwise
-        for kind, same, differ in (("chain", 0.5, 0.5), ("skip", 20.0, 0.05)):
-            table = np.full((n, n), differ) + same * np.eye(n)
+        for kind in ("chain", "skip"):
+            table = np.full((n, n), 0.5)  # so that few examples don't turn a potential round
             for (what, a, b), c in counts.items():
                 if what == kind:
                     table[a, b] += c / 2
@@ -270,33 +329,25 @@ class Field:
         return np.exp(total - np.logaddexp.reduce(total, axis=1, keepdims=True))
 
     def find(self, texts: list[str], certain: float = 0.9) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-        """For each text its base spans and the spans the field adds.  All texts are one graph with no links between them."""
-        out: list[tuple[list, list]] = [([], []) for _ in texts]
-        owner, held, chain, skip = [], [], [], []
-        for k, text in enumerate(texts):
-            if not ANY.search(text):
-                continue
-            found = nodes(text)
-            out[k][0].extend((LABELS[x[2]], x[0], x[1]) for x in sorted(found, key=lambda x: (x[0], x[2])) if x[2] >= 0)
-            c, s = links(found)
-            chain += [(len(held) + i, len(held) + j) for i, j in c]
-            skip += [(len(held) + i, len(held) + j) for i, j in s]
-            held += found
-            owner += [k] * len(found)
-        if held:
-            belief = self.beliefs(np.array([x[3] for x in held], np.int64), np.array([x[2] for x in held]), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
-            alike = {(k, x[4]) for k, x in zip(owner, held, strict=True) if x[2] >= 0 and x[4] is not None}
-            for i in np.flatnonzero((belief[:, 1:].max(1) >= certain) & (np.array([x[2] for x in held]) < 0)).tolist():
-                if (owner[i], held[i][4]) in alike:  # shape alone adds nothing
-                    out[owner[i]][1].append((LABELS[1 + int(belief[i, 1:].argmax())], held[i][0], held[i][1]))
+        """For each text, whose graph is its own, its base spans and the spans the field adds."""
+        out: list[tuple[list, list]] = []
+        for text in texts:
+            found = nodes(text) if ANY.search(text) else []
+            base = [(LABELS[x[2]], x[0], x[1]) for x in sorted(found, key=lambda x: (x[0], x[2])) if x[2] >= 0]
+            more = []
+            if len(base) < len(found):
+                chain, skip = links(found)
+                belief = self.beliefs(np.array([x[3] for x in found], np.int64), np.array([x[2] for x in found]), np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2))
+                more = [(LABELS[1 + int(b[1:].argmax())], x[0], x[1]) for x, b in zip(found, belief, strict=True) if x[2] < 0 and b[1:].max() >= certain]
+            out.append((base, more))
         return out
 
 
 def train(df: DataFrame, text: str = "text", key: str = "doc_id", train_docs: int = 20_000) -> Field:
-    """The field learned from about ``train_docs`` documents, taken by a hash of their key."""
+    """The field learned from about ``train_docs`` documents, taken by a hash of key and text."""
     rows = df.select(F.col(text).alias("__spanlake_text"), F.col(key).cast("string").alias("_key")).where(F.col("__spanlake_text").rlike("[0-9@]"))
     n = rows.count()
-    place = F.pmod(F.xxhash64(F.coalesce("_key", F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
+    place = F.pmod(F.xxhash64("_key", "__spanlake_text"), F.lit(1 << 20)) / float(1 << 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
