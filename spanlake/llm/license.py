@@ -3,16 +3,21 @@
 A template is license wording with optional regions ``[[ ... ]]`` and replaceable
 ones ``{{name:min-max}}`` (any min to max words).  It is compiled to an automaton
 over words: mandatory words are single steps, optional regions may be skipped, and
-replaceable regions are bounded loops.  The automaton runs over a text's words
-from every place where a first mandatory word stands and accepts where all
-mandatory wording matched exactly.
+replaceable regions are bounded loops, so a template's longest wording is known.
+A text is read from every place from which its rarest mandatory word can be
+reached, as far as that longest wording goes, and accepted where all mandatory
+wording matched exactly; of matches the leftmost and then longest counts.
 
 Beside the templates there are base phrases, found wherever their words stand
 consecutively.  Words are maximal runs of ASCII digits, letters (A-Z lower-cased)
 and all characters above ASCII.
 
+The score grows with the mandatory words of the longest wording found: 1 - 2 **
+(-words / 3), about 0.4 for a phrase of two words and 1 for a whole license.
+
 Results for odd input: null and empty texts have no words, no labels, null places
-and score 0; overlapping matches all count; a text of any length is read whole.
+and score 0; overlapping places of phrases and overlapping matches of different
+templates all count; a text and a template of any length are read whole.
 """
 
 from __future__ import annotations
@@ -30,17 +35,65 @@ from spanlake.llm.common import slices, texts_of
 #: Phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Own templates by label: wording by which texts say under which terms they stand.
+#: Own templates by label: wording by which texts say under which terms they stand, and whole licenses.
 TEMPLATES = {
     "apache-2.0": "licensed under the [[terms of the]] apache license [[,]] [[version]] 2.0",
+    "apache-2.0-text": """
+        licensed under the apache license version 2.0 the license you may not use {{thing:1-3}} except in compliance with the license
+        [[you may obtain a copy of the license at [[{{url:1-8}}]]]] unless required by applicable law or agreed to in writing software distributed
+        under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+        see the license for the specific language governing permissions and limitations under the license""",
     "apache-2.0-notice": "you may not use this {{thing:1-2}} except in compliance with the license",
     "cc-by": "licensed under [[a]] [[the]] [[creative commons]] cc by [[{{variant:1-2}}]] [[{{major:1-1}} 0]] [[international]] [[license]]",
     "cc-by-nc": "licensed under [[a]] [[the]] [[creative commons]] cc by nc [[sa]] [[nd]] {{major:1-1}} {{minor:1-1}}",
+    "cc-by-text": "licensed under [[a]] [[the]] creative commons attribution [[noncommercial]] [[sharealike]] [[noderivatives]] [[noderivs]] {{major:1-1}} {{minor:1-1}} [[international]] [[unported]] [[generic]] license",
     "gpl": "licensed under the [[terms of the]] gnu [[lesser]] [[affero]] general public license [[as published by the free software foundation]] [[either]] [[version {{version:1-2}}]]",
     "gpl-3": "licensed under the [[terms of the]] gnu general public license [[,]] version 3",
+    "gpl-notice": """
+        {{program:0-6}} is free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[library]] [[affero]] general public license
+        as published by the free software foundation either version {{version:1-2}} of the license or at your option any later version
+        {{program2:0-6}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of
+        merchantability or fitness for a particular purpose see the gnu [[lesser]] [[library]] [[affero]] general public license for more details
+        [[you should have received a copy of the gnu [[lesser]] [[library]] [[affero]] general public license along with {{program3:0-6}} if not [[see {{url:1-8}}]]]]""",
     "mit": "[[this {{thing:1-3}} is]] released under the [[terms of the]] mit license",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this {{thing:1-4}}",
+    "mit-text": """
+        [[[[the]] mit license [[mit]]]] [[copyright [[c]] {{holder:1-20}}]]
+        permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software
+        to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+        and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions
+        the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software
+        the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+        fitness for a particular purpose and noninfringement in no event shall {{holder2:1-12}} be liable for any claim damages or other liability
+        whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
+    "isc-text": """
+        [[isc license]] [[copyright [[c]] {{holder:1-20}}]] permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
+        provided that the above copyright notice and this permission notice appear in all copies
+        the software is provided as is and {{holder2:1-8}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+        in no event shall {{holder3:1-8}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+        whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted",
+    "bsd-text": """
+        [[copyright [[c]] {{holder:1-20}}]] redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+        [[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+        in the documentation and or other materials provided with the distribution
+        [[[[3]] neither the name of {{holder2:1-12}} may be used to endorse or promote products derived from this software without specific prior written permission]]
+        this software is provided by {{holder3:1-12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability
+        and fitness for a particular purpose are disclaimed in no event shall {{holder4:1-12}} be liable for any direct indirect incidental special exemplary or consequential damages
+        including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability
+        whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage""",
+    "zlib-text": """
+        this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software
+        permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions
+        [[1]] the origin of this software must not be misrepresented you must not claim that you wrote the original software
+        if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required
+        [[2]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+        [[3]] this notice may not be removed or altered from any source distribution""",
+    "unlicense-text": """
+        this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software
+        either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means""",
+    "spdx": "spdx license identifier {{name:1-1}}",
     "reserved": "[[copyright [[c]] {{holder:1-6}}]] all rights reserved",
 }
 
@@ -73,6 +126,12 @@ class Automaton:
         ends = self._parts(self._tokens(template), {0})
         self.accepting = ends
         self.anchors = self._mandatory(template)
+        # steps lead to later states only, so one pass in order finds the longest wording
+        far = [0] * len(self.next)
+        for s, steps in enumerate(self.next):
+            for t in set().union(*steps.values()):
+                far[t] = max(far[t], far[s] + 1)
+        self.longest = max(far[s] for s in ends)
 
     @staticmethod
     def _tokens(template: str) -> list[str]:
@@ -136,16 +195,16 @@ class Scanner:
     """All templates and base phrases; texts without a template's rarest word don't run its automaton."""
 
     def __init__(self, templates: dict[str, str] | None = None, base: dict[str, str] | None = None):
-        self.base = [(label, phrase_pattern(p)) for p, label in (BASE if base is None else base).items()]
+        self.base = [(label, phrase_pattern(p), len(p.split())) for p, label in (BASE if base is None else base).items()]
         self.automata = []
         for label, template in (TEMPLATES if templates is None else templates).items():
             a = Automaton(template)
             anchor = max(a.anchors, key=len)
-            lead = 0  # words that may stand before the anchor
+            lead = at = 0  # words that may stand before the anchor's last place
             for t in a._tokens(template):
                 if t == anchor:
-                    break
-                lead += int(t[2:-2].rpartition("-")[2]) if t.startswith("{{") else t[0].isalnum()
+                    lead = at
+                at += int(t[2:-2].rpartition("-")[2]) if t.startswith("{{") else t[0].isalnum()
             self.automata.append((label, a, anchor.encode(), lead, len(a.anchors)))
 
     def scan(self, text: str) -> tuple[int, int, int | None, int | None, list[str], list[str], float, list[tuple[str, int, int]]]:
@@ -153,15 +212,16 @@ class Scanner:
         raw = lowered(text)
         inside = IS_WORD[np.frombuffer(raw, np.uint8)]
         n_words = int(np.count_nonzero(inside[1:] & ~inside[:-1])) + bool(len(inside) and inside[0])
-        starts, labels = [], set()
-        for label, pattern in self.base:
+        starts, labels, wording = [], set(), 0
+        for label, pattern, size in self.base:
             found = [m.start() for m in pattern.finditer(raw)]
             starts += found
             if found:
                 labels.add(label)
+                wording = max(wording, size)
         begin = None
         matches: list[tuple[str, int, int]] = []
-        for label, automaton, anchor, lead, _ in self.automata:
+        for label, automaton, anchor, lead, size in self.automata:
             if anchor not in raw:
                 continue
             if begin is None:
@@ -172,12 +232,13 @@ class Scanner:
                 if place < done:
                     continue
                 low = max(0, place - lead, done)
-                window = raw[begin[low] : begin[min(len(begin) - 1, place + 64)]] if place + 64 < len(begin) else raw[begin[low] :]
+                far = place + automaton.longest
+                window = raw[begin[low] : begin[far]] if far < len(begin) else raw[begin[low] :]
                 words = [w.decode("utf-8", "replace") for w in WORD.findall(window)]
                 for at in range(place - low + 1):
                     if (end := automaton.match(words, at)) > place - low:
                         matches.append((label, low + at, low + end))
-                        done = low + end
+                        done, wording = low + end, max(wording, size)
                         break
         if starts:
             if begin is None:
@@ -187,9 +248,7 @@ class Scanner:
         else:
             first = last = None
         every = sorted(labels | {m[0] for m in matches})
-        # a template's whole wording is certain; a phrase alone tells less
-        score = 1.0 if matches else 0.5 if starts else 0.0
-        return n_words, len(starts), first, last, sorted(labels), every, score, matches
+        return n_words, len(starts), first, last, sorted(labels), every, 1 - 2 ** (-wording / 3), matches
 
 
 def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), templates: dict[str, str] | None = None, base: dict[str, str] | None = None) -> DataFrame:
