@@ -58,6 +58,31 @@ def test_mix(spark, data, odd, empty):
     assert kept.columns == odd.columns and mixing.mixed(empty).count() == 0
 
 
+def test_mix_of_equal_and_keyless_rows(spark):
+    rows = [(None, "a b c d e", "s")] * 500 + [(7, "x y", "s")] * 3 + [(7, "other text", "t"), (None, None, "t"), (8, "w " * 300, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, block=16)[0].collect()
+    assert len(got) == len(rows)
+    words = {"s": 2506, "t": 2, None: 300}
+    goal = dict(zip(("s", "t", None), mixing.targets(list(words.values()), [5.0, 2.0, 1.0], 1.5 * 2808, 2), strict=True))
+    for k, name in enumerate(("s", "t", None)):
+        mine = [r for r in got if r._source_no == k]
+        assert {(r.source_size, r.target) for r in mine} == {(words[name], goal[name])}
+        assert abs(sum(r.taken for r in mine) - goal[name]) <= 1 and all(r.taken <= 2 * r["size"] for r in mine)
+    copies = [r.taken for r in got if r.doc_id is None and r["size"] == 5]
+    assert len(copies) == 500 and max(copies) - min(copies) <= 1
+    assert sorted(map(repr, mixing.mix(df, block=16)[0].collect())) == sorted(map(repr, got))
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    df = spark.createDataFrame([(k, "a b", f"s{k}") for k in range(4)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        mixing.mix(df)
+    monkeypatch.setattr(mixing, "FEW_SOURCES", 1)
+    assert mixing.mix(df.limit(3))[0].count() == 3
+
+
 # -- archives
 
 
@@ -145,6 +170,12 @@ def test_nearest_equals_brute_force(spark):
     assert [(r["rank"], r.vec_id) for r in sorted(few, key=lambda r: r["rank"])] == [(1, 1), (2, 2)]
 
 
+def test_a_repeated_query_row_asks_once(spark):
+    rows = [(0, [1.0, 0.0])] * 2 + [(0, [0.5, 0.0])] + [(k, [1.0, float(k)]) for k in range(1, 9)]
+    got = knn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"])] == [(k, k) for k in range(1, 6)]
+
+
 def test_nearest_equals_sql(spark, data, duck):
     assert rows(QUERIES["op5_knn"](spark, data).toArrow()) == rows(duck.sql(ORACLE["op5_knn"]).to_arrow_table())
 
@@ -157,8 +188,9 @@ def test_error_bounds_hold():
     assert (np.abs(got - x @ x.T) <= e[:, None] + (1 + e[:, None]) * e + 1e-9).all()
 
 
-@pytest.mark.parametrize("shard_rows", [16384, 40])
-def test_embedding_near_duplicates(spark, shard_rows):
+@pytest.mark.parametrize(("shard_rows", "slice_shards"), [(16384, 16), (40, 16), (20, 2)])
+def test_embedding_near_duplicates(spark, monkeypatch, shard_rows, slice_shards):
+    monkeypatch.setattr(hnsw, "SLICE", slice_shards)
     df = vectors(spark)
     every = df.collect()
     ok = [r for r in every if usable(r) and r.label is not None]
