@@ -182,7 +182,11 @@ def encode(df: DataFrame, tokenizer_json: str, text: str = "text", keep: tuple[s
         bpe = ByteBPE(tokenizer_json)
 
         def fn(part):
-            ids = bpe.encode(texts_of(part, "__spanlake_text"))
+            texts = texts_of(part, "__spanlake_text")
+            place: dict[str, int] = {}  # copies in a slice are encoded once
+            at = [place.setdefault(t, len(place)) for t in texts]
+            each = bpe.encode(list(place))
+            ids = [each[k] for k in at]
             flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int32)
             at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
             return {c: part[c] for c in keep} | {"ids": pa.ListArray.from_arrays(at, flat)}
