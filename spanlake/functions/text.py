@@ -143,3 +143,14 @@ def case_counts(log: Column) -> Column:
     """The last ``N/M passed`` of a log as struct(passed, total)."""
     last = lambda k: F.try_element_at(F.regexp_extract_all(log, F.lit(r"([0-9]+)/([0-9]+) passed"), F.lit(k)), F.lit(-1)).cast("int")
     return F.struct(last(1).alias("passed"), last(2).alias("total"))
+
+
+def json_keys(c: Column) -> Column:
+    """All keys of a JSON text at any depth, in order.
+
+    Every string is taken in turn, so what looks like a key within one is passed
+    over; those before a colon are keys.
+    """
+    string = r'"((?:[^"\\]|\\.)*)"(\s*:)?'
+    pairs = F.arrays_zip(F.regexp_extract_all(c, F.lit(string), F.lit(1)).alias("s"), F.regexp_extract_all(c, F.lit(string), F.lit(2)).alias("colon"))
+    return F.transform(F.filter(pairs, lambda x: x["colon"] != ""), lambda x: x["s"])

@@ -11,15 +11,15 @@ from spanlake.functions import text as T
 LINE_HEAD = ("head", r"^[ \t]*([A-Za-z_][A-Za-z0-9_]*)", 0.9, "line-head")
 
 
-def symbols(lines: DataFrame, hashes: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
+def symbols(lines: DataFrame, rules: list[tuple] | None = None) -> DataFrame:
     """name, kind, file, line, content_hash, provenance, confidence of every line that a rule matches.
 
-    ``lines`` has file, line, text; ``hashes`` has file, content_hash.
+    ``lines`` has file, line, text and the file's content_hash.
     """
     rules = rules or [LINE_HEAD]
     found = F.array(*[F.struct(F.regexp_extract("text", p, 1).alias("name"), F.lit(k).alias("kind"), F.lit(v).alias("provenance"), F.lit(float(c)).alias("confidence")) for k, p, c, v in rules])
-    hits = lines.select("file", "line", F.explode(found).alias("s")).where("s.name <> ''")
-    return hits.join(hashes, "file").select("s.name", "s.kind", "file", "line", "content_hash", "s.provenance", "s.confidence")
+    hits = lines.select("file", "line", "content_hash", F.explode(found).alias("s")).where("s.name <> ''")
+    return hits.select("s.name", "s.kind", "file", "line", "content_hash", "s.provenance", "s.confidence")
 
 
 def snapshot(files: DataFrame, key: str = "path", body: str = "body") -> DataFrame:
@@ -41,17 +41,23 @@ def incremental_apply(old: DataFrame, new: DataFrame) -> DataFrame:
     return kept.unionByName(fresh)
 
 
-def generation_hash(snapshot: DataFrame, buckets: int = 256) -> DataFrame:
+def generation_hash(snapshot: DataFrame) -> DataFrame:
     """One row: a hash of all rows that doesn't depend on their order.
 
-    Rows are hashed in path order within buckets of paths, and the buckets'
-    hashes in bucket order, so no task holds all rows.
+    A tree of fixed shape over the hash of the path: rows are hashed in path order
+    within 65,536 leaves, leaves within 256 branches, and branches at the root, so
+    a billion rows make leaves of about 15,000.
     """
     line = F.concat_ws("|", "path", "content_hash", F.col("size").cast("string"))
-    bucket = F.conv(F.substring(F.sha2("path", 256), 1, 2), 16, 10).cast("int") % buckets
-    per = snapshot.select(bucket.alias("b"), F.struct("path", line.alias("l")).alias("s")).groupBy("b").agg(F.sort_array(F.collect_list("s")).alias("s"), F.count("*").alias("n"))
-    per = per.select("b", "n", F.sha2(F.array_join(F.transform("s", lambda x: x["l"]), "\n"), 256).alias("h"))
-    return per.agg(F.sum("n").alias("n_files"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("generation"))
+
+    def level(rows: DataFrame, by: list, order, value) -> DataFrame:
+        grouped = rows.groupBy(*by).agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v")))).alias("s"))
+        return grouped.select(*by, "n", F.sha2(F.array_join(F.transform("s", lambda x: x["v"]), "\n"), 256).alias("h"))
+
+    rows = snapshot.select(F.substring(F.sha2("path", 256), 1, 4).alias("leaf"), "path", line.alias("l"), F.lit(1).cast("long").alias("n"))
+    leaves = level(rows, ["leaf"], F.col("path"), F.col("l")).withColumn("branch", F.substring("leaf", 1, 2))
+    branches = level(leaves, ["branch"], F.col("leaf"), F.col("h"))
+    return level(branches, [], F.col("branch"), F.col("h")).select(F.col("n").alias("n_files"), F.col("h").alias("generation"))
 
 
 def corpus_equivalence(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -74,18 +80,29 @@ def unresolved_rate(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return out.withColumn("rate", F.round(F.col("without") / F.col("files"), 6))
 
 
+#: What each state of a stored snapshot means to its user; only ``ok`` can serve.
+ADVICE = {
+    "ok": None,
+    "missing": "build the index, or read and search the files directly",
+    "empty": "no files in the index; build it from the right root",
+    "corrupt": "not a valid index; remove and build it again",
+    "incompatible": "another version of the schema; build it again from nothing",
+}
+
+
 def doctor(spark, path: str) -> DataFrame:
-    """One row: the state of a stored snapshot (missing, corrupt, incompatible, empty or ok)."""
+    """One row: the state of a stored snapshot (a key of ``ADVICE``), its files, advice, and whether it can serve."""
+    n = None
     try:
         found = spark.read.parquet(path)
         if not {"path", "content_hash"} <= set(found.columns):
-            state, n = "incompatible", None
+            state = "incompatible"
         else:
             n = found.count()
             state = "ok" if n else "empty"
     except Exception as e:  # the reader's error class says which
-        state, n = ("missing" if "PATH_NOT_FOUND" in str(e) else "corrupt"), None
-    return spark.createDataFrame([(path, state, n)], "path string, state string, n_files long")
+        state = "missing" if "PATH_NOT_FOUND" in str(e) else "corrupt"
+    return spark.createDataFrame([(path, state, n, ADVICE[state], state == "ok")], "path string, state string, n_files long, advice string, can_serve boolean")
 
 
 def first_of(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -50,3 +50,36 @@ def score_additional(delivered: DataFrame, expected: DataFrame, given: DataFrame
     keys = delivered.select(key).union(expected.select(key)).union(given.select(key)).distinct()
     out = keys.join(n, key, "left").join(want, key, "left").join(got, key, "left").fillna(0, ["novel", "expected", "found"])
     return out.withColumn("recall", F.round(F.col("found") / F.nullif(F.col("expected"), F.lit(0)), 6)).withColumn("abstained", F.when(F.col("expected") == 0, F.col("novel") == 0))
+
+
+def replayed(first: DataFrame, again: DataFrame, key: str = "item_id") -> DataFrame:
+    """One row: items, and how many have a score that isn't the same in both, or are missing in one."""
+    cols = [c for c in first.columns if c != key]
+    j = first.select(key, F.struct(*cols).alias("_a")).join(again.select(key, F.struct(*cols).alias("_b")), key, "full_outer")
+    return j.agg(F.count("*").alias("items"), F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("differences"))
+
+
+def hit_rules(delivered: DataFrame, expected: DataFrame, key: str = "item_id", file: str = "file") -> DataFrame:
+    """Three readings of whether an answer is hit: ``loose``, ``sweep`` and ``canonical``.
+
+    ``expected`` has (key, field, value), field one of files, edge, path, package, file.
+    Any of ``files`` is a hit for all.  With edges, ``loose`` asks for one of their files,
+    ``sweep`` also for one of the path's if there is a path, ``canonical`` for one of the
+    path's first and then for an edge's if there are edges.  A package is hit by its
+    file or by any file below it.
+    """
+    got = delivered.select(key, F.col(file).alias("value")).distinct()
+    j = expected.where("field <> 'package'").join(got.withColumn("_d", F.lit(True)), [key, "value"], "left")
+    has = lambda f: F.coalesce(F.bool_or(F.col("field") == f), F.lit(False)).alias(f"has_{f}")
+    hit = lambda f: F.coalesce(F.bool_or((F.col("field") == f) & F.col("_d").isNotNull()), F.lit(False)).alias(f"hit_{f}")
+    named = ("files", "edge", "path", "file")
+    flags = j.groupBy(key).agg(*[has(f) for f in named], *[hit(f) for f in named])
+    package = expected.where("field = 'package'").select(key, F.col("value").alias("_p"))
+    below = package.join(got, key, "left").groupBy(key).agg(F.coalesce(F.bool_or(F.startswith(F.col("value"), F.col("_p"))), F.lit(False)).alias("hit_package"))
+    f = expected.select(key).distinct().join(flags, key, "left").join(below, key, "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rest = F.when(F.col("hit_package").isNotNull(), yes("hit_file") | yes("hit_package")).otherwise(yes("has_file") & yes("hit_file"))
+    loose = F.when(yes("has_files"), yes("hit_files")).when(yes("has_edge"), yes("hit_edge")).otherwise(rest)
+    sweep = F.when(yes("has_files"), yes("hit_files")).when(yes("has_edge"), yes("hit_edge") & (~yes("has_path") | yes("hit_path"))).otherwise(rest)
+    canonical = F.when(yes("has_files"), yes("hit_files")).when(yes("has_path"), yes("hit_path") & (~yes("has_edge") | yes("hit_edge"))).when(yes("has_edge"), yes("hit_edge")).otherwise(rest)
+    return f.select(key, loose.alias("loose"), sweep.alias("sweep"), canonical.alias("canonical"))

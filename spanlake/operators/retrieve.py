@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import text as T
+from spanlake.operators import fulltext
 from spanlake.operators.index import first_of
 
-K1, B = 1.2, 0.75  # Fixed values: parameters of the full-text ranking
 CANDIDATES = 200
 
 
@@ -18,23 +18,8 @@ def query_terms(queries: DataFrame, text: str = "text", key: str = "query_id") -
 
 
 def bm25(docs: DataFrame, terms: DataFrame, k: int = 20, doc: str = "doc_id", body: str = "text", key: str = "query_id", tokens: Column | None = None) -> DataFrame:
-    """The k best documents of each query: key, doc, score (more negative is better), rank.
-
-    Only postings of the queries' terms leave the scan; lengths and the number of
-    documents are counted over all of them, empty ones included.  Scores are
-    rounded to 6 digits before ranking, ties go to the smaller document.
-    """
-    words = tokens if tokens is not None else T.terms(F.coalesce(F.col(body), F.lit("")))
-    counted = docs.select(doc, words.alias("_w")).select(doc, "_w", F.size("_w").alias("_dl"))
-    stats = counted.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avg"), F.lit(1).alias("_one"))
-    wanted = terms.select("term").distinct()
-    post = counted.select(doc, "_dl", F.explode("_w").alias("term")).join(wanted, "term", "left_semi").groupBy("term", doc, "_dl").agg(F.count("*").alias("_tf"))
-    df = post.groupBy("term").agg(F.count("*").alias("_df"))
-    idf = F.greatest(F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
-    weights = df.withColumn("_one", F.lit(1)).join(F.broadcast(stats), "_one").select("term", "_avg", idf.alias("_idf"))  # stats is one row
-    part = F.col("_idf") * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_dl") / F.col("_avg")))
-    scored = post.join(weights, "term").select("term", doc, part.alias("_s")).join(terms, "term").groupBy(key, doc).agg(F.round(-F.sum("_s"), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("score", doc))).where(F.col("rank") <= k)
+    """The search of ``fulltext.search`` over documents without a stored index."""
+    return fulltext.search(fulltext.postings(docs, doc, body, tokens), terms, k, doc, key)
 
 
 def porter_terms(docs: DataFrame, body: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -58,10 +43,11 @@ def union_distinct(*parts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def cascade(levels: list[DataFrame], key: str, enough: int = 3) -> DataFrame:
-    """For each query the union of the first levels that has ``enough`` results, or of all.
+def cascade(levels: list[DataFrame], last: DataFrame, key: str, enough: int = 3) -> DataFrame:
+    """For each query the union of the first levels that has ``enough`` results; ``last`` instead where none has.
 
-    Levels have (key, doc); each adds to those before it.
+    All have (key, doc); each level adds to those before it.  ``level`` tells where a
+    result was found first.
     """
     all_levels = levels[0].withColumn("_l", F.lit(0))
     for k, x in enumerate(levels[1:], 1):
@@ -70,19 +56,9 @@ def cascade(levels: list[DataFrame], key: str, enough: int = 3) -> DataFrame:
     seen = all_levels.groupBy(key, *docs).agg(F.min("_l").alias("_l"))
     per = seen.groupBy(key, "_l").agg(F.count("*").alias("_n"))
     total = per.withColumn("_n", F.sum("_n").over(Window.partitionBy(key).orderBy("_l")))
-    stop = total.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("_n") >= enough, F.col("_l"))), F.lit(len(levels))).alias("_stop"))
-    return seen.join(stop, key).where("_l <= _stop").withColumnRenamed("_l", "level").drop("_stop")
-
-
-def capsule_rank(exact: DataFrame, refs: DataFrame, scored: DataFrame, key: str = "query_id") -> DataFrame:
-    """Candidates of a query in order: exact names and references (tier 0), then scored ones (tier 1); one for each place.
-
-    Each has key, name, file, line, score.
-    """
-    both = exact.withColumn("tier", F.lit(0)).unionByName(refs.withColumn("tier", F.lit(0))).unionByName(scored.withColumn("tier", F.lit(1)))
-    order = ["tier", "score", "file", "line", "name"]
-    one = first_of(both, [key, "file", "line"], order)
-    return one.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    stop = total.where(F.col("_n") >= enough).groupBy(key).agg(F.min("_l").alias("_stop"))
+    found = seen.join(stop, key).where("_l <= _stop").withColumnRenamed("_l", "level").drop("_stop")
+    return found.unionByName(last.join(stop.select(key), key, "left_anti").withColumn("level", F.lit(len(levels))))
 
 
 def abstain(seeds: Column, lexical: Column, top: Column) -> Column:
@@ -109,12 +85,16 @@ def document_frequency(docs: DataFrame, body: str = "text") -> DataFrame:
     return docs.select(F.explode(F.array_except(words, stop)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def evenly_spaced(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
-    """At most k rows of each group at evenly spaced ranks, rounded half to even.
+def evenly_spaced(df: DataFrame, group: str, order: str, k: int, prefix: int = 3) -> DataFrame:
+    """At most k rows of each group at evenly spaced ranks by a text column, rounded half to even.
 
-    The rank is a count within the group, the positions come from the group's size.
+    Ranks are counted in two levels, within the rows that share the first letters and
+    over their numbers, so a group that holds most rows is never in one task.
     """
-    n = df.groupBy(group).agg(F.count("*").alias("_n"))
-    ranked = df.withColumn("_i", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1).join(n, group)
-    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / float(k - 1), 0).cast("int"))
-    return ranked.where((F.col("_n") <= k) | F.array_contains(at, F.col("_i"))).drop("_n", "_i")
+    rows = df.withColumn("_b", F.substring(order, 1, prefix))
+    per = rows.groupBy(group, "_b").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(group, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base"), F.sum("_c").over(Window.partitionBy(group)).alias("_n"))
+    ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(group, "_b").orderBy(order)) - 1).join(per, [group, "_b"]).withColumn("_i", F.col("_i") + F.col("_base"))
+    at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / float(k - 1), 0).cast("long"))
+    return ranked.where((F.col("_n") <= k) | F.array_contains(at, F.col("_i"))).drop("_n", "_i", "_b", "_base")

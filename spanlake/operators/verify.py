@@ -68,3 +68,37 @@ def verify_symbols(symbols: DataFrame, files: DataFrame, lines: DataFrame) -> Da
         .when(F.col("line") > F.col("n_lines"), "line_out_of_range").when(~F.contains(F.col("_t"), F.col("name")), "name_not_on_line").otherwise("ok")
     )
     return j.select("name", "file", "line", state.alias("state"))
+
+
+#: Fields of a result document.
+IDENTITY = ["provider", "id", "version"]
+USAGE = ["model_calls", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "tool_calls_declared", "turns"]
+COVERAGE = ["model_identity", "tokens", "cost", "tool_calls", "turns"]
+RESULT = "executor-result/1"
+
+
+def result_violations(doc: Column) -> Column:
+    """Codes of what is wrong with a result document (a JSON text); empty if nothing is.
+
+    Types count: a number as text is no number, and a blank text is none.
+    """
+    v = F.try_parse_json(doc)
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("ABSENT"))
+    text = lambda path: (kind(path) == "STRING") & (F.length(F.trim(F.try_variant_get(v, path, "string"))) > 0)
+    number = lambda path: kind(path).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")
+    low = lambda path: ~number(path) | (F.try_variant_get(v, path, "double") < 0)
+    there = lambda path: ~kind(path).isin("ABSENT", "VOID")
+    is_object = lambda path: kind(path).startswith("OBJECT")
+    missing = F.array_join(F.array_compact(F.array(*[F.when(~text(f"$.model.{f}"), f) for f in IDENTITY])), ",")
+    checks = [
+        F.when(~text("$.schema") | (F.try_variant_get(v, "$.schema", "string") != RESULT), "schema"),
+        F.when(~is_object("$.model"), "model_missing").when(missing != "", F.concat(F.lit("model:"), missing)), F.when(is_object("$.model") & ~text("$.model.verified_by"), "model_unverified"),
+        F.when(~is_object("$.usage"), "usage_missing"), *[F.when(is_object("$.usage") & there(f"$.usage.{f}") & low(f"$.usage.{f}"), f"usage:{f}") for f in USAGE],
+        F.when(there("$.cost") & ~is_object("$.cost"), "cost_no_object"), F.when(is_object("$.cost") & low("$.cost.provider_billed"), "cost:provider_billed"), *[F.when(is_object("$.cost") & ~text(f"$.cost.{f}"), f"cost:{f}") for f in ("currency", "source")],
+        F.when(~text("$.stop.reason"), "stop"), F.when(~is_object("$.coverage"), "coverage_missing"),
+    ]
+    for m in COVERAGE:
+        at = f"$.coverage.{m}"
+        unseen = (kind(f"{at}.observed") == "BOOLEAN") & ~F.coalesce(F.try_variant_get(v, f"{at}.observed", "boolean"), F.lit(True))
+        checks.append(F.when(is_object("$.coverage"), F.when(~is_object(at), f"coverage:{m}").when(kind(f"{at}.observed") == "ABSENT", f"coverage_unobserved:{m}").when(unseen & ~text(f"{at}.reason"), f"coverage_unexplained:{m}")))
+    return F.when(v.isNull(), F.array(F.lit("unreadable"))).otherwise(F.array_compact(F.array(*checks)))

@@ -7,41 +7,15 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import text as T
 from spanlake.operators import extract as X
+from spanlake.operators import generate as G
 from spanlake.operators import measure as M
 from spanlake.operators import pack as P
-from spanlake.operators import retrieve as R
+from spanlake.operators import verify as V
+from spanlake.plans.measure import TOP_SQL, scored_sql
 from spanlake.plans.pack import UNIT_SQL, units
 from spanlake.plans.registry import FILES_SQL, SYMBOLS_SQL, corpus, query
-from spanlake.plans.retrieve import BM25_SQL, CONT_SQL, ranked, router, structural, truth
-from spanlake.sources.corpus import document_files, table
-
-#: Strategies by name: each gives (item_id, doc_id).
-STRATEGIES = {
-    "lexical": lambda spark, d: ranked(spark, d).select("item_id", "doc_id"),
-    "structural": structural,
-    "hybrid": lambda spark, d: R.union_distinct(structural(spark, d), ranked(spark, d).select("item_id", "doc_id")),
-    "router": lambda spark, d: router(spark, d).select("item_id", "doc_id"),
-}
-
-
-def sources(spark, sf_dir):
-    """Small source files made from documents: a class, a method and a call, some with a syntax error."""
-    d = table(spark, sf_dir, "documents")
-    i = F.col("doc_id")
-    py = F.format_string("class C%d:\n    def run_%d(self):\n        return helper(%d)\n\n\nasync def helper(x):\n    return x\n%s", i, i % 7, i, F.when(i % 5 == 0, "def (").otherwise(""))
-    java = F.format_string("package p;\n\npublic class J%d {\n    private static int\n        unrelated = 1;\n    public void go%d(int a) {\n        if (a > 0) { other(a); }\n    }\n}\n", i, i % 7)
-    return d.select(F.format_string("m/f%d.py", i).alias("path"), py.alias("body")), d.select(F.format_string("m/F%d.java", i).alias("path"), java.alias("body"))
-
-
-@query("""select 'm/f' || doc_id || '.py' as path, kind, name, line::int as line from documents, lateral (values ('class', 'C' || doc_id, 1), ('function', 'run_' || (doc_id % 7), 2), ('function', 'helper', 6)) s(kind, name, line) where doc_id % 5 <> 0""")
-def python_symbols(spark, sf_dir):
-    return X.python_symbols(sources(spark, sf_dir)[0]).select("path", "kind", "name", "line")
-
-
-@query("""select 'm/F' || doc_id || '.java' as path, kind, name, line::int as line, confidence::double as confidence from documents, lateral (values ('class', 'J' || doc_id, 3, 1.0), ('method', 'go' || (doc_id % 7), 6, 0.9)) s(kind, name, line, confidence)""")
-def pattern_symbols(spark, sf_dir):
-    return X.pattern_symbols(sources(spark, sf_dir)[1]).select("path", "kind", "name", "line", "confidence")
-
+from spanlake.plans.retrieve import BM25_SQL, CONT_SQL, ranked, truth
+from spanlake.sources.corpus import document_files, fresh_path, table
 
 @query(f"with {FILES_SQL} select path, size::bigint as size from files where module not in ('src3', 'src5')")
 def nested_repos(spark, sf_dir):
@@ -56,14 +30,6 @@ def symbol_scan(spark, sf_dir):
     return corpus(spark, sf_dir)[2].select("name", "kind", "file", "line", "content_hash").orderBy("file", "line")
 
 
-@query(f"with {FILES_SQL} select path as path, sha256(body) as content_hash from files")
-def snapshot_reader(spark, sf_dir):
-    """A stored index with absolute paths and upper-case hashes, read as relative paths and lower-case hashes."""
-    files = document_files(table(spark, sf_dir, "documents"))
-    stored = files.select(F.concat(F.lit("/data/corpus/"), "path").alias("path"), F.upper(T.content_hash(F.col("body"))).alias("content_hash"))
-    return stored.select(F.regexp_replace("path", "^/data/corpus/", "").alias("path"), F.lower("content_hash").alias("content_hash"))
-
-
 @query("select page_id, regexp_matches(lower(url), 'test|spec') as is_test, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '/[^/]*$', '') as module, left(sha256(url), 12) as root_id from pages")
 def path_facts(spark, sf_dir):
     """Whether a path looks like a test, its module, and the short id of a root."""
@@ -71,12 +37,6 @@ def path_facts(spark, sf_dir):
     return p.select("page_id", T.is_test_path(F.col("url")).alias("is_test"), F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "/[^/]*$", "").alias("module"), F.left(F.sha2("url", 256), F.lit(12)).alias("root_id"))
 
 
-@query("""select page_id, tag, n from (select page_id, tag, len(regexp_extract_all(html, '<' || tag || '[ >]')) as n from pages, (values ('script'), ('style'), ('table'), ('nav')) t(tag)) where n > 0""")
-def page_taglibs(spark, sf_dir):
-    tags = F.array(*[F.struct(F.lit(t).alias("tag"), F.regexp_count("html", F.lit(f"<{t}[ >]")).cast("long").alias("n")) for t in ("script", "style", "table", "nav")])
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(tags).alias("t")).select("page_id", "t.*").where("n > 0")
-
-
 @query("select doc_id, strlen(json_object('doc_id', doc_id, 'n_chars', n_chars)::varchar)::int as bytes, strlen(json_object('doc_id', doc_id, 'n_chars', n_chars)::varchar)::int // 4 as tokens from documents")
 def payload_size(spark, sf_dir):
     j = F.to_json(F.struct("doc_id", "n_chars"), {"ignoreNullFields": "false"})
@@ -108,19 +68,6 @@ def partial_unit(spark, sf_dir):
     return part.where(cost <= F.col("room")).groupBy("item_id", "position", "doc_id", "start").agg(F.max("keep").alias("k")).select("item_id", "position", "doc_id", "start", (F.col("start") + F.col("k") - 1).alias("end"))
 
 
-@query(f"""with {BM25_SQL}, top as (select item_id, doc_id, rank from bm where rank <= 20), c as (select t.*, d.source as file, greatest(1, n_chars // 4) as cost from top t join documents d using (doc_id)),
-    one as (select *, row_number() over (partition by item_id, file order by rank) as r from c), pol as (select 'multi' as policy, * exclude (r) from one union all select 'one_per_file', * exclude (r) from one where r = 1),
-    o as (select *, sum(cost) over (partition by policy, item_id order by rank) as used from pol)
-    select policy, item_id, count(*) as units, max(used)::bigint as used from o where used <= 4000 group by 1, 2""")
-def capsule_pack(spark, sf_dir):
-    """Packing policies over ranked documents, whose module stands for the file: all of them, or one for each file."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file"), F.greatest(F.lit(1), F.floor(F.col("n_chars") / 4)).alias("cost"))
-    c = ranked(spark, sf_dir).join(d, "doc_id").withColumn("_r", F.row_number().over(Window.partitionBy("item_id", "file").orderBy("rank")))
-    pol = c.withColumn("policy", F.explode(F.when(F.col("_r") == 1, F.array(F.lit("multi"), F.lit("one_per_file"))).otherwise(F.array(F.lit("multi")))))
-    pol = pol.withColumn("used", F.sum("cost").over(Window.partitionBy("policy", "item_id").orderBy("rank"))).where("used <= 4000")
-    return pol.groupBy("policy", "item_id").agg(F.count("*").alias("units"), F.max("used").alias("used"))
-
-
 @query(f"""with {UNIT_SQL}, r as (select *, sum(cost) over (partition by item_id order by position) as run from u), l as (select item_id, list(doc_id || ':' || "start" order by position) as h from r where run > 6000 group by 1)
     select b.item_id, array_to_string(coalesce(h[1:5], ['no match: widen the query']), ' ') as hints from benchmark b left join l using (item_id) where h is not null or b.item_id not in (select item_id from u)""")
 def hints(spark, sf_dir):
@@ -133,14 +80,25 @@ def hints(spark, sf_dir):
     return lists.unionByName(none)
 
 
-@query("""select o_orderkey as id, array_to_string(list_filter([case when o_orderkey % 6 = 0 then 'schema' end, case when o_custkey % 5 = 0 then 'model.provider' end, case when o_totalprice < 1000 then 'cost.amount' end, case when o_orderstatus = 'P' then 'stop.reason' end], lambda x: x is not null), ',') as violations from orders""")
+@query("""with x as (select o_orderkey as k, o_custkey as c, o_orderstatus = 'P' as p from orders), y as (select *, k % 13 <> 0 as model, k % 17 <> 0 as usage, k % 9 not in (0, 1) as cost, k % 19 <> 0 as cover from x)
+    select k as id, case when k % 23 = 0 then 'unreadable' else array_to_string(list_filter([case when k % 6 = 0 then 'schema' end, case when not model then 'model_missing' when k % 5 = 0 then 'model:provider' when k % 5 = 1 and c % 2 = 0 then 'model:id,version' end,
+      case when model and c % 7 = 0 then 'model_unverified' end, case when not usage then 'usage_missing' end, case when usage and c % 4 = 0 then 'usage:input_tokens' end, case when usage and k % 8 = 0 then 'usage:output_tokens' end, case when usage and k % 3 = 1 then 'usage:turns' end,
+      case when k % 9 = 1 then 'cost_no_object' end, case when cost and k % 10 = 0 then 'cost:provider_billed' end, case when cost and c % 6 = 0 then 'cost:currency' end, case when p then 'stop' end, case when not cover then 'coverage_missing' end,
+      case when cover and c % 11 = 0 then 'coverage:tokens' end, case when cover and c % 11 = 2 then 'coverage_unexplained:cost' end, case when cover and c % 11 = 1 then 'coverage_unobserved:turns' end], lambda x: x is not null), ',') end as violations from y""")
 def validate_result(spark, sf_dir):
-    """Nested result documents, as JSON, and the paths of what is wrong with them."""
-    o, k, c = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
-    doc = F.to_json(F.struct(F.when(k % 6 == 0, "v0").otherwise("v1").alias("schema"), F.struct(F.when(c % 5 != 0, "p").alias("provider")).alias("model"), F.struct(F.when(F.col("o_totalprice") >= 1000, F.col("o_totalprice")).alias("amount")).alias("cost"), F.struct(F.when(F.col("o_orderstatus") != "P", "done").alias("reason")).alias("stop")))
-    d = o.select(k.alias("id"), F.from_json(doc, "schema string, model struct<provider: string>, cost struct<amount: double>, stop struct<reason: string>").alias("d"))
-    checks = F.array_compact(F.array(F.when(F.col("d.schema") != "v1", "schema"), F.when(F.col("d.model.provider").isNull(), "model.provider"), F.when(F.col("d.cost.amount").isNull(), "cost.amount"), F.when(F.col("d.stop.reason").isNull(), "stop.reason")))
-    return d.select("id", F.array_join(checks, ",").alias("violations"))
+    """Result documents, as JSON, and all that is wrong with them; the twin knows how each was spoilt."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    model = F.when(k % 13 == 0, "5").otherwise(F.concat(F.lit('{"provider":'), F.when(k % 5 == 0, '" "').otherwise('"p"'), F.when((k % 5 == 1) & (c % 2 == 0), ',"id":1').otherwise(',"id":"m","version":"1"'), F.when(c % 7 != 0, ',"verified_by":"x"').otherwise(""), F.lit("}")))
+    usage = F.when(k % 17 == 0, "null").otherwise(F.concat(F.lit('{"model_calls":1,"input_tokens":'), F.when(c % 4 == 0, "-1").otherwise("10"), F.lit(',"output_tokens":'), F.when(k % 8 == 0, "true").otherwise("2.5"), F.lit(',"cache_read_tokens":null,"turns":'), F.when(k % 3 == 1, '"3"').otherwise("3"), F.lit("}")))
+    cost = F.when(k % 9 == 0, "null").when(k % 9 == 1, '"free"').otherwise(F.concat(F.lit('{"provider_billed":'), F.when(k % 10 == 0, "-2").otherwise("0.25"), F.when(c % 6 == 0, "").otherwise(',"currency":"USD"'), F.lit(',"source":"s"}')))
+    seen = '{"observed":true}'
+    tokens = F.when(c % 11 == 0, "").otherwise(f'"tokens":{seen},')
+    money = F.when(c % 11 == 2, '{"observed":false,"reason":" "}').when(c % 11 == 3, '{"observed":false,"reason":"none"}').otherwise(seen)
+    cover = F.when(k % 19 == 0, "[]").otherwise(F.concat(F.lit(f'{{"model_identity":{seen},'), tokens, F.lit('"cost":'), money, F.lit(f',"tool_calls":{seen},"turns":'), F.when(c % 11 == 1, "{}").otherwise(seen), F.lit("}")))
+    stop = F.when(F.col("o_orderstatus") == "P", '{"reason":" "}').otherwise('{"reason":"done"}')
+    schema = F.when(k % 6 == 0, "v0").otherwise(V.RESULT)
+    doc = F.concat(F.lit('{"schema":"'), schema, F.lit('","model":'), model, F.lit(',"usage":'), usage, F.lit(',"cost":'), cost, F.lit(',"stop":'), stop, F.lit(',"coverage":'), cover, F.when(k % 23 != 0, "}").otherwise(""))
+    return table(spark, sf_dir, "orders").select(k.alias("id"), F.array_join(V.result_violations(doc), ",").alias("violations"))
 
 
 @query("""with t as (select ['local_bug', 'cross_file', 'api_tests', 'configuration', 'misc'][1 + p_partkey % 5] as category from part), n as (select category, count(*) as n from t group by 1)
@@ -160,21 +118,6 @@ def attempt_tasks(spark, sf_dir):
     return j.groupBy(F.col("o_orderpriority").alias("condition")).agg(F.count("c_custkey").alias("attempts"), F.count_if(F.col("c_custkey").isNull()).alias("without_task"))
 
 
-@query(f"""with {SYMBOLS_SQL}, sd as (select distinct name, file from symbols), w as (select name, file, regexp_extract_all(lower(name || ' head ' || file), '[\\p{{L}}\\p{{N}}]+') as w from sd), st as (select count(*) as n, avg(len(w)) as av from w),
-    qt as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) as term from benchmark), post as (select term, name, file, len(w) as dl, count(*) as tf from (select name, file, w, unnest(w) as term from w) where term in (select term from qt) group by all),
-    idf as (select term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) as idf, av from post, st group by term, n, av),
-    sc as (select item_id, name, file, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) as score from post join idf using (term) join qt using (term) group by all),
-    r as (select *, row_number() over (partition by item_id order by score, name || '#' || file) as rank from sc)
-    select item_id, name, file, line, score, rank::int as rank from r join symbols using (name, file) where rank <= 20""")
-def bm25_symbols(spark, sf_dir):
-    """Ranks the names themselves, with kind and file as text, and joins their places: a name several times in a file gives several rows."""
-    symbols = corpus(spark, sf_dir)[2].select("name", "file", "line")
-    docs = symbols.select("name", "file").distinct().select(F.concat_ws("#", "name", F.col("file").cast("string")).alias("doc"), F.concat_ws(" ", "name", F.lit("head"), F.col("file").cast("string")).alias("text"))
-    top = R.bm25(docs, R.query_terms(table(spark, sf_dir, "benchmark"), key="item_id"), 20, doc="doc", key="item_id")
-    place = symbols.withColumn("doc", F.concat_ws("#", "name", F.col("file").cast("string")))
-    return top.join(place, "doc").select("item_id", "name", "file", "line", "score", "rank")
-
-
 @query(f"""with {SYMBOLS_SQL}, first as (select name, min(file) as file from symbols where length(name) >= 6 group by 1), t as (select * from first order by file, name limit 20),
     refs as (select t.name, count(distinct l.doc_id) as n, min(l.doc_id) as first_ref from t join lines l on contains(l.text, t.name) and l.doc_id <> t.file group by 1)
     select 'A' as category, 'where is ' || name as question, file as gt_file, null::bigint as n_refs from t union all select 'B', 'which module has ' || name, file, null from t union all select 'D', 'who mentions ' || name, first_ref, n from t join refs using (name)""")
@@ -199,28 +142,64 @@ def module_questions(spark, sf_dir):
     return f.withColumn("_r", F.row_number().over(Window.partitionBy("module").orderBy("file", "name"))).where("_r <= 8").drop("_r")
 
 
-@query(f"""with {BM25_SQL}, {CONT_SQL}, d as (select item_id, doc_id from bm where rank <= 5), s as (select g.item_id, count(*) as expected, count(d.doc_id) as found, bool_or(g.doc_id = f.first and d.doc_id is not null) as first_found
-      from gt g left join d using (item_id, doc_id) join (select item_id, min(doc_id) as first from gt group by 1) f on f.item_id = g.item_id group by 1)
-    select item_id, found = expected as all_of, found > 0 as any_of, first_found from s""")
-def hit_rules(spark, sf_dir):
-    """Three readings of a hit among the five best: every expected document, any, or the first."""
-    t = truth(spark, sf_dir)
-    d = ranked(spark, sf_dir, 5).select("item_id", "doc_id").withColumn("_d", F.lit(True))
-    first = t.groupBy("item_id").agg(F.min("doc_id").alias("_f"))
-    j = t.join(d, ["item_id", "doc_id"], "left").join(first, "item_id")
-    return j.groupBy("item_id").agg((F.count("_d") == F.count("*")).alias("all_of"), (F.count("_d") > 0).alias("any_of"), F.bool_or((F.col("doc_id") == F.col("_f")) & F.col("_d").isNotNull()).alias("first_found"))
+EXPECTED_SQL = f"""{FILES_SQL}, {BM25_SQL}, r as (select item_id, rank, path, 'src/' || coalesce(module, 'none') || '/' as pkg from bm join files using (doc_id) where rank <= 20),
+    ev as (select item_id, 'files' as field, path as value from r where item_id % 5 = 0 and rank in (3, 9) union all select item_id, 'edge', path from r where item_id % 5 = 1 and rank = 2 or item_id % 5 = 2 and rank = 9 or item_id % 10 = 7 and rank = 4
+      union all select item_id, 'path', path from r where item_id % 5 = 1 and rank in (7, 8) or item_id % 10 = 2 and rank = 1 union all select item_id, 'package', pkg from r where item_id % 5 = 3 and rank = 4 + item_id % 9
+      union all select item_id, 'file', path from r where item_id % 5 = 3 and rank = 11 or item_id % 5 = 4 and rank = 1 + item_id % 8)"""
 
 
-@query("select 0::bigint as differences")
+@query(f"""with {EXPECTED_SQL}, g as (select item_id, path as value from r where rank <= 5), x as (select ev.item_id, field, bool_or(g.value is not null) as hit from ev left join g on g.item_id = ev.item_id and (g.value = ev.value or field = 'package' and starts_with(g.value, ev.value)) group by 1, 2),
+    p as (select item_id, bool_or(hit) filter (field = 'files') as fs, bool_or(hit) filter (field = 'edge') as e, bool_or(hit) filter (field = 'path') as pa, bool_or(hit) filter (field = 'package') as pk, bool_or(hit) filter (field = 'file') as f from x group by 1),
+    q as (select *, case when pk is not null then pk or coalesce(f, false) else coalesce(f, false) end as rest from p)
+    select item_id, coalesce(fs, e, rest) as loose, coalesce(fs, case when e is not null then e and coalesce(pa, true) end, rest) as sweep, coalesce(fs, case when pa is not null then pa and coalesce(e, true) end, e, rest) as canonical from q""")
+def hit_rules(spark, sf_dir):
+    """Three readings of a hit among the five best, over expected files, edges, paths and packages."""
+    i, k = F.col("item_id"), F.col("rank")
+    files = document_files(table(spark, sf_dir, "documents")).select("doc_id", "path", F.concat(F.lit("src/"), F.coalesce("module", F.lit("none")), F.lit("/")).alias("pkg"))
+    r = ranked(spark, sf_dir).join(files, "doc_id").select(i, k, "path", "pkg")
+    pick = lambda field, when, value="path": r.where(when).select(i, F.lit(field).alias("field"), F.col(value).alias("value"))
+    expected = pick("files", (i % 5 == 0) & k.isin(3, 9)).unionByName(pick("edge", (i % 5 == 1) & (k == 2) | (i % 5 == 2) & (k == 9) | (i % 10 == 7) & (k == 4))).unionByName(pick("path", (i % 5 == 1) & k.isin(7, 8) | (i % 10 == 2) & (k == 1)))
+    expected = expected.unionByName(pick("package", (i % 5 == 3) & (k == 4 + i % 9), "pkg")).unionByName(pick("file", (i % 5 == 3) & (k == 11) | (i % 5 == 4) & (k == 1 + i % 8)))
+    return M.hit_rules(r.where(k <= 5).select(i, F.col("path").alias("file")), expected)
+
+
+@query(f"""with {CONT_SQL} select item_id, count(*) as n_files, array_to_string(list_sort(list(doc_id)), ' ') as files from gt group by 1""")
+def ground_truth(spark, sf_dir):
+    """All documents that contain an item's passage, as one set."""
+    return truth(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_files"), F.array_join(F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")), " ").alias("files"))
+
+
+@query("""with b as (select item_id, text, length(text) // 100 as band from benchmark), s as (select item_id, 0 as part from (select *, row_number() over (partition by band order by item_id) as r from b) where r <= 3),
+    e as (select item_id, 1 as part from b where length(text) = (select max(length(text)) from b) or length(text) = (select min(length(text)) from b)), u as (select * from s union all select * from e)
+    select item_id, part, position from (select *, row_number() over (order by part, item_id)::int as position from u) where position <= 12""")
+def query_set(spark, sf_dir):
+    """Three items of each length, then the longest and shortest as edge cases, twelve in all."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.length("text").alias("n"))
+    strata = b.withColumn("_r", F.row_number().over(Window.partitionBy(F.floor(F.col("n") / 100)).orderBy("item_id"))).where("_r <= 3").select("item_id")
+    ends = b.agg(F.max("n").alias("_a"), F.min("n").alias("_b")).first()
+    edge = b.where(F.col("n").isin(ends["_a"], ends["_b"])).select("item_id")
+    return G.query_set(strata, edge, 12, ["item_id"]).select("item_id", "part", "position")
+
+
+@query("""with r as (select item_id as task_id, c.condition, rep::int as repetition, (case when rep % 2 = 0 then c.k else 1 - c.k end)::int as "order" from benchmark, (values ('with', 0), ('without', 1)) c(condition, k), range(3) x(rep))
+    select *, json_object('budget', 4000, 'condition', condition, 'order', "order", 'repetition', repetition, 'sha', 'abc', 'task_id', task_id, 'tokenizer', 'chars//4')::varchar as manifest from r""")
+def pairing_manifest(spark, sf_dir):
+    return G.pairing_manifest(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id")), ["with", "without"], 3, 4000, "abc")
+
+
+@query(f"""with {BM25_SQL}, {CONT_SQL}, {scored_sql(TOP_SQL)}, ch as (select item_id, case when item_id % 5 = 0 then n_common + 1 else n_common end as n_common, case when item_id % 7 <> 0 then n_delivered end as n_delivered from sd)
+    select 'spoilt' as replay, count(*) as items, count(*) filter (sd.n_common is distinct from ch.n_common or sd.n_delivered is distinct from ch.n_delivered) as differences from sd join ch using (item_id)
+    union all select 'stored', count(*), 0 from sd""")
 def score_replay(spark, sf_dir):
-    """Scores computed twice, once from a stored copy of the delivery; no row may differ either way."""
-    from spanlake.streaming.accounting import shared
-
-    path = f"{shared(spark)}/replay-{spark.sparkContext.applicationId}"
+    """Scores computed again from a stored delivery: none may differ from the first; of scores spoilt on purpose each must."""
+    path = fresh_path(spark, "replay")
     delivered = ranked(spark, sf_dir).select("item_id", "doc_id")
-    delivered.write.mode("overwrite").parquet(path)
+    delivered.write.parquet(path)
     a, b = M.score_delivery(delivered, truth(spark, sf_dir)), M.score_delivery(spark.read.parquet(path), truth(spark, sf_dir))
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("differences"))
+    i = F.col("item_id")
+    spoilt = a.withColumn("n_common", F.col("n_common") + F.when(i % 5 == 0, 1).otherwise(0)).withColumn("n_delivered", F.when(i % 7 != 0, F.col("n_delivered")))
+    row = lambda name, x: M.replayed(a, x).select(F.lit(name).alias("replay"), "items", "differences")
+    return row("spoilt", spoilt).unionByName(row("stored", b))
 
 
 @query(f"with {FILES_SQL}, d as (select path, size from files where doc_id % 97 <> 1) select count(f.path) as on_disk, count(d.path) as indexed, count(*) filter (f.path is null or d.path is null) as mismatches, count(*) filter (d.path is null) = 0 as covered from files f full join d on f.path = d.path")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spanlake.functions import text as T
-from spanlake.operators import index, lookup, verify
+from spanlake.operators import fulltext, index, lookup, verify
 from spanlake.plans.registry import FILES_SQL, LINES_SQL, SYMBOLS_SQL, corpus, query
-from spanlake.sources.corpus import document_files, table
+from spanlake.sources.corpus import document_files, fresh_path, table
 
 NAMES = ["The", "Licensed", "All", "Zu", "no_such_name"]
 NAMES_SQL = "(values ('The'), ('Licensed'), ('All'), ('Zu'), ('no_such_name')) n(needle)"
@@ -43,9 +43,13 @@ def find_references(spark, sf_dir):
     return lookup.find_references(corpus(spark, sf_dir)[1], REFS)
 
 
-@query(f"with {REFS_SQL} select * from refs where doc_id in (select doc_id from refs group by 1 having count(distinct needle) > 1)")
+TOGETHER = ["Licensed", "Public", "under", "rights"]
+
+
+@query(f"""with {LINES_SQL}, refs as (select needle, doc_id, line from lines join (values ('Licensed'), ('Public'), ('under'), ('rights')) n(needle) on contains(text, needle))
+    select * from refs where doc_id in (select doc_id from refs group by 1 having count(distinct needle) > 1)""")
 def refs_cooccur(spark, sf_dir):
-    return lookup.cooccurring(lookup.find_references(corpus(spark, sf_dir)[1], REFS))
+    return lookup.cooccurring(lookup.find_references(corpus(spark, sf_dir)[1], TOGETHER)).select("needle", "doc_id", "line")
 
 
 @query(f"""with {SYMBOLS_SQL}, q as (select distinct item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as token from benchmark)
@@ -122,9 +126,9 @@ def pruned_files(spark, sf_dir):
     return old.join(new, "path", "left_anti").select("path")
 
 
-@query(f"""with {STATES_SQL}, l as (select path, path || '|' || content_hash || '|' || size as l, ('0x' || left(sha256(path), 2))::int as b from new),
-    h as (select b, count(*) as n, sha256(string_agg(l, chr(10) order by path)) as h from l group by 1)
-    select sum(n)::bigint as n_files, sha256(string_agg(h, chr(10) order by b)) as generation from h""")
+@query(f"""with {STATES_SQL}, l as (select path, path || '|' || content_hash || '|' || size as l, left(sha256(path), 4) as leaf from new),
+    lf as (select leaf, left(leaf, 2) as b, count(*) as n, sha256(string_agg(l, chr(10) order by path)) as h from l group by 1, 2), br as (select b, sum(n) as n, sha256(string_agg(h, chr(10) order by leaf)) as h from lf group by 1)
+    select sum(n)::bigint as n_files, sha256(string_agg(h, chr(10) order by b)) as generation from br""")
 def generation_hash(spark, sf_dir):
     return index.generation_hash(index.incremental_apply(*states(spark, sf_dir)))
 
@@ -148,8 +152,37 @@ def unresolved_rate(spark, sf_dir):
     return index.unresolved_rate(files, symbols)
 
 
-@query()
+DOCTOR_SQL = ", ".join(f"('{s}', {n}, {'null' if index.ADVICE[s] is None else repr(index.ADVICE[s])}, {s == 'ok'})" for s, n in (("ok", "(select count(*) from documents)"), ("missing", "null"), ("empty", "0"), ("corrupt", "null"), ("incompatible", "null")))
+
+
+@query(f"select * from (values {DOCTOR_SQL}) d(state, n_files, advice, can_serve)")
 def doctor(spark, sf_dir):
-    """The states of paths that can and can't serve as a snapshot."""
-    a = index.doctor(spark, f"{sf_dir}/documents.parquet")
-    return a.unionByName(index.doctor(spark, f"{sf_dir}/no_such_table.parquet"))
+    """A stored snapshot in each state that can be told apart."""
+    base, out = fresh_path(spark, "doctor"), None
+    snap = index.snapshot(document_files(table(spark, sf_dir, "documents")))
+    snap.write.parquet(f"{base}/ok")
+    snap.where("false").write.parquet(f"{base}/empty")
+    snap.select("path").write.parquet(f"{base}/incompatible")
+    spark.createDataFrame([("no table",)], "value string").write.text(f"{base}/corrupt")
+    for state in ("ok", "missing", "empty", "corrupt", "incompatible"):
+        row = index.doctor(spark, f"{base}/{state}").select("state", "n_files", "advice", "can_serve")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def fulltext_states(spark, sf_dir):
+    """Documents before and after a change: some are edited, some removed, some added."""
+    d, i = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.col("doc_id")
+    return d.where(i % 11 != 5), d.where(i % 13 != 4).withColumn("text", F.concat("text", F.when(i % 7 == 0, " edited word").otherwise("")))
+
+
+@query("""with n as (select doc_id as doc, regexp_extract_all(lower(coalesce(text, '') || case when doc_id % 7 = 0 then ' edited word' else '' end), '[\\p{L}\\p{N}]+') as w from documents where doc_id % 13 <> 4)
+    select term, doc, count(*) as tf, any_value(len(w))::int as dl from (select doc, w, unnest(w) as term from n) group by 1, 2 union all select '', doc, 1, len(w)::int from n""")
+def index_maintained(spark, sf_dir):
+    """The inverted index after a change, by difference; the twin builds it anew."""
+    old, new = fulltext_states(spark, sf_dir)
+    hashed = lambda df: df.select(F.col("doc_id").cast("string").alias("path"), T.content_hash(F.col("text")).alias("content_hash"))
+    diff = index.incremental_diff(hashed(old), hashed(new)).where("state <> 'skipped'").select(F.col("path").cast("long").alias("doc_id"))
+    before = fresh_path(spark, "fulltext")
+    fulltext.write(fulltext.postings(old), before)
+    return fulltext.maintained(spark.read.parquet(before), diff, new.join(diff, "doc_id", "left_semi"))

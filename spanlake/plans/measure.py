@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from spanlake.operators import graph as G
 from spanlake.operators import measure as M
-from spanlake.operators import pack as P
-from spanlake.plans.registry import SYMBOLS_SQL, corpus, query
-from spanlake.plans.retrieve import BM25_SQL, CONT_SQL, ROUTER_SQL, ranked, router, structural, truth
+from spanlake.plans.registry import query
+from spanlake.plans.retrieve import BM25_SQL, CONT_SQL, ranked, truth
 from spanlake.sources.corpus import table
 
 EDGE_SQL = """edges as (select distinct 'c' || o_custkey as src, 'p' || l_partkey as dst from orders join lineitem on o_orderkey = l_orderkey
@@ -26,23 +25,10 @@ def edges(spark, sf_dir):
     return a.union(b).union(s.select(name("s", "s_suppkey").alias("src"), name("n", "s_nationkey").alias("dst"))).distinct()
 
 
-@query(f"""with {SYMBOLS_SQL}, d as (select file as doc_id, line, name from symbols where regexp_matches(name, '^[A-Z]')),
-    cl as (select doc_id, line, unnest(list_distinct(regexp_extract_all(split_part(text, '//', 1), '\\b([A-Za-z_][A-Za-z0-9_]*)[ ]*[(]', 1))) as callee from lines)
-    select cl.doc_id, cl.line, d.name as caller, cl.callee from cl asof join d on cl.doc_id = d.doc_id and cl.line >= d.line where d.name <> cl.callee and callee not in ('if', 'for', 'while', 'switch', 'return', 'catch')""")
-def caller_asof(spark, sf_dir):
-    """Names before a parenthesis, with the last declared name at or before their line as caller."""
-    _, lines, symbols = corpus(spark, sf_dir)
-    decl = symbols.where(F.col("name").rlike("^[A-Z]")).select(F.col("file").alias("doc_id"), "line", "name")
-    calls = lines.select("doc_id", "line", F.explode(F.array_distinct(F.regexp_extract_all(F.split_part(F.col("text"), F.lit("//"), F.lit(1)), F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)[ ]*[(]"), F.lit(1)))).alias("callee"))
-    calls = calls.where(~F.col("callee").isin("if", "for", "while", "switch", "return", "catch"))
-    of = P.enclosing(calls.select("doc_id", "line").distinct(), decl).where("name is not null")
-    return calls.join(of, ["doc_id", "line"]).where("name <> callee").select("doc_id", "line", F.col("name").alias("caller"), "callee")
-
-
-@query(f"with {EDGE_SQL}, t as (select distinct x.src as a, x.dst as b, y.dst as c from edges x join edges y on x.dst = y.src where y.dst <> x.src) select a, count(*) as chains, min(b || '>' || c) as first_chain from t group by 1")
+@query(f"""with {EDGE_SQL}, t as (select distinct x.src as a, x.dst as b, y.dst as c from edges x join edges y on x.dst = y.src where y.dst <> x.src), r as (select *, row_number() over (partition by a order by b, c) as r from t)
+    select a, b, c from r where r <= 8""")
 def two_hop(spark, sf_dir):
-    t = G.two_hop(edges(spark, sf_dir))
-    return t.groupBy("a").agg(F.count("*").alias("chains"), F.min(F.concat_ws(">", "b", "c")).alias("first_chain"))
+    return G.two_hop(edges(spark, sf_dir))
 
 
 @query(f"""with recursive {EDGE_SQL}, {PAIR_SQL}, w as (select src as start, src as node, [src] as path from (select distinct src from pairs)
@@ -108,11 +94,16 @@ def normalise_envelopes(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True).select("impl", "id", "declared_tokens", "declared_bytes", "units")
 
 
-@query("select c::int as copy, count(*) as files, sum(n_chars)::bigint as chars, min('copy' || c || '/' || doc_id) as first_path from documents, range(3) r(c) group by c")
+SCALES = [1, 10, 30, 100]
+
+
+@query("""select n::int as scale, c::int as copy, count(*) as files, sum(n_chars)::bigint as chars, min('copy' || c || '/' || doc_id) as first_path from documents, (values (1), (10), (30), (100)) s(n), lateral (select unnest(range(n)) as c) x group by 1, 2""")
 def scale_copies(spark, sf_dir):
-    """The corpus three times under different prefixes; each row is repeated by its task, nothing is joined."""
-    d = table(spark, sf_dir, "documents").withColumn("copy", F.explode(F.array(*[F.lit(k) for k in range(3)])))
-    return d.groupBy("copy").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.min(F.concat(F.lit("copy"), F.col("copy").cast("string"), F.lit("/"), F.col("doc_id").cast("string"))).alias("first_path"))
+    """The corpus 1, 10, 30 and 100 times under different prefixes; each row is repeated by its task, nothing is joined."""
+    each = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.struct(F.lit(n).alias("scale"), c.alias("copy")))
+    copies = F.flatten(F.array(*[each(n) for n in SCALES]))
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(copies).alias("x")).select("doc_id", "n_chars", "x.*")
+    return d.groupBy("scale", "copy").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"), F.min(F.concat(F.lit("copy"), F.col("copy").cast("string"), F.lit("/"), F.col("doc_id").cast("string"))).alias("first_path"))
 
 
 @query("select l_returnflag as grp, l_linestatus as impl, count(l_extendedprice) as n, min(l_extendedprice) as min, median(l_extendedprice) as p50, quantile_disc(l_extendedprice, 0.95) as p95, max(l_extendedprice) as max, round(avg(l_extendedprice), 6) as mean from lineitem group by 1, 2")
@@ -195,24 +186,6 @@ def macro_scores(spark, sf_dir):
     return s.agg(F.count("*").alias("queries"), F.count("recall").alias("measured"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"))
 
 
-def bake_sql(name: str, rows: str) -> str:
-    return f"select '{name}' as strategy, count(*) as items, count(*) filter (x.item_id is not null) as hits from (select distinct item_id from gt) g left join (select distinct gt.item_id from gt join ({rows}) d on d.item_id = gt.item_id and d.doc_id = gt.doc_id) x on x.item_id = g.item_id"
-
-
-@query(f"with {ROUTER_SQL} select strategy, items, hits, round(hits / items, 6) as hit_rate from (" + " union all ".join([bake_sql("lexical", TOP_SQL), bake_sql("structural", "select item_id, doc_id from st2"), bake_sql("hybrid", "select item_id, doc_id from st2 union select item_id, doc_id from bm where rank <= 20"), bake_sql("router", "select item_id, doc_id from router")]) + ")")
-def bakeoff(spark, sf_dir):
-    """Hit rates of the strategies over items whose passage stands in some document."""
-    t = truth(spark, sf_dir)
-    lex, st = ranked(spark, sf_dir).select("item_id", "doc_id"), structural(spark, sf_dir)
-    every = {"lexical": lex, "structural": st, "hybrid": lex.union(st), "router": router(spark, sf_dir).select("item_id", "doc_id")}
-    items, out = t.select("item_id").distinct(), None
-    for name, d in every.items():
-        hit = t.join(d, ["item_id", "doc_id"]).select("item_id").distinct().withColumn("_h", F.lit(1))
-        row = items.join(hit, "item_id", "left").agg(F.count("*").alias("items"), F.count("_h").alias("hits")).select(F.lit(name).alias("strategy"), "items", "hits")
-        out = row if out is None else out.unionByName(row)
-    return out.withColumn("hit_rate", F.round(F.col("hits") / F.col("items"), 6))
-
-
 @query("select o_orderstatus as state, o_orderpriority as category, count(*) as n from orders group by rollup(1, 2)")
 def state_counts(spark, sf_dir):
     return table(spark, sf_dir, "orders").rollup(F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"))

@@ -48,5 +48,14 @@ def corpus(spark, sf_dir):
 
     files = document_files(table(spark, sf_dir, "documents"))
     lines = line_scan(files)
-    found = symbols(lines.withColumnRenamed("doc_id", "file"), files.select(F.col("doc_id").alias("file"), T.content_hash(F.col("body")).alias("content_hash")))
-    return files, lines, found
+    hashed = files.select(F.col("doc_id").alias("file"), "body", T.content_hash(F.col("body")).alias("content_hash"))
+    return files, lines, symbols(line_scan(hashed, "file", keep=("content_hash",)))
+
+
+def fulltext_index(spark, sf_dir):
+    """The stored inverted index of the documents table."""
+    from spanlake.operators import fulltext
+    from spanlake.sources.corpus import stored, table
+
+    source = f"{sf_dir}/documents.parquet"
+    return stored(spark, "fulltext", source, lambda path: fulltext.write(fulltext.postings(table(spark, sf_dir, "documents")), path))

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spanlake.functions import text as T
+from spanlake.operators import fulltext
 from spanlake.operators import retrieve as R
-from spanlake.plans.registry import LINES_SQL, SYMBOLS_SQL, corpus, query
+from spanlake.plans.registry import LINES_SQL, SYMBOLS_SQL, corpus, fulltext_index, query
 from spanlake.sources.corpus import table
 
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
@@ -31,7 +32,7 @@ def df_strata(spark, sf_dir):
 def evenly_spaced(spark, sf_dir):
     """Six terms of each band, as the feature is a sample."""
     df = R.document_frequency(table(spark, sf_dir, "documents")).withColumn("stratum", R.df_stratum(F.col("df")))
-    return R.evenly_spaced(df, "stratum", ["term"], 6).select("stratum", "term", "df")
+    return R.evenly_spaced(df, "stratum", "term", 6).select("stratum", "term", "df")
 
 
 BM25_SQL = """w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from documents),
@@ -48,7 +49,7 @@ def item_terms(spark, sf_dir):
 
 
 def ranked(spark, sf_dir, k=20):
-    return R.bm25(table(spark, sf_dir, "documents"), item_terms(spark, sf_dir), k, key="item_id")
+    return fulltext.search(fulltext_index(spark, sf_dir), item_terms(spark, sf_dir), k, key="item_id")
 
 
 @query(f"with {BM25_SQL} select item_id, doc_id, score, rank::int as rank from bm where rank <= 20")
@@ -57,6 +58,21 @@ def bm25_topk(spark, sf_dir):
     return ranked(spark, sf_dir).select("item_id", "doc_id", "score", "rank")
 
 
+@query("""with qw as (select item_id, regexp_extract_all(text, '[A-Za-z0-9]+') as q from benchmark), rq as (select item_id, [lower(q[2]) || ' ' || lower(q[3]), lower(q[5]) || ' ' || lower(q[6]) || ' ' || lower(q[7]), lower(q[1])] as q from qw where len(q) >= 7),
+    w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from documents), st as (select count(*) as n, avg(len(w)) as av from w), qt as (select distinct item_id, unnest(q) as term from rq), wp as (select doc_id, unnest(w) as t, unnest(range(len(w))) as i, len(w) as dl from w), gr as (select doc_id, dl, t, lead(t) over x as t2, lead(t, 2) over x as t3 from wp window x as (partition by doc_id order by i)),
+    gs as (select doc_id, dl, t as term from gr union all select doc_id, dl, t || ' ' || t2 from gr union all select doc_id, dl, t || ' ' || t2 || ' ' || t3 from gr), hit as (select term, doc_id, dl, count(*) as tf from gs where term in (select term from qt) group by 1, 2, 3),
+    idf as (select term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) as idf, av from hit, st group by term, n, av),
+    sc as (select item_id, doc_id, round(-sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / av))), 6) as score from hit join idf using (term) join qt using (term) group by 1, 2)
+    select item_id, doc_id, score, rank from (select *, row_number() over (partition by item_id order by score, doc_id)::int as rank from sc) where rank <= 20""")
+def bm25_phrases(spark, sf_dir):
+    """Requests of identifiers: an underscore joins words that must stand side by side."""
+    docs = table(spark, sf_dir, "documents")
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0)).alias("q")).where(F.size("q") >= 7)
+    part = lambda *at: F.concat_ws("_", *[F.get("q", k - 1) for k in at])
+    terms = fulltext.asked_terms(q.select("item_id", F.concat_ws(" ", part(2, 3), part(5, 6, 7), part(1)).alias("text")), key="item_id")
+    return fulltext.search(fulltext.with_phrases(fulltext_index(spark, sf_dir), docs, terms), terms, 20, key="item_id").select("item_id", "doc_id", "score", "rank")
+
+
 @query()
 def bm25_topk_porter(spark, sf_dir):
     docs = R.porter_terms(table(spark, sf_dir, "documents"))
@@ -64,75 +80,13 @@ def bm25_topk_porter(spark, sf_dir):
     return R.bm25(docs, items, 20, key="item_id", tokens=F.col("terms"))
 
 
-# Structural: documents in which a word of the item (longer than 8 or with a capital) heads a line.
-STRUCT_SQL = "st2 as (select distinct item_id, file as doc_id from (select distinct item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as t from benchmark) q join symbols on name = t where regexp_matches(t, '[A-Z_]') or length(t) > 8)"
 CONT_SQL = "gt as (select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text))"
 
 
-def structural(spark, sf_dir):
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("name"))
-    code = t.where(F.col("name").rlike("[A-Z_]") | (F.length("name") > 8))
-    return corpus(spark, sf_dir)[2].select("name", F.col("file").alias("doc_id")).distinct().join(code, "name").select("item_id", "doc_id").distinct()
-
-
 def truth(spark, sf_dir):
-    """(item_id, doc_id): documents that contain an item's passage.
-
-    An equi-join on the passage's first three words finds the candidates; the
-    whole passage is then compared, so no document meets every item.
-    """
-    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"), words.alias("w"))
-    long_enough = items.where(F.size("w") >= 5).select("item_id", "passage", F.concat_ws(" ", F.slice("w", 2, 3)).alias("k"))
-    docs = table(spark, sf_dir, "documents").where("text is not null")
-    keys = docs.select("doc_id", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("w")).where(F.size("w") >= 3)
-    keys = keys.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))).alias("k"))
-    found = keys.join(long_enough, "k").select("doc_id", "item_id", "passage").distinct()
-    whole = found.join(docs.select("doc_id", "text"), "doc_id").where(F.contains(F.col("text"), F.col("passage"))).select("item_id", "doc_id")
-    short = items.where(F.size("w") < 5).select("item_id", "passage")
-    return whole.unionByName(docs.join(F.broadcast(short), F.contains(F.col("text"), F.col("passage"))).select("item_id", "doc_id")).distinct()
-
-
-@query(f"with {SYMBOLS_SQL}, {STRUCT_SQL} select * from st2")
-def s_structural(spark, sf_dir):
-    return structural(spark, sf_dir)
-
-
-@query(f"with {SYMBOLS_SQL}, {STRUCT_SQL}, {BM25_SQL} select item_id, doc_id from st2 union select item_id, doc_id from bm where rank <= 20")
-def s_hybrid(spark, sf_dir):
-    return R.union_distinct(structural(spark, sf_dir), ranked(spark, sf_dir).select("item_id", "doc_id"))
-
-
-ROUTER_SQL = f"""{SYMBOLS_SQL}, {STRUCT_SQL}, {BM25_SQL}, {CONT_SQL},
-    lv as (select item_id, doc_id, 0 as l from st2 union all select item_id, doc_id, 1 from bm where rank <= 20 union all select item_id, doc_id, 2 from gt),
-    seen as (select item_id, doc_id, min(l) as l from lv group by 1, 2), per as (select item_id, l, count(*) as n from seen group by 1, 2),
-    cum as (select item_id, l, sum(n) over (partition by item_id order by l) as n from per),
-    stop as (select item_id, coalesce(min(l) filter (n >= 3), 3) as stop from cum group by 1),
-    router as (select item_id, doc_id, l as level from seen join stop using (item_id) where l <= stop)"""
-
-
-def router(spark, sf_dir):
-    return R.cascade([structural(spark, sf_dir), ranked(spark, sf_dir).select("item_id", "doc_id"), truth(spark, sf_dir)], "item_id")
-
-
-@query(f"with {ROUTER_SQL} select * from router")
-def s_router(spark, sf_dir):
-    """Structural results; where they are fewer than three also ranked ones, then literal matches."""
-    return router(spark, sf_dir)
-
-
-@query(f"""with {SYMBOLS_SQL}, {BM25_SQL}, tk as (select distinct item_id, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) as t from benchmark),
-    ex as (select item_id, name, file, line, -1.0::double as score, row_number() over (partition by item_id, name order by file, line) as r from tk join symbols on name = t),
-    c as (select item_id, name, file, line, score, 0 as tier from ex where r <= 3 union all select item_id, '', doc_id, 1, score, 1 from bm where rank <= 20),
-    o as (select *, row_number() over (partition by item_id, file, line order by tier, score, name) as r from c)
-    select item_id, name, file, line, score, tier, row_number() over (partition by item_id order by tier, score, file, line, name)::int as rank from o where r = 1""")
-def capsule_rank(spark, sf_dir):
-    """Up to three exact names for each token, then ranked documents at their first line."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("name"))
-    w = Window.partitionBy("item_id", "name").orderBy("file", "line")
-    exact = corpus(spark, sf_dir)[2].join(t, "name").withColumn("_r", F.row_number().over(w)).where("_r <= 3").select("item_id", "name", "file", "line", F.lit(-1.0).alias("score"))
-    scored = ranked(spark, sf_dir).select("item_id", F.lit("").alias("name"), F.col("doc_id").alias("file"), F.lit(1).alias("line"), "score")
-    return R.capsule_rank(exact, exact.limit(0), scored, "item_id").select("item_id", "name", "file", "line", "score", "tier", "rank")
+    """(item_id, doc_id): documents that contain an item's passage."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return fulltext.containing(fulltext_index(spark, sf_dir), items, table(spark, sf_dir, "documents"), key="item_id")
 
 
 @query(f"""with {LINES_SQL}, {BM25_SQL}, top as (select item_id, doc_id from bm where rank <= 8),
@@ -173,16 +127,6 @@ def module_select(spark, sf_dir):
     return inside.select("item_id", "module", "doc_id", F.row_number().over(Window.partitionBy("item_id", "module").orderBy("rank")).alias("position"))
 
 
-@query(f"""with {SYMBOLS_SQL}, {STRUCT_SQL}, {BM25_SQL}, f as (select b.item_id, (select count(*) from st2 s where s.item_id = b.item_id) as seeds, (select count(*) from bm x where x.item_id = b.item_id and rank <= 20) as lexical,
-      (select min(score) from bm x where x.item_id = b.item_id) as top from benchmark b)
-    select *, case when seeds = 0 and lexical = 0 then 'abstain' when seeds = 0 or lexical = 0 or top > -1 then 'uncertain' else 'answer' end as decision from f""")
-def abstain_gate(spark, sf_dir):
-    s = structural(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("seeds"))
-    x = ranked(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("lexical"), F.min("score").alias("top"))
-    b = table(spark, sf_dir, "benchmark").select("item_id").join(s, "item_id", "left").join(x, "item_id", "left").fillna(0, ["seeds", "lexical"])
-    return b.withColumn("decision", R.abstain(F.col("seeds"), F.col("lexical"), F.col("top")))
-
-
 @query(f"""with {BM25_SQL}, c as (select item_id, item_id as doc_id, 0 as source, 1 as p from benchmark union all select item_id, doc_id, 1, rank from bm where rank <= 20),
     o as (select *, row_number() over (partition by item_id, doc_id order by source, p) as r from c)
     select item_id, doc_id, source, row_number() over (partition by item_id order by source, p, doc_id)::int as position from o where r = 1""")

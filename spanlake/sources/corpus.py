@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +16,81 @@ MAX_FILE_BYTES = 2 << 20
 EXTENSION = {"en": "py", "fr": "java", "de": "md", "es": "dat"}
 
 
+#: Tables with texts, whose rows cost far more to read than to move.
+TEXTS = {"documents", "pages"}
+#: Products of tables written in this session, by application, tag and state of the table's files.
+STORED: dict[tuple, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in TEXTS else found
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table too small to be scanned by every core are dealt to all of them; others are left as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    most = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    return df.repartition(cores) if size < cores * most else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only for a session on one machine that names none."""
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        base = "file://" + tempfile.mkdtemp(prefix="spanlake-")
+    return base.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The rows written once to the shared folder and read again; this cuts the lineage."""
+    path = fresh_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path (below ``root``), content, size and body (invalid UTF-8 replaced) of every file."""
+def file_state(spark: SparkSession, path: str) -> tuple:
+    """(path, bytes, time of change) of every file below a path; the driver lists, nothing is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(where, True), []
+    while found.hasNext():
+        f = found.next()
+        out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def stored(spark: SparkSession, tag: str, source: str, write: Callable[[str], None]) -> DataFrame:
+    """A product of the table at ``source`` (an index), written to the shared folder by ``write(path)``.
+
+    Later requests of the application read it again while the table's files are the same.
+    """
+    key = (spark.sparkContext.applicationId, tag, source, file_state(spark, source))
+    if key not in STORED:
+        path = fresh_path(spark, tag)
+        write(path)
+        STORED[key] = path
+    return spark.read.parquet(STORED[key])
+
+
+def files(spark: SparkSession, root: str, glob: str = "*", max_bytes: int | None = None) -> DataFrame:
+    """path (below ``root``), content, size and body (invalid UTF-8 replaced) of every file.
+
+    With ``max_bytes`` larger files are left out by the scan, which then doesn't read them.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    if max_bytes is not None:
+        raw = raw.where(F.col("length") <= max_bytes)
     base = root.rstrip("/").removeprefix("file:").lstrip("/")
     rel = F.regexp_replace("path", "^[a-z0-9]+:/*" + base.replace(".", r"\.") + "/", "")
     body = F.expr("make_valid_utf8(cast(content as string))")
@@ -50,9 +121,17 @@ def document_files(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", path.alias("path"), body.alias("body"), F.octet_length(body).alias("size"), F.col("source").alias("module"))
 
 
-def line_scan(found: DataFrame, key: str = "doc_id", body: str = "body") -> DataFrame:
-    """(key, line from 1, text): every line of every file."""
-    return found.select(key, F.posexplode(T.lines(F.col(body))).alias("_pos", "text")).select(key, (F.col("_pos") + 1).alias("line"), "text")
+def line_scan(found: DataFrame, key: str = "doc_id", body: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, line from 1, text) and ``keep``: every line of every file."""
+    return found.select(key, *keep, F.posexplode(T.lines(F.col(body))).alias("_pos", "text")).select(key, (F.col("_pos") + 1).alias("line"), "text", *keep)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small text file, replacing one that is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -70,9 +149,27 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_snapshot(df: DataFrame, path: str, by: str | None = None) -> None:
-    """A snapshot folder is replaced as a whole."""
-    out = df.write.mode("overwrite")
-    (out.partitionBy(by) if by else out).parquet(path)
+    """Stores a snapshot; readers see the one before until the whole new one is there.
+
+    Each is a folder of its own; a small file that is replaced in one step names the current one.
+    """
+    spark = df.sparkSession
+    version = f"version-{uuid.uuid4().hex[:12]}"
+    (df.write.partitionBy(by) if by else df.write).parquet(f"{path}/{version}")
+    jvm = spark._jvm.org.apache.hadoop.fs
+    where = jvm.Path(f"{path}/_current")
+    fresh = jvm.Path(f"{path}/_current-{version}")
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    put_text(spark, fresh.toString(), version)
+    replace = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    replace[0] = getattr(spark._jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
+    jvm.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(fresh, where, replace)
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The current snapshot of a folder that ``write_snapshot`` made."""
+    version = spark.read.text(f"{path}/_current").first()[0]
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def markdown(df: DataFrame) -> str:

@@ -111,8 +111,10 @@ def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, None)], "b int, a string")
     C.write_json(df, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":null,"b":1}'
-    C.write_snapshot(I.snapshot(spark.createDataFrame([("p", "x")], "path string, body string")), str(tmp_path / "s"))
-    assert I.doctor(spark, str(tmp_path / "s")).first().state == "ok" and I.doctor(spark, str(tmp_path / "none")).first().state == "missing"
+    for body in ("x", "y"):  # the second replaces the first
+        C.write_snapshot(I.snapshot(spark.createDataFrame([("p", body)], "path string, body string")), f"file://{tmp_path}/s")
+    assert [r.content_hash for r in C.read_snapshot(spark, f"file://{tmp_path}/s").collect()] == [one(spark, T.content_hash(F.lit("y")))[0]]
+    assert I.doctor(spark, str(tmp_path / "s" / "version-*")).first().state == "ok" and I.doctor(spark, str(tmp_path / "none")).first().state == "missing"
     assert "| b | a |" in C.markdown(df)
 
 
@@ -123,6 +125,8 @@ def test_graph(spark):
     assert got == {("a", "d"): ["a", "c", "d"], ("a", "f"): ["a", "c", "d", "e", "f"], ("b", "e"): ["b", "c", "d", "e"]}
     assert {tuple(r.path) for r in G.simple_paths(e, p, 3).collect()} == {("a", "c", "d"), ("a", "b", "c", "d"), ("b", "c", "d", "e")}
     assert {tuple(r) for r in G.two_hop(e).where("a = 'a'").collect()} == {("a", "b", "c"), ("a", "c", "d")}
+    hub = spark.createDataFrame([("x", "h"), ("y", "h")] + [("h", f"n{k:02d}") for k in range(30)] + [("h", "x")], "src string, dst string")
+    assert [r.c for r in G.two_hop(hub, 3).where("a = 'x'").orderBy("c").collect()] == ["n00", "n01", "n02"]
 
 
 def test_scores(spark):
@@ -141,39 +145,155 @@ def test_scores(spark):
 
 def test_cascade_is_per_query(spark):
     level = lambda rows: spark.createDataFrame(rows, "q int, d int")
-    out = R.cascade([level([(1, 1), (1, 2), (1, 3), (2, 9)]), level([(1, 7), (2, 8)]), level([(2, 5), (3, 4)])], "q")
-    assert {(r.q, r.d) for r in out.collect()} == {(1, 1), (1, 2), (1, 3), (2, 9), (2, 8), (2, 5), (3, 4)}
+    out = R.cascade([level([(1, 1), (1, 2), (1, 3), (2, 9), (3, 1)]), level([(1, 7), (2, 8), (2, 5), (3, 2)])], level([(1, 0), (3, 4), (4, 6)]), "q")
+    assert {(r.q, r.d, r.level) for r in out.collect()} == {(1, 1, 0), (1, 2, 0), (1, 3, 0), (2, 9, 0), (2, 8, 1), (2, 5, 1), (3, 4, 2), (4, 6, 2)}
 
 
-def event(i, kind, attempt=1, source="executor", tool=None, request=None, tokens=None, cost=None):
-    return (attempt, i, float(i), source, kind, tool, request, tokens, cost, "ok")
+def event(i, kind, attempt=1, source="executor", tool=None, request=None, status="ok", error=None, reason=None, tokens=None, latency=None, cost=None, size=None):
+    t = dict.fromkeys(A.TOKENS) | (tokens or {})
+    return (attempt, i, float(i), source, kind, tool, request, status, error, reason, tuple(t[x] for x in A.TOKENS), latency, cost, size)
 
 
-EVENTS = [
-    event(1, "model_call", request="r1", tokens=100.0, cost=0.02), event(2, "model_call", request="r1", tokens=999.0), event(3, "model_call", tokens=5.0), event(4, "model_call", tokens=5.0), event(5, "tool_call", source="shim"),
-    event(6, "opened"), event(7, "tool_call", tool="reader"), event(8, "turn", source=None), event(9, "opened", source=None), event(10, "error"), event(11, "stop", attempt=2),
+#: 2 model calls (1 ok, 1 error), 105 input tokens, latency 1150 in all and 900 at most, one price, one retry, one tool call of 42 bytes, one turn.
+GOLDEN = [
+    event(1, "model_call", request="r1", tokens={"input": 100.0, "output": 20.0}, latency=250.0, cost=(0.02, "USD")), event(2, "model_call", request="r2", status="error", error="timeout", tokens={"input": 5.0}, latency=900.0),
+    event(3, "retry"), event(4, "tool_call", tool="shell", size=42), event(5, "turn"),
+]
+#: A repeated request, events of the shim, violating ones (one with a request id that a valid call has later), one without a source, two currencies, an unknown kind.
+ODD = [
+    event(1, "model_call", 2, request="r1", tokens={"input": 100.0}, cost=(0.02, "USD")), event(2, "model_call", 2, request="r1", tokens={"input": 999.0}, cost=(9.0, "EUR")), event(3, "model_call", 2, request=" ", tokens={"input": 5.0}),
+    event(4, "model_call", 2, source="shim", request="r9", tokens={"input": 7.0}), event(5, "tool_call", 2, source="shim", tool="shell"), event(6, "opened", 2), event(7, "model_call", 2, tool="reader", request="r2", tokens={"input": 50.0}),
+    event(8, "model_call", 2, request="r2", tokens={"input": 1.0}, cost=(1.0, "EUR")), event(9, "turn", 2, source=None), event(10, "opened", 2, source=None), event(11, "error", 2, error=""), event(12, "strange", 2), event(13, "stop", 2, reason="done"),
+    event(14, "stop", 2, reason="budget"), event(15, "stop", 2, reason=" "), event(16, "opened", 3), event(17, "tool_call", 3, tool="reader"), event(18, "tool_call", 4, source="shim"), event(19, "turn", 5, source=None),
 ]
 
 
 def test_accounting(spark, tmp_path):
-    df = spark.createDataFrame(EVENTS, A.EVENT)
-    r = {x.attempt: x for x in A.account(df).collect()}
-    a = r[1]
-    assert (a.model_calls, a.input_tokens, a.max_tokens, a.cost, a.calls_without_cost, a.tool_calls, a.turns, a.errors, a.unattributed, a.violations, a.duplicates) == (3, 110.0, 100.0, 0.02, 2, 1, 1, 1, 2, 3, 1)
-    assert (r[2].model_calls, r[2].input_tokens, r[2].turns, r[2].cost, r[2].tool_calls) == (None, None, None, None, 0)
-    from spanlake.streaming.accounting import ceilings, run_available
-
-    df.coalesce(1).write.json(str(tmp_path / "in"))
-    out = run_available(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, A.account(df).drop("duplicates").collect()))
-    spark.createDataFrame([event(12, "turn", attempt=2)], A.EVENT).write.mode("append").json(str(tmp_path / "in"))
-    again = run_available(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert {x.attempt: (x.turns, x.stops) for x in again.collect()} == {1: (1, 0), 2: (1, 1)}
-    batch = {(x.attempt, x.event_id, x.reason) for x in A.ceiling_hit(df, 6.5, 9, 9).collect()}
-    stream = ceilings(spark.readStream.schema(A.EVENT).json(str(tmp_path / "in")), 6.5, 9, 9)
-    q = stream.writeStream.format("memory").queryName("stops").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start()
-    q.awaitTermination()
-    assert batch == {tuple(x) for x in spark.sql("select attempt, event_id, reason from stops").collect()} == {(1, 8, "wall_s")}
+    df = spark.createDataFrame(GOLDEN + ODD, A.EVENT)
+    r = {x.attempt: x.asDict() for x in A.account(df).collect()}
+    want = {"events": 5, "model_calls": 2, "calls_ok": 1, "calls_error": 1, "errors": 1, "error_classes": "timeout=1", "retries": 1, "input_tokens": 105.0, "output_tokens": 20.0, "cache_read_tokens": None, "reasoning_tokens": None, "latency_total": 1150.0, "latency_max": 900.0, "latency_n": 2, "cost": 0.02, "currency": "USD", "calls_with_cost": 1, "calls_without_cost": 1, "tool_calls": 1, "tools": "shell=1", "delivered_bytes": 42, "turns": 1, "violations": 0, "stop_reason": None, "duplicates": 0}
+    assert {k: r[1][k] for k in want} == want
+    want = {"events": 10, "unattributed": 1, "model_calls": 3, "calls_ok": 3, "input_tokens": 106.0, "cost": 1.02, "currency": "USD", "calls_with_cost": 2, "calls_without_cost": 1, "tool_calls": 0, "delivered_bytes": None, "tools": "", "turns": 1, "errors": 1, "error_classes": "unclassed=1", "stop_reason": "budget", "stop_reasons": "budget=1,done=1", "duplicates": 1, "violations": 5}
+    assert {k: r[2][k] for k in want} == want
+    assert (r[3]["violations"], r[3]["events"], r[3]["tool_calls"], r[3]["tools"], r[3]["model_calls"], r[3]["turns"]) == (2, 0, None, "", None, None)
+    assert (r[4]["events"], r[4]["tool_calls"], r[4]["violations"]) == (0, None, 0) and (r[5]["unattributed"], r[5]["turns"], r[5]["errors"]) == (1, 1, None)
+    from spanlake.streaming import accounting as S
+
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    live = {k: v for k, v in r.items() if k != 4}  # the stream keeps a row for the shim's attempt too
+    for part in (df.where("event_id <= 7"), df.where("event_id > 7")):  # the state carries over from run to run
+        part.coalesce(1).write.mode("append").json(folder)
+        S.run_available(S.accounted(S.event_stream(spark, folder)), out, str(tmp_path / "state"), "update")
+    got = {x.attempt: x.asDict() for x in S.latest(spark, out).collect()}
+    assert {k: got[k] for k in live} == live and got[4]["events"] == 0
+    batch = {(x.attempt, x.event_id, x.reason) for x in A.ceiling_hit(df, 6.5, 0, 9).collect()}
+    S.run_available(S.ceilings(S.event_stream(spark, folder), 6.5, 0, 9), str(tmp_path / "stops"), str(tmp_path / "state2"))
+    stops = {tuple(x) for x in spark.read.parquet(str(tmp_path / "stops")).select("attempt", "event_id", "reason").collect()}
+    assert batch == stops and (1, 4, "tool_calls") in batch and (2, 5, "tool_calls") in batch
+
+
+def test_price_lists_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([event(1, "model_call", tool="m", tokens={"input": 1e6, "output": 5e5}), event(2, "model_call", tool="m", source="shim", tokens={"input": 1e6})], A.EVENT)
+    prices = spark.createDataFrame([("m", "input", 2.0), ("m", "output", 4.0)], "model string, field string, per_million double")
+    assert tuple(A.call_cost(df, prices).first()) == (1, 4.0, 0)
+    assert tuple(A.call_cost(df, prices.where("field = 'input'")).first()) == (1, None, 1)
+    monkeypatch.setattr(A, "MOST_PRICES", 1)
+    with pytest.raises(ValueError):
+        A.call_cost(df, prices)
+
+
+def test_tail_takes_whole_lines_once(spark, tmp_path):
+    from spanlake.streaming.tail import TailReader, follow
+
+    path = f"file://{tmp_path}/log.jsonl"
+    seen = []
+    for text in ("a\nb", "a\nb\nlonger line\n", "a\nb\nlonger line\nx\ny"):
+        C.put_text(spark, path, text)
+        follow(spark, path, str(tmp_path / "out"), str(tmp_path / "state"))
+        seen.append(sorted(r.line for r in spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert seen == [["a"], ["a", "b", "longer line"], ["a", "b", "longer line", "x"]]
+    r, at, lines = TailReader(path, 2), {"at": 0}, []
+    while True:
+        got, end = r.read(at)
+        if end == at:
+            break
+        assert [*r.readBetweenOffsets(at, end)] == (some := [*got])
+        lines, at = lines + [x[0] for x in some], end
+    assert lines == ["a", "b", "longer line", "x"]
+
+
+def test_delivered_sizes_are_those_of_the_answer(spark):
+    """Budgets of all sizes against a plain search that serialises every prefix."""
+    import json
+
+    lines = ["é" * (k % 7) + f' "line" {k}\t' for k in range(12)]
+    units = [(q, p, f"f{p}", 1, 4 + p % 3, "ab" * 32, "\n".join(lines[: 4 + p % 3]), "tokens=x", f"rank {p}") for q in (1, 2) for p in range(1, 6 + q)]
+    u = spark.createDataFrame(units, "q int, position int, file string, start int, end int, digest string, text string, evidence string, reason string")
+    base = spark.createDataFrame([(1, 0, [], [], False), (2, 2, ["stale_source"], ["expand: g"], True), (3, 0, [], [], False)], "q int, dropped long, reasons array<string>, hints array<string>, stale boolean")
+    unit = lambda r, text, end, cut: {"file": r[2], "line": r[3], "end_line": end, "hash": r[5], "text": text, "evidence": r[7], "reason": r[8], "truncated": cut}
+
+    def answer(b, kept, rest, omitted, extra, tokens, most):
+        reasons = sorted(set(b[2] + extra))
+        state = "stale" if b[4] else "partial" if omitted or reasons or any(x["truncated"] for x in kept) else "ok"
+        hints = (b[3] + [f"expand: {r[2]}" for r in rest])[:5]
+        if not hints and not b[2] and not [r for r in units if r[0] == b[0]]:
+            hints = ["no match: widen the query"]
+        used = 0
+        while True:
+            doc = {"schema": "context/1", "state": state, "units": kept, "budget": {"requested_tokens": tokens, "max_bytes": most, "used_tokens": used // 4, "used_bytes": used}, "omitted": {"n": omitted, "reasons": reasons}, "hints": hints}
+            n = len(json.dumps(doc, separators=(",", ":"), ensure_ascii=False).encode())
+            if n == used:
+                return state, len(kept), n, n // 4, omitted, ",".join(reasons), " | ".join(hints), next((x["end_line"] for x in kept if x["truncated"]), None)
+            used = n
+
+    for tokens, most in ((60, 9000), (100, 9000), (250, 1000), (2000, 1300), (300, 9000), (390, 9000), (450, 1790), (9000, 9000)):
+        got = {r.q: tuple(r)[1:] for r in P.deliver(u, base, "q", tokens, most).collect()}
+        for b in base.collect():
+            mine = [r for r in units if r[0] == b.q]
+            fits = lambda a: a[2] <= most and a[3] <= tokens
+            tries = [answer(b, [unit(r, r[6], r[4], False) for r in mine[:k]], mine[k:], b.dropped + len(mine) - k, ["budget"] if k < len(mine) else [], tokens, most) for k in range(len(mine) + 1)]
+            best = max((k for k, a in enumerate(tries) if fits(a)), default=None)
+            if best is None:
+                assert got[b.q][1] == 0 and "envelope_too_large" in got[b.q][5]
+                continue
+            want = tries[best]
+            if best < len(mine):
+                r, text = mine[best], mine[best][6].split("\n")
+                for keep in (len(text) * 3 // 4, len(text) // 2, len(text) // 4):
+                    if 0 < keep < len(text):
+                        cut = answer(b, [unit(x, x[6], x[4], False) for x in mine[:best]] + [unit(r, "\n".join(text[:keep]), r[3] + keep - 1, True)], mine[best + 1 :], b.dropped + len(mine) - best - 1, ["budget"], tokens, most)
+                        if fits(cut):
+                            want = cut
+                            break
+            assert got[b.q] == want, (tokens, most, b.q)
+
+
+def test_capsule(spark):
+    from spanlake.operators import capsule as K
+
+    texts = {1: "class Motion\n  uses Sign_Key here\n  and Motion", 2: "class Sign_Key\n  Motion of it", 3: "nothing\n  über-wort steht", 4: "class Other\n  Sign_Key alone"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    lines = C.line_scan(docs.withColumnRenamed("text", "body"))
+    symbols = spark.createDataFrame([("Motion", "class", 1, 1), ("Sign_Key", "class", 2, 1), ("Other", "class", 4, 1)], "name string, kind string, file long, line int")
+    words = spark.createDataFrame([(1, "Motion"), (1, "Sign_Key"), (2, "Sign_Key"), (3, "über-wort"), (4, "xyzzy")], "query_id int, word string")
+    find = lambda w: K.mentions(K.identifiers(lines), lines, w)
+    got = {(r.word, r.doc, r.line) for r in find(words.select("word").distinct()).collect()}
+    assert got == {(w, d, k + 1) for w in ("Motion", "Sign_Key", "über-wort") for d, t in texts.items() for k, x in enumerate(t.split("\n")) if w in x}
+    scored = spark.createDataFrame([(4, "Other", "class", 4, 1, -0.5)], "query_id int, name string, kind string, file long, line int, score double")
+    ranked = K.rank(words, symbols, scored, find)
+    places = lambda q: [(r.name, r.file, r.line, r.tier) for r in ranked.where(f"query_id = {q}").orderBy("rank").collect()]
+    assert places(1) == [("Motion", 1, 1, 0), ("Sign_Key", 2, 1, 0), ("Sign_Key", 1, 2, 0), ("Motion", 1, 3, 0), ("Motion", 2, 2, 0), ("Sign_Key", 4, 2, 1)]
+    assert places(2) == [("Sign_Key", 2, 1, 0), ("Sign_Key", 1, 2, 0), ("Sign_Key", 4, 2, 0)]  # one word only: no other must stand beside it
+    assert places(3) == [("über-wort", 3, 2, 0)] and places(4) == [("Other", 4, 1, 1)]
+    files = docs.select(F.col("doc_id").alias("file"), T.lines(F.col("text")).alias("lines"))
+    cands = K.with_text(ranked, files, symbols)
+    pack = lambda budget, policy: {r.query_id: (r.used, r.kept, r.over) for r in K.pack(cands, budget, policy).collect()}
+    cost = lambda f, k, kind, name, t: max(1, len(f"{f}:{k} {kind} {name} :: {t}") // 4)
+    c = [cost(1, 1, "class", "Motion", "class Motion"), cost(2, 1, "class", "Sign_Key", "class Sign_Key"), cost(1, 2, "ref", "Sign_Key", "uses Sign_Key here")]
+    assert pack(10**6, "multi")[1][1] == ["1:1", "2:1", "1:2", "1:3", "2:2", "4:2"] and pack(10**6, "one_per_file")[1][1] == ["1:1", "2:1", "4:2"]
+    assert pack(10**6, "expanded")[1][1] == ["1:1", "2:1", "1:2", "1:3", "2:2", "4:2", "4:1"]
+    assert pack(c[0] + c[1] - 1, "one_per_file")[1] == (c[0], ["1:1"], 5 - sum(x == 1 for x in (1, 1)))  # files count only when one of them is kept
+    assert pack(c[0] + c[2], "multi")[1][1][0] == "1:1" and pack(0, "multi")[2] == (0, [], 3)
 
 
 def test_evaluation_rules(spark):
@@ -207,5 +327,6 @@ def test_plans(spark, data):
     refs = plan(QUERIES["find_references"](spark, data))
     assert "BroadcastNestedLoopJoin" in refs and "CartesianProduct" not in refs and "ReadSchema: struct<doc_id:bigint,text:string" in refs
     assert "WindowGroupLimit" in plan(QUERIES["topk_per_key"](spark, data))
-    assert "WindowGroupLimit" in plan(QUERIES["bm25_topk"](spark, data)) and "Python" not in plan(QUERIES["bm25_topk"](spark, data))
+    top = plan(QUERIES["bm25_topk"](spark, data))
+    assert "WindowGroupLimit" in top and "Python" not in top and "regexp_extract_all(lower(text" not in top.split("benchmark")[0] and "documents.parquet" not in top  # the texts aren't read again
     assert "n_chars" not in plan(QUERIES["doc_freq"](spark, data))
