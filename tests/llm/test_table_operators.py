@@ -74,6 +74,52 @@ def test_mix_of_equal_and_keyless_rows(spark):
     assert sorted(map(repr, mixing.mix(df, block=16)[0].collect())) == sorted(map(repr, got))
 
 
+def slow_mix(df, block, per_bucket=2000):
+    """(doc_id, source, size, taken) by plain loops over slots and words; hashes come from the engine."""
+    from bisect import bisect_right
+    from collections import Counter
+
+    tie = F.xxhash64("text")
+    rows = df.select("doc_id", "source", "text", F.xxhash64(F.col("doc_id").cast("string"), tie, F.lit("mix")).alias("order"), tie.alias("tie")).collect()
+    entries = Counter((r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), r.order, r.tie) for r in rows)
+    names = sorted({e[1] for e in entries}, key=lambda x: (x is None, x or ""))
+    buckets = max(8, len(entries) // per_bucket)
+    tapes = [sorted((e for e in entries if e[1] == x), key=lambda e: (((e[3] % 2**64) >> 20) % buckets, e[3], e[4])) for x in names]
+    sizes = [sum(e[2] * entries[e] for e in t) for t in tapes]
+    goals = mixing.targets(sizes, [mixing.CYCLE[k % 3] for k in range(len(names))], 1.5 * sum(sizes), 2)
+    words = [[e for e in t for _ in range(e[2] * entries[e])] for t in tapes]  # the entry of every word of a tape
+    taken, cumulative = Counter(), np.cumsum(goals) / sum(goals)
+    left, rank = [round(g) for g in goals], [0] * len(names)
+
+    def take(s):
+        if left[s] > 0:
+            length = -(-sizes[s] // block)
+            low = rank[s] % length * block
+            some = words[s][low : low + block][: left[s]]
+            taken.update(some)
+            left[s] -= len(some)
+        rank[s] += 1
+
+    for slot in range(-(-round(sum(goals)) // block)):
+        take(min(bisect_right(cumulative.tolist(), slot * mixing.GOLDEN % 1.0), len(names) - 1))
+    for s in range(len(names)):
+        while left[s] > 0:
+            take(s)
+    out = []
+    for e, copies in entries.items():
+        share, more = divmod(taken[e], copies)
+        out += [(e[0], e[1], e[2], share + (k < more)) for k in range(copies)]
+    return sorted(out, key=repr), names
+
+
+@pytest.mark.parametrize("block", [5, 64])
+def test_mix_equals_plain_loops(spark, data, odd, block):
+    for df in (spark.read.parquet(f"{data}/documents.parquet").where("length(text) < 3000"), odd.where("length(text) < 1000 or text is null")):
+        want, names = slow_mix(df, block)
+        got = [(r.doc_id, names[r._source_no], r["size"], r.taken) for r in mixing.mix(df, block=block)[0].collect()]
+        assert sorted(got, key=repr) == want
+
+
 def test_too_many_sources_are_refused(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
     df = spark.createDataFrame([(k, "a b", f"s{k}") for k in range(4)], "doc_id long, text string, source string")
@@ -301,3 +347,46 @@ def test_pipeline(spark, data, odd, empty):
     rows = p.run(spark, data).collect()
     assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in docs.select("doc_id").collect()}
     assert all(sum(r.doc_id == x for r in rows) <= 2 for x in {r.doc_id for r in rows})
+
+
+def test_pipeline_equals_plain_stages(spark, data):
+    """The whole run against its stages done one text at a time: brute-force duplicates, plain loops for the mix, the tokenizers library."""
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    from spanlake.llm import langid, pii
+    from spanlake.llm.queries import vocabulary
+    from tests.llm.test_text_operators import components_by_brute_force, slow_fingerprint
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    scorer = langid.Scorer(models := langid.train(docs))
+    rows = [r for r in docs.collect() if not models.decide(*scorer.texts([r.text or ""]))[3][0]]
+    component, kept = components_by_brute_force([slow_fingerprint(r.text or "") for r in rows]), {}
+    for r, c in sorted(zip(rows, component, strict=True), key=lambda x: x[0].doc_id):
+        kept.setdefault(c, r)
+    kept = spark.createDataFrame(list(kept.values()), docs.schema)
+    field = pii.train(kept)
+    masked = []
+    for r in kept.collect():
+        base, more = field.find([r.text or ""])[0]
+        masked.append((r.doc_id, pii.masked(r.text, base + more), r.source))
+    df = spark.createDataFrame(masked, "doc_id long, text string, source string")
+    taken, _ = slow_mix(df, 64)
+    text, library, want = {r.doc_id: (r.text, r.source) for r in df.collect()}, Tokenizer.from_str(vocabulary("byte_bpe_50k.json")), []
+    for doc_id, source, size, n in taken:
+        times = int(n / max(size, 1) + 0.5)
+        want += [(doc_id, source, library.encode(text[doc_id][0], add_special_tokens=False).ids)] * times
+    got = [(r.doc_id, r.source, list(r.ids)) for r in p.run(spark, data).collect()]
+    assert sorted(got) == sorted(want) and len({x[0] for x in got}) > 100
+
+
+def test_pipeline_of_a_few_rows(spark, data, tmp_path):
+    """Tables of one text, of equal texts and of none go through every stage."""
+    import corpus_pipeline as p
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = "a text with some words that stand here for the only document of its table"
+    for k, (rows, n) in enumerate([([(1, long, "en", "a", 70)], 1), ([(i, long, "en", "a", 70) for i in range(20)], 1), ([], 0), ([(None, long, "en", None, 70), (3, None, None, "a", None)], 1)]):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{k}" / "documents.parquet"))
+        got = p.run(spark, str(tmp_path / f"{k}")).select("doc_id").distinct().count()
+        assert got == n
