@@ -12,12 +12,12 @@ from spanlake.plans.registry import FILES_SQL, query
 from spanlake.sources import corpus as C
 from spanlake.sources.corpus import document_files, fresh_path, table
 
-FOLDERS = ["src/app", "src/lib", "docs", "target", "src/.hidden", "build/x"]
+FOLDERS = ["src/app", "src/lib", "docs", "target", "web/node_modules", "build/x"]
 
 
-@query("""with d as (select ['src/app', 'src/lib', 'docs', 'target', 'src/.hidden', 'build/x'][1 + doc_id % 6] as folder, strlen(json_object('doc_id', doc_id, 'n_chars', n_chars)::varchar) + 1 as n from documents),
+@query("""with d as (select ['src/app', 'src/lib', 'docs', 'target', 'web/node_modules', 'build/x'][1 + doc_id % 6] as folder, strlen(json_object('doc_id', doc_id, 'n_chars', n_chars)::varchar) + 1 as n from documents),
     f as (select folder, sum(n)::bigint as size from d group by 1)
-    select folder, size, case when folder in ('target', 'src/.hidden', 'build/x') then 'excluded' when size > 4000 and folder = 'docs' or size > 1000000 then 'too_large' else 'kept' end as reason from f where folder <> 'docs' or size > 4000
+    select folder, size, case when folder in ('target', 'web/node_modules', 'build/x') then 'excluded' when size > 4000 and folder = 'docs' or size > 1000000 then 'too_large' else 'kept' end as reason from f where folder <> 'docs' or size > 4000
     union all select folder, size, 'kept' from f where folder = 'docs' and size <= 4000""")
 def file_tree(spark, sf_dir):
     """A tree of files on disk, walked with reasons; ``docs`` has a smaller limit than the others."""

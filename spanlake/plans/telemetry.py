@@ -162,21 +162,23 @@ def normalise_provider(spark, sf_dir):
     return b.unionByName(a, allowMissingColumns=True).select("event_id", "provider", "input_tokens", "cache_tokens")
 
 
-def event_folder(spark, sf_dir):
-    """The events as a folder of JSON files, one more file with a malformed and an incomplete line."""
-    path = fresh_path(spark, "events")
-    events(spark, sf_dir).repartition(4, "attempt").write.json(path)
+def event_folder(spark, sf_dir, which=None, path=None):
+    """The events (or some) as a folder of JSON files, one more file with a malformed and an incomplete line."""
+    path, e = path or fresh_path(spark, "events"), events(spark, sf_dir)
+    (e if which is None else e.where(which)).repartition(4, "attempt").write.mode("append").json(path)
     spark.createDataFrame([('{"attempt": 1, "kind":',), ('{"attempt": "x"',)], "value string").coalesce(1).write.mode("append").text(path)
     return path
 
 
 @query(f"with {ACC_SQL} select * from acc")
 def stream_accounting_ss(spark, sf_dir):
-    """The same accounting by Structured Streaming over a folder of JSON files, two batches and more."""
+    """The same accounting by Structured Streaming over a folder of JSON files, in two runs that share their state."""
     from spanlake.streaming import accounting as S
 
-    path = event_folder(spark, sf_dir)
-    S.run_available(S.accounted(S.event_stream(spark, path, 3)), f"{path}-out", f"{path}-state", "update")
+    path = event_folder(spark, sf_dir, F.col("event_id") <= table(spark, sf_dir, "events").agg(F.median("event_id")).first()[0])
+    S.run_available(S.accounted(S.event_stream(spark, path)), f"{path}-out", f"{path}-state", "update")
+    event_folder(spark, sf_dir, F.col("event_id") > table(spark, sf_dir, "events").agg(F.median("event_id")).first()[0], path)
+    S.run_available(S.accounted(S.event_stream(spark, path)), f"{path}-out", f"{path}-state", "update")
     return S.latest(spark, f"{path}-out")
 
 

@@ -157,8 +157,8 @@ def write_snapshot(df: DataFrame, path: str, by: str | None = None) -> None:
     version = f"version-{uuid.uuid4().hex[:12]}"
     (df.write.partitionBy(by) if by else df.write).parquet(f"{path}/{version}")
     jvm = spark._jvm.org.apache.hadoop.fs
-    where = jvm.Path(f"{path}/_current")
-    fresh = jvm.Path(f"{path}/_current-{version}")
+    where = jvm.Path(f"{path}/current")
+    fresh = jvm.Path(f"{path}/current-{version}")
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     put_text(spark, fresh.toString(), version)
     replace = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
@@ -168,7 +168,7 @@ def write_snapshot(df: DataFrame, path: str, by: str | None = None) -> None:
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The current snapshot of a folder that ``write_snapshot`` made."""
-    version = spark.read.text(f"{path}/_current").first()[0]
+    version = spark.read.text(f"{path}/current").first()[0]
     return spark.read.parquet(f"{path}/{version}")
 
 

@@ -17,7 +17,7 @@ from spanlake.operators import accounting as A
 TTL_MS = 7 * 24 * 3600 * 1000
 SUMS = ["events", "unattributed", "calls", "ok", "failed", "errors", "retries", "tools", "bytes", "turns", "duplicates", "bad", "latency_n", "priced", "unpriced"]
 FLOATS = ["latency", "latency_max", "cost", *A.TOKENS]
-NUMBERS = ", ".join([*(f"{x} long" for x in SUMS), *(f"{x} double" for x in FLOATS)])
+NUMBERS = ", ".join([*(f"{x} long" for x in SUMS), *(f"{x} double" for x in FLOATS), "names string"])
 REPORT = (
     "attempt long, events long, unattributed long, model_calls long, calls_ok long, calls_error long, errors long, retries long, " + ", ".join(f"{x}_tokens double" for x in A.TOKENS)
     + ", latency_total double, latency_max double, latency_n long, cost double, currency string, calls_with_cost long, calls_without_cost long, tool_calls long, delivered_bytes long, turns long, "
@@ -40,20 +40,20 @@ class Accounting(StatefulProcessor):
     def init(self, handle) -> None:
         self.numbers = handle.getValueState("numbers", NUMBERS)
         self.requests = handle.getMapState("requests", "id string", "event_id long", ttlDurationMs=TTL_MS)
-        self.names = handle.getMapState("names", "facet string, name string", "n long, first long, last long")
 
     def handleInputRows(self, key, rows, timerValues):
+        import json
+
         import pandas as pd
 
         held = self.numbers.get() if self.numbers.exists() else None
-        n = dict(zip([*SUMS, *FLOATS], held, strict=True)) if held else {x: 0 for x in SUMS} | {x: None for x in FLOATS}
-        names = {k: tuple(v) for k, v in self.names.iterator()} if held else {}
+        n = dict(zip([*SUMS, *FLOATS], held, strict=False)) if held else {x: 0 for x in SUMS} | {x: None for x in FLOATS}
+        names = {(f, x): (c, a, b) for f, x, c, a, b in json.loads(held[-1])} if held else {}
         add = lambda field, x: n.update({field: x + (n[field] or 0)})
 
         def name(facet, value, at):
             c, first, last = names.get((facet, value), (0, at, at))
-            names[facet, value] = (c + 1, min(first, at), max(last, at))
-            self.names.updateValue((facet, value), names[facet, value])
+            names[facet, value] = (c + 1, int(min(first, at)), int(max(last, at)))
 
         for r in pd.concat(list(rows)).sort_values("event_id").itertuples():
             reserved, impersonated = r.kind in A.RESERVED_KINDS, r.tool in A.RESERVED_TOOLS
@@ -101,7 +101,7 @@ class Accounting(StatefulProcessor):
                     name("stop", r.reason, r.event_id)
             else:
                 n["bad"] += 1
-        self.numbers.update(tuple(n[x] for x in [*SUMS, *FLOATS]))
+        self.numbers.update((*(int(n[x]) for x in SUMS), *(n[x] for x in FLOATS), json.dumps([[*k, *v] for k, v in names.items()])))
         yield pd.DataFrame([self.report(int(key[0]), n, names)], columns=[c.strip().split(" ")[0] for c in REPORT.split(",")])
 
     @staticmethod
@@ -179,9 +179,13 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000)
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
-    """Processes what is there; each batch adds a folder of the rows it changed."""
+    """Processes what is there; each batch adds a folder of the rows it changed.
+
+    State that expires asks for one batch after another for ever, so all that is
+    there is taken as one batch; a lasting query has the usual trigger instead.
+    """
     sink = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")
-    query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
+    query = stream.writeStream.outputMode(mode).trigger(once=True).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
     query.awaitTermination()
 
 

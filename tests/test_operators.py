@@ -292,7 +292,8 @@ def test_capsule(spark):
     c = [cost(1, 1, "class", "Motion", "class Motion"), cost(2, 1, "class", "Sign_Key", "class Sign_Key"), cost(1, 2, "ref", "Sign_Key", "uses Sign_Key here")]
     assert pack(10**6, "multi")[1][1] == ["1:1", "2:1", "1:2", "1:3", "2:2", "4:2"] and pack(10**6, "one_per_file")[1][1] == ["1:1", "2:1", "4:2"]
     assert pack(10**6, "expanded")[1][1] == ["1:1", "2:1", "1:2", "1:3", "2:2", "4:2", "4:1"]
-    assert pack(c[0] + c[1] - 1, "one_per_file")[1] == (c[0], ["1:1"], 5 - sum(x == 1 for x in (1, 1)))  # files count only when one of them is kept
+    late = cost(2, 2, "ref", "Motion", "Motion of it")  # smaller than the first of its file, which doesn't fit and so doesn't count as kept
+    assert late < c[1] and pack(c[0] + c[1] - 1, "one_per_file")[1] == (c[0] + late, ["1:1", "2:2"], 2)
     assert pack(c[0] + c[2], "multi")[1][1][0] == "1:1" and pack(0, "multi")[2] == (0, [], 3)
 
 
