@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanlake.functions import text as T
 from spanlake.operators import fulltext
 from spanlake.operators.index import first_of
+from spanlake.sources.corpus import written
 
 CANDIDATES = 200
 
@@ -43,22 +44,24 @@ def union_distinct(*parts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def cascade(levels: list[DataFrame], last: DataFrame, key: str, enough: int = 3) -> DataFrame:
+def cascade(queries: DataFrame, levels: list[DataFrame], last, key: str, enough: int = 3) -> DataFrame:
     """For each query the union of the first levels that has ``enough`` results; ``last`` instead where none has.
 
-    All have (key, doc); each level adds to those before it.  ``level`` tells where a
-    result was found first.
+    Levels have (key, doc); each adds to those before it.  ``last(rest)`` gives (key,
+    doc) for the queries that are left, and is made for these only.  ``level`` tells
+    where a result was found first.
     """
     all_levels = levels[0].withColumn("_l", F.lit(0))
     for k, x in enumerate(levels[1:], 1):
         all_levels = all_levels.unionByName(x.withColumn("_l", F.lit(k)))
     docs = [c for c in levels[0].columns if c != key]
-    seen = all_levels.groupBy(key, *docs).agg(F.min("_l").alias("_l"))
+    seen = written(all_levels.groupBy(key, *docs).agg(F.min("_l").alias("_l")), "levels")
     per = seen.groupBy(key, "_l").agg(F.count("*").alias("_n"))
     total = per.withColumn("_n", F.sum("_n").over(Window.partitionBy(key).orderBy("_l")))
-    stop = total.where(F.col("_n") >= enough).groupBy(key).agg(F.min("_l").alias("_stop"))
+    stop = written(total.where(F.col("_n") >= enough).groupBy(key).agg(F.min("_l").alias("_stop")), "stops")
     found = seen.join(stop, key).where("_l <= _stop").withColumnRenamed("_l", "level").drop("_stop")
-    return found.unionByName(last.join(stop.select(key), key, "left_anti").withColumn("level", F.lit(len(levels))))
+    rest = written(queries.select(key).distinct().join(stop.select(key), key, "left_anti"), "rest")
+    return found.unionByName(last(rest).withColumn("level", F.lit(len(levels)))) if rest.count() else found
 
 
 def abstain(seeds: Column, lexical: Column, top: Column) -> Column:

@@ -10,7 +10,7 @@ from spanlake.operators import capsule as C
 from spanlake.operators import fulltext
 from spanlake.operators import retrieve as R
 from spanlake.plans.registry import SYMBOLS_SQL, corpus, query
-from spanlake.plans.retrieve import BM25_SQL, CONT_SQL, item_terms, ranked, truth
+from spanlake.plans.retrieve import BM25_SQL, CONT_SQL, ranked, truth
 from spanlake.sources.corpus import stored, table, written
 
 BUDGET = 2000
@@ -22,8 +22,14 @@ STRUCT_SQL = f"""{SYMBOLS_SQL}, asked as (select item_id, unnest({WORD_SQL}) as
     hd as (select distinct item_id, name from nm where kind = 'class'), st2 as (select item_id, file as doc_id from nm where kind = 'class' or (item_id, name) not in (select (item_id, name) from hd) union select item_id, file from ex)"""
 
 
-def asked(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(C.words(F.col("text"))).alias("word"))
+def items(spark, sf_dir, only: DataFrame | None = None) -> DataFrame:
+    """The requests, or some of them."""
+    b = table(spark, sf_dir, "benchmark")
+    return b if only is None else b.join(only, "item_id", "left_semi")
+
+
+def asked(spark, sf_dir, only=None) -> DataFrame:
+    return items(spark, sf_dir, only).select("item_id", F.explode(C.words(F.col("text"))).alias("word"))
 
 
 def symbols(spark, sf_dir) -> DataFrame:
@@ -67,7 +73,7 @@ SYMBOL_RANK_SQL = """yd as (select distinct name, file from symbols), yw as (sel
     scored as (select item_id, name, case when line = 1 then 'class' else 'head' end as kind, file, line, score, rank from yr join symbols using (name, file) where rank <= 20)"""
 
 
-def scored_names(spark, sf_dir) -> DataFrame:
+def scored_names(spark, sf_dir, only=None) -> DataFrame:
     """Names ranked as texts of name, kind and file, from a stored index of them, with all their places."""
     doc = F.concat_ws("#", "name", F.col("file").cast("string")).alias("doc")
 
@@ -76,7 +82,7 @@ def scored_names(spark, sf_dir) -> DataFrame:
         fulltext.write(fulltext.postings(named.select(doc, F.concat_ws(" ", "name", F.lit("head"), F.col("file").cast("string")).alias("text")), "doc"), path)
 
     index = stored(spark, "names", f"{sf_dir}/documents.parquet", write)
-    top = fulltext.search(index, item_terms(spark, sf_dir), 20, doc="doc", key="item_id")
+    top = fulltext.search(index, R.query_terms(items(spark, sf_dir, only), key="item_id"), 20, doc="doc", key="item_id")
     return top.join(symbols(spark, sf_dir).select("*", doc), "doc").select("item_id", "name", "kind", "file", "line", "score", "rank")
 
 
@@ -105,8 +111,8 @@ CAPSULE_SQL = f"""{STRUCT_SQL}, {SYMBOL_RANK_SQL}, code as (select * from asked
     caps as (select *, row_number() over (partition by item_id order by tier, score, file, line, name)::int as rank from (select item_id, name, kind, file, line, tier, score from b2 union all select item_id, name, 'ref', file, line, 1, 0.0::double from hop))"""
 
 
-def capsule(spark, sf_dir) -> DataFrame:
-    return C.rank(asked(spark, sf_dir), symbols(spark, sf_dir), scored_names(spark, sf_dir), mentions(spark, sf_dir), "item_id")
+def capsule(spark, sf_dir, only=None) -> DataFrame:
+    return C.rank(asked(spark, sf_dir, only), symbols(spark, sf_dir), scored_names(spark, sf_dir, only), mentions(spark, sf_dir), "item_id")
 
 
 @query(f"with {CAPSULE_SQL} select item_id, name, kind, file, line, tier, score, rank from caps")
@@ -128,9 +134,9 @@ PACK_SQL = f"""{CAPSULE_SQL}, tx as (select doc_id as file, line, {EXCERPT_SQL.f
     packed as (select item_id, policy, used, kept, over from g where p = (select max(p) from pk where pk.item_id = g.item_id))"""
 
 
-def candidates(spark, sf_dir) -> DataFrame:
+def candidates(spark, sf_dir, only=None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), T.lines(F.coalesce("text", F.lit(""))).alias("lines"))
-    return written(C.with_text(written(capsule(spark, sf_dir), "capsule"), docs, symbols(spark, sf_dir), "item_id"), "capsule")
+    return written(C.with_text(written(capsule(spark, sf_dir, only), "capsule"), docs, symbols(spark, sf_dir), "item_id"), "capsule")
 
 
 @query(f"with recursive {PACK_SQL} select policy, item_id, used, array_to_string(kept, ' ') as kept, over from packed")
@@ -143,9 +149,9 @@ def capsule_pack(spark, sf_dir):
     return out
 
 
-def hybrid_refs(spark, sf_dir) -> DataFrame:
+def hybrid_refs(spark, sf_dir, only=None) -> DataFrame:
     """Files of the packed capsule."""
-    kept = C.pack(candidates(spark, sf_dir), BUDGET, "multi", "item_id")
+    kept = C.pack(candidates(spark, sf_dir, only), BUDGET, "multi", "item_id")
     return kept.select("item_id", F.explode("kept").alias("k")).select("item_id", F.split_part("k", F.lit(":"), F.lit(1)).cast("long").alias("doc_id")).distinct()
 
 
@@ -164,7 +170,7 @@ ROUTER_SQL = f"""{REFS_SQL}, {BM25_SQL}, lv as (select item_id, doc_id, 0 as l f
 
 
 def router(spark, sf_dir) -> DataFrame:
-    return R.cascade([structural(spark, sf_dir), lexical(spark, sf_dir)], hybrid_refs(spark, sf_dir), "item_id")
+    return R.cascade(items(spark, sf_dir), [structural(spark, sf_dir), lexical(spark, sf_dir)], lambda rest: hybrid_refs(spark, sf_dir, rest), "item_id")
 
 
 @query(f"with recursive {ROUTER_SQL} select * from router")

@@ -34,7 +34,7 @@ UNIT_SQL = f"""{RR_SQL}, un as (select rr.*, (select string_agg(text, chr(10) or
 
 
 def matches(spark, sf_dir):
-    """Lines of an item's 20 best documents that hold one of its tokens; with these documents as arrays of lines."""
+    """Lines of an item's 20 best documents that hold one of its tokens; these documents as arrays of lines; and their ranks."""
     tokens = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens(T.ascii_lower(F.col("text")))).alias("_t"))
     top = written(ranked(spark, sf_dir).select("item_id", "doc_id", "rank"), "top")
     docs = table(spark, sf_dir, "documents").join(top.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -42,11 +42,11 @@ def matches(spark, sf_dir):
     low = docs.select("doc_id", F.posexplode(F.transform("lines", T.ascii_lower)).alias("_p", "text"))
     lines = top.join(tokens, "item_id").join(low, "doc_id")
     hit = lines.where(F.exists("_t", lambda t: F.contains(F.col("text"), t)))
-    return written(hit.select("item_id", "doc_id", "rank", (F.col("_p") + 1).alias("line")), "matches"), docs.withColumn("n_lines", F.size("lines"))
+    return written(hit.select("item_id", "doc_id", "rank", (F.col("_p") + 1).alias("line")), "matches"), docs.withColumn("n_lines", F.size("lines")), top
 
 
 def spans(spark, sf_dir):
-    found, docs = matches(spark, sf_dir)
+    found, docs, _ = matches(spark, sf_dir)
     return P.match_spans(found, docs, ["item_id", "doc_id", "rank"], ctx=CTX), docs
 
 
@@ -143,7 +143,7 @@ def topk_per_key(spark, sf_dir):
     select item_id, doc_id, greatest(m - 2, 1)::int as "start", least(m + 2, n_lines)::int as "end", row_number() over (partition by item_id order by rank)::int as position from f join nl using (doc_id)""")
 def context_lex(spark, sf_dir):
     """One unit for each file, around its first match."""
-    found, docs = matches(spark, sf_dir)
+    found, docs, _ = matches(spark, sf_dir)
     first = found.groupBy("item_id", "doc_id", "rank").agg(F.min("line").alias("m")).join(docs.select("doc_id", "n_lines"), "doc_id")
     return first.select("item_id", "doc_id", F.greatest(F.col("m") - 2, F.lit(1)).alias("start"), F.least(F.col("m") + 2, F.col("n_lines")).alias("end"), F.row_number().over(Window.partitionBy("item_id").orderBy("rank")).alias("position"))
 
@@ -165,7 +165,7 @@ DROP_SQL = f"""{DISK_SQL}, mh as (select distinct item_id, doc_id from mt),
 def verified(spark, sf_dir, top, found):
     """The candidates and why they are left out, or ``verified``: by the index's hash and the file's, then by a literal match."""
     has = found.select("item_id", "doc_id").distinct().withColumn("_m", F.lit(True))
-    j = top.join(disk(spark, sf_dir), "doc_id").join(has, ["item_id", "doc_id"], "left")
+    j = top.join(disk(spark, sf_dir).join(top.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").join(has, ["item_id", "doc_id"], "left")
     state = F.when(F.col("known").isNull(), "not_indexed").when(F.col("known") != F.col("current"), "stale_source").when(F.col("_m").isNull(), "no_literal_match").otherwise("verified")
     return j.select("item_id", "doc_id", "rank", "current", state.alias("state"))
 
@@ -173,8 +173,8 @@ def verified(spark, sf_dir, top, found):
 @query(f"""with {MATCH_SQL}, {DROP_SQL} select item_id, state, count(*) as n from vs group by 1, 2""")
 def context_drops(spark, sf_dir):
     """Why candidates are left out."""
-    top = ranked(spark, sf_dir).select("item_id", "doc_id", "rank")
-    return verified(spark, sf_dir, top, matches(spark, sf_dir)[0]).groupBy("item_id", "state").agg(F.count("*").alias("n"))
+    found, _, top = matches(spark, sf_dir)
+    return verified(spark, sf_dir, top, found).groupBy("item_id", "state").agg(F.count("*").alias("n"))
 
 
 def digits(c: str) -> str:
@@ -232,10 +232,12 @@ EVIDENCE_OF = f"'tokens=' || array_to_string(list_filter(tv, lambda t: contains(
 
 
 def with_evidence(spark, sf_dir, units):
-    t = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("_tv"))
-    low = units.join(t, "item_id").withColumn("_low", T.ascii_lower(F.col("text")))
-    present = F.slice(F.filter("_tv", lambda x: F.contains(F.col("_low"), T.ascii_lower(x))), 1, 5)
-    return low.withColumn("evidence", F.concat(F.lit("tokens="), F.array_join(present, ","))).drop("_tv", "_low")
+    t = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("_tv"), F.transform(T.tokens(F.col("text")), T.ascii_lower).alias("_tl"))
+    low = units.join(F.broadcast(t) if t.count() <= 10_000 else t, "item_id").withColumn("_low", T.ascii_lower(F.col("text")))
+    there = lambda tokens: F.filter(tokens, lambda x, i: F.contains(F.col("_low"), F.get("_tl", i)))
+    early = there(F.slice("_tv", 1, 8))  # mostly five of these stand there, and the others needn't be looked for
+    present = F.slice(F.when(F.size(early) >= 5, early).otherwise(there(F.col("_tv"))), 1, 5)
+    return low.withColumn("evidence", F.concat(F.lit("tokens="), F.array_join(present, ","))).drop("_tv", "_tl", "_low")
 
 
 TOKENS, BYTES = 2000, 7000
@@ -251,10 +253,9 @@ CONTEXT_SQL = f"""{MATCH_SQL}, {spans_sql("sp0", CTX)}, {DROP_SQL}, sp as (selec
 
 def context(spark, sf_dir):
     """The units of each item in order, and what was left out before the budget."""
-    found, docs = matches(spark, sf_dir)
-    top = ranked(spark, sf_dir).select("item_id", "doc_id", "rank")
-    checked = verified(spark, sf_dir, top, found)
-    s = P.match_spans(found, docs, ["item_id", "doc_id", "rank"], ctx=CTX).join(checked.where("state = 'verified'").select("item_id", "doc_id", "current"), ["item_id", "doc_id"])
+    found, docs, top = matches(spark, sf_dir)
+    checked = written(verified(spark, sf_dir, top, found), "checked")
+    s = written(P.match_spans(found, docs, ["item_id", "doc_id", "rank"], ctx=CTX).join(checked.where("state = 'verified'").select("item_id", "doc_id", "current"), ["item_id", "doc_id"]), "spans")
     per = s.groupBy("item_id", "doc_id").agg(F.greatest(F.count("*") - 3, F.lit(0)).alias("n")).groupBy("item_id").agg(F.sum("n").alias("n")).where("n > 0")
     capped = per.select("item_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit("diversity_cap").alias("reason"), "n")
     dropped = checked.where("state <> 'verified'").select("item_id", "rank", "doc_id", F.col("state").alias("reason"), F.lit(1).cast("long").alias("n")).unionByName(capped)
@@ -309,12 +310,12 @@ EXPAND_SQL = f"""{MATCH_SQL}, {spans_sql("sq", WIDE)}, ds as (select doc_id, sha
 
 def expansion(spark, sf_dir, max_bytes: int, reserve_pct: int):
     """Units around known references and, if evidence is wanted, at the matches; nothing that was delivered or is emitted before."""
-    found, docs = matches(spark, sf_dir)
+    found, docs, top = matches(spark, sf_dir)
     keys, i = ["item_id", "doc_id"], F.col("item_id")
     kind = F.get(F.array(F.lit("context"), F.lit("references"), F.lit("tests")), (i % 3).cast("int")).alias("kind")
     d = F.col("doc_id")
     path = F.concat(F.when(d % 4 == 0, "test/").otherwise("src/"), d.cast("string"))
-    order = ranked(spark, sf_dir).select("item_id", "doc_id", "rank", kind).where((F.col("rank") <= 2) | (F.col("kind") == "references") | (F.col("kind") == "tests") & T.is_test_path(path))
+    order = top.select("item_id", "doc_id", "rank", kind).where((F.col("rank") <= 2) | (F.col("kind") == "references") | (F.col("kind") == "tests") & T.is_test_path(path))
     first = found.groupBy(*keys).agg(F.min("line").alias("m"))
     order = order.join(docs.select("doc_id", "n_lines"), "doc_id").join(first, keys, "left").join(table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.coalesce("text", F.lit(""))).alias("digest")), "doc_id")
     order = written(order.withColumn("s", F.when(F.col("rank") == 1, F.col("m"))), "order")

@@ -145,7 +145,9 @@ def test_scores(spark):
 
 def test_cascade_is_per_query(spark):
     level = lambda rows: spark.createDataFrame(rows, "q int, d int")
-    out = R.cascade([level([(1, 1), (1, 2), (1, 3), (2, 9), (3, 1)]), level([(1, 7), (2, 8), (2, 5), (3, 2)])], level([(1, 0), (3, 4), (4, 6)]), "q")
+    last = level([(1, 0), (3, 4), (4, 6)])
+    queries = spark.createDataFrame([(q,) for q in (1, 2, 3, 4)], "q int")
+    out = R.cascade(queries, [level([(1, 1), (1, 2), (1, 3), (2, 9), (3, 1)]), level([(1, 7), (2, 8), (2, 5), (3, 2)])], lambda rest: last.join(rest, "q", "left_semi"), "q")
     assert {(r.q, r.d, r.level) for r in out.collect()} == {(1, 1, 0), (1, 2, 0), (1, 3, 0), (2, 9, 0), (2, 8, 1), (2, 5, 1), (3, 4, 2), (4, 6, 2)}
 
 
