@@ -77,12 +77,11 @@ COVERAGE = ["model_identity", "tokens", "cost", "tool_calls", "turns"]
 RESULT = "executor-result/1"
 
 
-def result_violations(doc: Column) -> Column:
-    """Codes of what is wrong with a result document (a JSON text); empty if nothing is.
+def result_violations(v: Column) -> Column:
+    """Codes of what is wrong with a result document, a column of parsed JSON (null: unreadable); empty if nothing is.
 
     Types count: a number as text is no number, and a blank text is none.
     """
-    v = F.try_parse_json(doc)
     kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit("ABSENT"))
     text = lambda path: (kind(path) == "STRING") & (F.length(F.trim(F.try_variant_get(v, path, "string"))) > 0)
     number = lambda path: kind(path).rlike("^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)")

@@ -98,7 +98,8 @@ def validate_result(spark, sf_dir):
     stop = F.when(F.col("o_orderstatus") == "P", '{"reason":" "}').otherwise('{"reason":"done"}')
     schema = F.when(k % 6 == 0, "v0").otherwise(V.RESULT)
     doc = F.concat(F.lit('{"schema":"'), schema, F.lit('","model":'), model, F.lit(',"usage":'), usage, F.lit(',"cost":'), cost, F.lit(',"stop":'), stop, F.lit(',"coverage":'), cover, F.when(k % 23 != 0, "}").otherwise(""))
-    return table(spark, sf_dir, "orders").select(k.alias("id"), F.array_join(V.result_violations(doc), ",").alias("violations"))
+    parsed = table(spark, sf_dir, "orders").select(k.alias("id"), F.try_parse_json(doc).alias("v"))
+    return parsed.select("id", F.array_join(V.result_violations(F.col("v")), ",").alias("violations"))
 
 
 @query("""with t as (select ['local_bug', 'cross_file', 'api_tests', 'configuration', 'misc'][1 + p_partkey % 5] as category from part), n as (select category, count(*) as n from t group by 1)
