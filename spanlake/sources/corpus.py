@@ -76,6 +76,10 @@ def stored(spark: SparkSession, tag: str, source: str, write: Callable[[str], No
     Later requests of the application read it again while the table's files are the same.
     """
     key = (spark.sparkContext.applicationId, tag, source, file_state(spark, source))
+    if key in STORED:  # the folder may have been cleared since
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{STORED[key]}/_SUCCESS")
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            del STORED[key]
     if key not in STORED:
         path = fresh_path(spark, tag)
         write(path)

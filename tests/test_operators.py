@@ -204,6 +204,24 @@ def test_price_lists_are_bounded(spark, monkeypatch):
         A.call_cost(df, prices)
 
 
+def test_stored_products_follow_their_table(spark, tmp_path):
+    import shutil
+
+    made, source = [], f"file://{tmp_path}/t"
+
+    def write(path):
+        made.append(path)
+        spark.read.parquet(source).groupBy("k").count().write.parquet(path)
+
+    rows = lambda: sorted(map(tuple, C.stored(spark, "count", source, write).collect()))
+    spark.createDataFrame([(1,), (1,)], "k int").write.parquet(source)
+    assert rows() == rows() == [(1, 2)] and len(made) == 1
+    spark.createDataFrame([(2,)], "k int").write.mode("append").parquet(source)  # another state of the table
+    assert rows() == [(1, 2), (2, 1)] and len(made) == 2
+    shutil.rmtree(made[-1].removeprefix("file:").replace("///", "/"))  # a cleared folder
+    assert rows() == [(1, 2), (2, 1)] and len(made) == 3
+
+
 def test_tail_takes_whole_lines_once(spark, tmp_path):
     from spanlake.streaming.tail import TailReader, follow
 
