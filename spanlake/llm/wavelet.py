@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -105,27 +105,40 @@ def pack(keys: list[int | None], sizes: list[int], ids: np.ndarray, bits: int) -
 
 
 class WaveletMatrix:
-    """Reads a shard's file; blocks are decompressed when first needed."""
+    """Reads a shard's file; blocks are decompressed when first needed.
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    Given the file's bytes, or a function (offset, length) -> bytes: ``stored`` makes one
+    that reads ranges of a stored file, so that only the head and the blocks an
+    answer needs are read.
+    """
+
+    def __init__(self, data: bytes | Callable[[int, int], bytes]):
+        self.fetch = data if callable(data) else lambda at, n: data[at : at + n]
+        start = self.fetch(0, 16)
+        if start[:8] != MAGIC:
             raise ValueError("not a wavelet matrix file")
-        at = 16 + int.from_bytes(data[8:16], "little")
-        head = json.loads(data[16:at])
+        at = 16 + int.from_bytes(start[8:], "little")
+        head = json.loads(self.fetch(16, at - 16))
         self.n, self.bits, self.zeros = head["n"], head["bits"], head["zeros"]
-        part = {}
+        part, raw, low = {}, self.fetch(at, sum(head["sections"].values())), 0
         for k, size in head["sections"].items():
-            part[k] = zstandard.ZstdDecompressor().decompress(data[at : at + size])
-            at += size
+            part[k] = zstandard.ZstdDecompressor().decompress(raw[low : low + size])
+            low += size
+        at += low
         self.keys = json.loads(part["keys"])
         self.sizes = np.frombuffer(part["sizes"], "<u4")
         self.ends = np.frombuffer(part["ends"], "<i8")
         self.ones = np.frombuffer(part["ones"], "<i8")
-        self.data, self.at, self.per_plane = data, at, -(-self.n // BLOCK)
+        self.at, self.per_plane = at, -(-self.n // BLOCK)
         self.loaded: dict[int, np.ndarray] = {}
 
+    @classmethod
+    def stored(cls, uri: str) -> WaveletMatrix:
+        return cls(lambda at, n: get(uri, [(at, n)])[0])
+
     def block(self, k: int) -> np.ndarray:
-        raw = self.data[self.at + (int(self.ends[k - 1]) if k else 0) : self.at + int(self.ends[k])]
+        low = int(self.ends[k - 1]) if k else 0
+        raw = self.fetch(self.at + low, int(self.ends[k]) - low)
         return np.frombuffer(raw[1:] if raw[:1] == b"\0" else zstandard.ZstdDecompressor().decompress(raw), np.uint8)
 
     def cached(self, k: int) -> np.ndarray:

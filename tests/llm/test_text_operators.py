@@ -86,6 +86,18 @@ def test_wavelet_over_blocks():
     assert w.occurrences(2)[-1] == int(np.flatnonzero(ids == 2)[-1])
 
 
+def test_a_stored_shard_is_read_in_ranges(tmp_path, monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 50_000, 600_000).astype(np.uint32)
+    uri, read = f"file://{tmp_path}/a.wm", []
+    wavelet.put(uri, wavelet.pack([1, 2], [400_000, 200_000], ids, 16))
+    whole = wavelet.get
+    monkeypatch.setattr(wavelet, "get", lambda uri, ranges: [read.append(len(x)) or x for x in whole(uri, ranges)])
+    w = wavelet.WaveletMatrix.stored(uri)
+    assert w.access(123_456) == ids[123_456] and w.keys == [1, 2]
+    assert sum(read) < 0.3 * (tmp_path / "a.wm").stat().st_size  # a block of each plane and the head
+    assert w.rank(int(ids[5]), 300_000) == int((ids[:300_000] == ids[5]).sum()) and (w.ids() == ids).all()
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(TEXT, min_size=1, max_size=6))
 def test_chunks_equal_library(libraries, texts):
