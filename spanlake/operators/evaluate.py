@@ -116,6 +116,10 @@ def blinding(guesses: DataFrame, n_conditions: int) -> DataFrame:
         "guesses", "correct", F.round(F.col("correct") / F.nullif(F.col("guesses"), F.lit(0)), 6).alias("accuracy"), F.round(F.lit(1.0 / n_conditions), 6).alias("base_rate"))
 
 
-def unblind(bundle: DataFrame, key: DataFrame, scores: DataFrame) -> DataFrame:
-    """Items of the bundle with what the key tells and their score, null where there is none."""
-    return bundle.join(key, "item_id", "left").join(scores, "item_id", "left")
+def unblind(bundle: DataFrame, key: DataFrame, scores: DataFrame, by: str = "item_id") -> DataFrame:
+    """Items of the bundle with what the key tells and their score, null where there is none.
+
+    ``by`` identifies an item in all three; opaque ids of ten digits repeat among some
+    hundred thousand items, so these need their own key.
+    """
+    return bundle.join(key, by, "left").join(scores, by, "left")

@@ -327,6 +327,20 @@ def test_evaluation_rules(spark):
     assert got == {1: ("no_score", "undetermined"), 2: ("mechanical_fail", "rejected"), 3: ("llm_triage", "undetermined"), 4: ("second_reviewer_missing", "undetermined"), 5: ("second_reviewer_missing", "undetermined"), 6: ("disputed", "undetermined"), 7: ("adjudicated", "accepted"), 8: ("judged", "accepted")}
 
 
+def test_unblind_where_opaque_ids_repeat(spark, tmp_path):
+    import duckdb
+
+    from spanlake.plans import ORACLE, QUERIES
+
+    same, con = (15237, 872831), duckdb.connect()
+    assert len({r[0] for r in spark.createDataFrame([(k,) for k in same], "k long").select(T.opaque_id("n2", F.col("k"))).collect()}) == 1
+    con.sql(f"copy (select * replace (case row_number() over () when 1 then {same[0]} else {same[1]} end as o_orderkey, row_number() over () as o_custkey) from '/root/testdata/sf0.001/orders.parquet' limit 2) to '{tmp_path}/orders.parquet'")
+    con.sql(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    got = QUERIES["unblind"](spark, str(tmp_path))
+    want = con.sql(ORACLE["unblind"]).fetchall()
+    assert len(want) == 2 and sorted(map(tuple, got.select("item_id", "condition", "task", "state").collect())) == sorted(want)
+
+
 def test_history(spark):
     rows = [(1, k, r, "x" * 400) for k, r in enumerate(["system", "user", "assistant", "user", "assistant", "user", "assistant"])] + [(2, 0, "user", "hi")]
     m = H.messages(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))
