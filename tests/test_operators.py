@@ -365,3 +365,62 @@ def test_plans(spark, data):
     top = plan(QUERIES["bm25_topk"](spark, data))
     assert "WindowGroupLimit" in top and "Python" not in top and "documents.parquet" not in top  # the texts aren't read again
     assert "n_chars" not in plan(QUERIES["doc_freq"](spark, data))
+
+
+def test_search_moves_postings_once(spark, data, monkeypatch):
+    from spanlake.operators import fulltext
+    from spanlake.plans import QUERIES
+
+    assert "hashpartitioning(item_id" not in plan(QUERIES["bm25_topk"](spark, data))  # pairs of item and document aren't dealt out
+    texts = ["a b a", "b", "a b a", "c a b", "", None, "b c", "a b a"]
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "doc_id string, text string")
+    terms = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "c"), ("z", "none"), (None, "b")], "query_id string, term string")
+    index = fulltext.postings(docs)
+    assert sorted((r.term, r.tf, r.dl) for r in index.where("doc = 'd0'").collect()) == [("", 1, 3), ("a", 2, 3), ("b", 1, 3)] and index.where("term = ''").count() == 8
+    find = lambda k: sorted(map(str, map(tuple, fulltext.search(index, terms, k).collect())))
+    monkeypatch.setattr(fulltext, "CELLS", 6)  # slices of two documents
+    monkeypatch.setattr(fulltext, "BLOCK", 2)
+    dense = [find(k) for k in (1, 2, 100)]
+    monkeypatch.setattr(fulltext, "MOST_BROADCAST", 0)
+    assert dense == [find(k) for k in (1, 2, 100)] and len(dense[0]) == 3
+
+
+def test_phrases_are_counted_where_texts_are(spark):
+    from spanlake.operators import fulltext
+
+    docs = spark.createDataFrame([(1, "A a a b"), (2, "a b a b"), (3, "b"), (4, None)], "doc_id long, text string")
+    terms = spark.createDataFrame([(1, "a a"), (1, "a b"), (2, "b a b"), (2, "a"), (3, "b z")], "query_id int, term string")
+    got = fulltext.with_phrases(fulltext.postings(docs), docs, terms).where("term like '% %'")
+    assert sorted(map(tuple, got.collect())) == [("a a", 1, 2, 4), ("a b", 1, 1, 4), ("a b", 2, 2, 4), ("b a b", 2, 1, 4)]
+    assert "slice" not in plan(got) and "Join" not in plan(got)  # counted once and stored, not for each pair of phrase and document
+
+
+def test_first_places(spark):
+    places = [("n", f, k) for f in range(9) for k in range(1, 1 + f % 3 * 40)] + [("m", 1, 1)]
+    df = spark.createDataFrame(places, "name string, file long, line int")
+    got = sorted(map(tuple, R.first_places(df, 5).collect()))
+    assert len(got) <= 31
+    for own in range(9):
+        assert [x for x in got if x[0] == "n" and x[1] != own][:5] == [x for x in sorted(places) if x[0] == "n" and x[1] != own][:5]
+
+
+def test_first_mentions_are_looked_for_in_few_documents_first(spark):
+    from spanlake.operators import capsule as K
+
+    lines = spark.createDataFrame([(d, k, "the The_x" if d % 7 else "the rare") for d in range(60) for k in (1, 2)], "doc_id long, line int, text string")
+    words = spark.createDataFrame([("the",), ("The",), ("rare",), ("none",), ("e r",)], "word string")
+    index = K.identifiers(lines)
+    rows = lambda df: sorted((r.word, r.doc, r.line) for r in df.collect())
+    want = rows(K.first_mentions(K.mentions(index, lines, words), 5))
+    assert rows(K.progressive(index, lines, words, 5, shares=(0.05, 0.3))) == want and len(want) == 20
+
+
+def test_ranking_is_done_once(spark, data, monkeypatch):
+    from spanlake.plans import QUERIES, capsule
+
+    for name in ("hit_rules", "score_additional"):
+        assert "MapInArrow" not in plan(QUERIES[name](spark, data)) and "hashpartitioning(term" not in plan(QUERIES[name](spark, data))
+    calls, real = [], capsule.candidates
+    monkeypatch.setattr(capsule, "candidates", lambda *a, **k: calls.append(a) or real(*a, **k))
+    QUERIES["bakeoff"](spark, data)
+    assert len(calls) == 1
