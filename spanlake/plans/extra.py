@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanlake.functions import text as T
 from spanlake.operators import extract as X
+from spanlake.operators import fulltext
 from spanlake.operators import generate as G
 from spanlake.operators import measure as M
 from spanlake.operators import pack as P
@@ -15,7 +16,7 @@ from spanlake.plans.measure import TOP_SQL, scored_sql
 from spanlake.plans.pack import UNIT_SQL, units
 from spanlake.plans.registry import FILES_SQL, SYMBOLS_SQL, corpus, query
 from spanlake.plans.retrieve import BM25_SQL, CONT_SQL, ranked, truth
-from spanlake.sources.corpus import document_files, fresh_path, table
+from spanlake.sources.corpus import document_files, fresh_path, table, written
 
 @query(f"with {FILES_SQL} select path, size::bigint as size from files where module not in ('src3', 'src5')")
 def nested_repos(spark, sf_dir):
@@ -157,7 +158,8 @@ def hit_rules(spark, sf_dir):
     """Three readings of a hit among the five best, over expected files, edges, paths and packages."""
     i, k = F.col("item_id"), F.col("rank")
     files = document_files(table(spark, sf_dir, "documents")).select("doc_id", "path", F.concat(F.lit("src/"), F.coalesce("module", F.lit("none")), F.lit("/")).alias("pkg"))
-    r = ranked(spark, sf_dir).join(files, "doc_id").select(i, k, "path", "pkg")
+    top = fulltext.small(written(ranked(spark, sf_dir).select("item_id", "doc_id", "rank"), "top"))
+    r = written(files.join(top, "doc_id").select(i, k, "path", "pkg"), "ranked")
     pick = lambda field, when, value="path": r.where(when).select(i, F.lit(field).alias("field"), F.col(value).alias("value"))
     expected = pick("files", (i % 5 == 0) & k.isin(3, 9)).unionByName(pick("edge", (i % 5 == 1) & (k == 2) | (i % 5 == 2) & (k == 9) | (i % 10 == 7) & (k == 4))).unionByName(pick("path", (i % 5 == 1) & k.isin(7, 8) | (i % 10 == 2) & (k == 1)))
     expected = expected.unionByName(pick("package", (i % 5 == 3) & (k == 4 + i % 9), "pkg")).unionByName(pick("file", (i % 5 == 3) & (k == 11) | (i % 5 == 4) & (k == 1 + i % 8)))
@@ -194,9 +196,9 @@ def pairing_manifest(spark, sf_dir):
 def score_replay(spark, sf_dir):
     """Scores computed again from a stored delivery: none may differ from the first; of scores spoilt on purpose each must."""
     path = fresh_path(spark, "replay")
-    delivered = ranked(spark, sf_dir).select("item_id", "doc_id")
+    delivered, t = ranked(spark, sf_dir).select("item_id", "doc_id"), written(truth(spark, sf_dir), "truth")
     delivered.write.parquet(path)
-    a, b = M.score_delivery(delivered, truth(spark, sf_dir)), M.score_delivery(spark.read.parquet(path), truth(spark, sf_dir))
+    a, b = written(M.score_delivery(delivered, t), "scores"), M.score_delivery(spark.read.parquet(path), t)
     i = F.col("item_id")
     spoilt = a.withColumn("n_common", F.col("n_common") + F.when(i % 5 == 0, 1).otherwise(0)).withColumn("n_delivered", F.when(i % 7 != 0, F.col("n_delivered")))
     row = lambda name, x: M.replayed(a, x).select(F.lit(name).alias("replay"), "items", "differences")
