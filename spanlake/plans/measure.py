@@ -8,7 +8,7 @@ from spanlake.operators import graph as G
 from spanlake.operators import measure as M
 from spanlake.plans.registry import query
 from spanlake.plans.retrieve import BM25_SQL, CONT_SQL, ranked, truth
-from spanlake.sources.corpus import table
+from spanlake.sources.corpus import table, written
 
 EDGE_SQL = """edges as (select distinct 'c' || o_custkey as src, 'p' || l_partkey as dst from orders join lineitem on o_orderkey = l_orderkey
     union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem union select distinct 's' || s_suppkey, 'n' || s_nationkey from supplier)"""
@@ -175,9 +175,9 @@ def score_delivery(spark, sf_dir):
     select *, round(found / nullif(expected, 0), 6) as recall, case when expected = 0 then novel = 0 end as abstained from s""")
 def score_additional(spark, sf_dir):
     """The first document with the passage counts as given."""
-    t = truth(spark, sf_dir)
+    t, top = written(truth(spark, sf_dir), "truth"), written(ranked(spark, sf_dir).select("item_id", "doc_id"), "top")
     given = t.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
-    return M.score_additional(ranked(spark, sf_dir), t.join(given, ["item_id", "doc_id"], "left_anti"), given)
+    return M.score_additional(top, t.join(given, ["item_id", "doc_id"], "left_anti"), given)
 
 
 @query(f"with {BM25_SQL}, {CONT_SQL}, {scored_sql(TOP_SQL)} select count(*) as queries, count(recall) as measured, round(avg(recall), 6) as recall, round(avg(precision), 6) as precision from sd")
