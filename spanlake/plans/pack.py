@@ -34,11 +34,11 @@ UNIT_SQL = f"""{RR_SQL}, un as (select rr.*, (select string_agg(text, chr(10) or
 
 
 def matches(spark, sf_dir):
-    """Lines of an item's 20 best documents that hold one of its tokens; these documents as arrays of lines; and their ranks."""
+    """Lines of an item's 20 best documents that hold one of its tokens; these documents as arrays of lines, with their hash; and their ranks."""
     tokens = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(T.tokens(T.ascii_lower(F.col("text")))).alias("_t"))
     top = written(ranked(spark, sf_dir).select("item_id", "doc_id", "rank"), "top")
     docs = table(spark, sf_dir, "documents").join(top.select("doc_id").distinct(), "doc_id", "left_semi")
-    docs = written(docs.select("doc_id", T.lines(F.coalesce("text", F.lit(""))).alias("lines")), "candidates")
+    docs = written(docs.select("doc_id", T.lines(F.coalesce("text", F.lit(""))).alias("lines"), T.content_hash(F.coalesce("text", F.lit(""))).alias("digest")), "candidates")
     low = docs.select("doc_id", F.posexplode(F.transform("lines", T.ascii_lower)).alias("_p", "text"))
     lines = top.join(tokens, "item_id").join(low, "doc_id")
     hit = lines.where(F.exists("_t", lambda t: F.contains(F.col("text"), t)))
@@ -152,20 +152,20 @@ def context_lex(spark, sf_dir):
 DISK_SQL = """ds as (select doc_id, case when doc_id % 31 = 4 then null when doc_id % 29 = 3 then 'old' else sha256(coalesce(text, '')) end as known, sha256(coalesce(text, '')) as current from documents)"""
 
 
-def disk(spark, sf_dir):
-    """(doc_id, known, current): the hash in the index, null if it lacks the file, and the file's own."""
-    i, h = F.col("doc_id"), T.content_hash(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select(i, F.when(i % 31 == 4, None).when(i % 29 == 3, "old").otherwise(h).alias("known"), h.alias("current"))
+def disk(docs):
+    """(doc_id, known, current) of candidates: the hash in the index, null if it lacks the file, and the file's own."""
+    i, h = F.col("doc_id"), F.col("digest")
+    return docs.select(i, F.when(i % 31 == 4, None).when(i % 29 == 3, "old").otherwise(h).alias("known"), h.alias("current"))
 
 
 DROP_SQL = f"""{DISK_SQL}, mh as (select distinct item_id, doc_id from mt),
     vs as (select t.item_id, t.doc_id, t.rank, current, case when known is null then 'not_indexed' when known <> current then 'stale_source' when mh.doc_id is null then 'no_literal_match' else 'verified' end as state from top t join ds using (doc_id) left join mh using (item_id, doc_id))"""
 
 
-def verified(spark, sf_dir, top, found):
+def verified(docs, top, found):
     """The candidates and why they are left out, or ``verified``: by the index's hash and the file's, then by a literal match."""
     has = found.select("item_id", "doc_id").distinct().withColumn("_m", F.lit(True))
-    j = top.join(disk(spark, sf_dir).join(top.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").join(has, ["item_id", "doc_id"], "left")
+    j = top.join(disk(docs), "doc_id").join(has, ["item_id", "doc_id"], "left")
     state = F.when(F.col("known").isNull(), "not_indexed").when(F.col("known") != F.col("current"), "stale_source").when(F.col("_m").isNull(), "no_literal_match").otherwise("verified")
     return j.select("item_id", "doc_id", "rank", "current", state.alias("state"))
 
@@ -173,8 +173,8 @@ def verified(spark, sf_dir, top, found):
 @query(f"""with {MATCH_SQL}, {DROP_SQL} select item_id, state, count(*) as n from vs group by 1, 2""")
 def context_drops(spark, sf_dir):
     """Why candidates are left out."""
-    found, _, top = matches(spark, sf_dir)
-    return verified(spark, sf_dir, top, found).groupBy("item_id", "state").agg(F.count("*").alias("n"))
+    found, docs, top = matches(spark, sf_dir)
+    return verified(docs, top, found).groupBy("item_id", "state").agg(F.count("*").alias("n"))
 
 
 def digits(c: str) -> str:
@@ -254,7 +254,7 @@ CONTEXT_SQL = f"""{MATCH_SQL}, {spans_sql("sp0", CTX)}, {DROP_SQL}, sp as (selec
 def context(spark, sf_dir):
     """The units of each item in order, and what was left out before the budget."""
     found, docs, top = matches(spark, sf_dir)
-    checked = written(verified(spark, sf_dir, top, found), "checked")
+    checked = written(verified(docs, top, found), "checked")
     s = written(P.match_spans(found, docs, ["item_id", "doc_id", "rank"], ctx=CTX).join(checked.where("state = 'verified'").select("item_id", "doc_id", "current"), ["item_id", "doc_id"]), "spans")
     per = s.groupBy("item_id", "doc_id").agg(F.greatest(F.count("*") - 3, F.lit(0)).alias("n")).groupBy("item_id").agg(F.sum("n").alias("n")).where("n > 0")
     capped = per.select("item_id", F.lit(None).cast("int").alias("rank"), F.lit(None).cast("long").alias("doc_id"), F.lit("diversity_cap").alias("reason"), "n")

@@ -424,3 +424,12 @@ def test_ranking_is_done_once(spark, data, monkeypatch):
     monkeypatch.setattr(capsule, "candidates", lambda *a, **k: calls.append(a) or real(*a, **k))
     QUERIES["bakeoff"](spark, data)
     assert len(calls) == 1
+
+
+def test_context_reads_texts_once(spark, data, monkeypatch):
+    from spanlake.plans import pack
+
+    read, table = [], pack.table
+    monkeypatch.setattr(pack, "table", lambda s, d, name: read.append(name) or table(s, d, name))
+    pack.context(spark, data)
+    assert read.count("documents") == 1  # hashes come with the candidates
