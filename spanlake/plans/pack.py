@@ -317,7 +317,7 @@ def expansion(spark, sf_dir, max_bytes: int, reserve_pct: int):
     path = F.concat(F.when(d % 4 == 0, "test/").otherwise("src/"), d.cast("string"))
     order = top.select("item_id", "doc_id", "rank", kind).where((F.col("rank") <= 2) | (F.col("kind") == "references") | (F.col("kind") == "tests") & T.is_test_path(path))
     first = found.groupBy(*keys).agg(F.min("line").alias("m"))
-    order = order.join(docs.select("doc_id", "n_lines"), "doc_id").join(first, keys, "left").join(table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.coalesce("text", F.lit(""))).alias("digest")), "doc_id")
+    order = order.join(docs.select("doc_id", "n_lines", "digest"), "doc_id").join(first, keys, "left")
     order = written(order.withColumn("s", F.when(F.col("rank") == 1, F.col("m"))), "order")
     asked = order.where("s is not null")
     low, high = F.greatest(F.col("s") - WIDE, F.lit(1)), F.least(F.col("s") + 2 + WIDE, F.col("n_lines"))

@@ -426,10 +426,13 @@ def test_ranking_is_done_once(spark, data, monkeypatch):
     assert len(calls) == 1
 
 
-def test_context_reads_texts_once(spark, data, monkeypatch):
+def test_context_and_expansion_read_texts_once(spark, data, monkeypatch):
     from spanlake.plans import pack
 
     read, table = [], pack.table
     monkeypatch.setattr(pack, "table", lambda s, d, name: read.append(name) or table(s, d, name))
     pack.context(spark, data)
     assert read.count("documents") == 1  # hashes come with the candidates
+    read.clear()
+    pack.expansion(spark, data, pack.BYTES, 30)
+    assert read.count("documents") == 1
