@@ -436,3 +436,15 @@ def test_context_and_expansion_read_texts_once(spark, data, monkeypatch):
     read.clear()
     pack.expansion(spark, data, pack.BYTES, 30)
     assert read.count("documents") == 1
+
+
+def test_search_reads_the_index_once(spark, tmp_path):
+    from spanlake.operators import fulltext
+
+    docs = spark.createDataFrame([(k, "a b" if k % 2 else "b c") for k in range(20)], "doc_id int, text string")
+    fulltext.write(fulltext.postings(docs), f"{tmp_path}/stored")
+    terms = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "query_id int, term string")
+    found = fulltext.search(spark.read.parquet(f"{tmp_path}/stored"), terms, 3)
+    scans = [x for x in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "FileScan" in x and "stored" in x]
+    assert len(scans) == 1  # statistics; postings were read before
+    assert [(r.query_id, r.doc_id) for r in found.orderBy("query_id", "rank").collect()] == [(1, 1), (1, 3), (1, 5), (2, 0), (2, 2), (2, 4)]
