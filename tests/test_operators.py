@@ -438,6 +438,21 @@ def test_context_and_expansion_read_texts_once(spark, data, monkeypatch):
     assert read.count("documents") == 1
 
 
+def test_postings_in_the_order_of_the_index(spark, monkeypatch):
+    from collections import Counter
+
+    from spanlake.operators import fulltext
+
+    texts = [(3, "b a b ñu"), (1, "a"), (None, "c a"), (1, "a a"), (2, ""), (4, None), (0, "Z z 中 é")]
+    want = sorted(((t, d is not None, d or 0, n, len(w)) for d, x in texts for w in [(x or "").lower().split()] for t, n in [("", 1), *Counter(w).items()]), key=lambda r: (r[0].encode(), *r[1:]))
+    monkeypatch.setattr(fulltext, "PIECE", 2)
+    rows = fulltext.postings(spark.createDataFrame(texts, "doc_id int, text string").coalesce(1)).collect()
+    at = [(r.term.encode(), r.doc is not None, r.doc or 0) for r in rows]
+    assert at == sorted(at)  # sorting only merges batches
+    assert sorted(((r.term, r.doc is not None, r.doc or 0, r.tf, r.dl) for r in rows), key=lambda r: (r[0].encode(), *r[1:])) == want
+    assert fulltext.postings(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
 def test_search_reads_the_index_once(spark, tmp_path):
     from spanlake.operators import fulltext
 
